@@ -66,7 +66,7 @@ cte("m_sl", """SELECT i.order_id, i.product_id, i.promotion_id, i.qty, i.price,
  FROM m_it i JOIN m_done o ON i.order_id = o.order_id""")
 cte("m_rl", """SELECT order_id, product_id, qty, line_total AS refund, CAST(line_total AS DOUBLE) / (1e0 + CAST(tax AS DOUBLE) / 100) AS refund_net,
   qty * cost AS cost_value, linestatus = 'O' AS restocked, ship, CAST(date_trunc('month', ship) AS DATE) AS month,
-  CASE line_no % 4 WHEN 0 THEN 'Defective' WHEN 1 THEN 'Wrong item' WHEN 2 THEN 'Not as described' ELSE 'Changed mind' END AS reason
+  CASE line_no % 4 WHEN 0 THEN 'DEFECTIVE' WHEN 1 THEN 'WRONG_ITEM' WHEN 2 THEN 'NOT_AS_DESCRIBED' ELSE 'CHANGED_MIND' END AS reason
  FROM m_it WHERE flag = 'R'""")
 cte("m_pay", """SELECT o_orderkey AS order_id, o_orderdate AS ts, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'UPI' WHEN '2' THEN 'CARD' WHEN '3' THEN 'CASH'
   WHEN '4' THEN 'NET_BANKING' ELSE 'WALLET' END AS method,

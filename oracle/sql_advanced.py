@@ -87,7 +87,7 @@ oracle("q204_three_months_running", "customers_with_3_consecutive_months:i",
 oracle("q205_year_to_date", "month:d revenue:f ytd_revenue:f",
        "SELECT month, round(net, 0) AS revenue, round(sum(net) OVER (ORDER BY month), 0) AS ytd_revenue FROM x_month WHERE year(month) = 2000")
 oracle("q206_store_median", "store_name:s mean_order_value:f median_order_value:f",
-       """SELECT s.store_name, round(CAST(sum(o.total) AS DOUBLE) / count(*), 0) AS mean_order_value, round(quantile_cont(CAST(o.total AS DOUBLE), 0.5), 0) AS median_order_value
+       """SELECT s.store_name, round(CAST(sum(o.total) AS DOUBLE) / count(*) + 1e-7, 0) AS mean_order_value, round(quantile_cont(CAST(o.total AS DOUBLE), 0.5), 0) AS median_order_value
        FROM m_done o JOIN m_st s ON s.store_id = o.store_id GROUP BY 1""")
 oracle("q207_top_with_ties", "category_name:s product_name:s units:i dr:i",
        """SELECT c.category_name, t.product_name, t.u AS units, t.k AS dr FROM (SELECT p.category_id, p.product_name, sum(x.units) AS u,
@@ -214,7 +214,7 @@ oracle("q309_category_variants", "normalised_name:s variants:s",
 # ---- business questions
 oracle("q401_executive_kpis",
        "net_revenue:f gross_profit:f completed_orders:i buying_customers:i avg_order_value:f repeat_customer_rate_pct:f order_return_rate_pct:f inventory_value_at_cost:f",
-       """SELECT round(net, 0) AS net_revenue, round(p, 0) AS gross_profit, n AS completed_orders, c AS buying_customers, round(CAST(gross AS DOUBLE) / n, 0) AS avg_order_value,
+       """SELECT round(net, 0) AS net_revenue, round(p, 0) AS gross_profit, n AS completed_orders, c AS buying_customers, round(CAST(gross AS DOUBLE) / n + 1e-7, 0) AS avg_order_value,
        round(100e0 * r / c, 1) AS repeat_customer_rate_pct, round(100e0 * b / n, 2) AS order_return_rate_pct, round(v, 0) AS inventory_value_at_cost
        FROM (SELECT sum(net) AS net, sum(gross) AS gross, sum(n) AS n, count(*) AS c, count(*) FILTER (n > 1) AS r FROM x_cust), (SELECT sum(profit) AS p FROM m_sl),
        (SELECT count(DISTINCT order_id) AS b FROM m_rl), (SELECT sum(value) AS v FROM m_stock)""")

@@ -14,7 +14,7 @@ oracle("q04_gross_profit", "net_revenue:f cost_of_goods_sold:f gross_profit:f gr
        """SELECT round(sum(net), 2) AS net_revenue, round(sum(cogs), 2) AS cost_of_goods_sold, round(sum(profit), 2) AS gross_profit,
        round(100e0 * sum(profit) / sum(net), 2) AS gross_margin_pct FROM m_sl""")
 oracle("q05_order_value", "avg_order_value:f median_order_value:f largest_order:f",
-       """SELECT round(CAST(sum(total) AS DOUBLE) / count(*), 2) AS avg_order_value, round(quantile_cont(CAST(total AS DOUBLE), 0.5), 2) AS median_order_value,
+       """SELECT round(CAST(sum(total) AS DOUBLE) / count(*) + 1e-7, 2) AS avg_order_value, round(quantile_cont(CAST(total AS DOUBLE), 0.5), 2) AS median_order_value,
        max(total) AS largest_order FROM m_done""")
 oracle("q06_customer_counts", "total_customers:i customers_who_purchased:i customers_never_purchased:i flagged_active:i",
        """SELECT count(*) AS total_customers, count(*) FILTER (b) AS customers_who_purchased, count(*) FILTER (NOT b) AS customers_never_purchased,
@@ -32,7 +32,7 @@ oracle("q10_price_bands", "price_band:s products:i avg_list_margin_pct:f",
        SELECT CASE WHEN unit_price < 500 THEN 'a) Under 500' WHEN unit_price < 2000 THEN 'b) 500 - 1,999' WHEN unit_price < 10000 THEN 'c) 2,000 - 9,999'
        ELSE 'd) 10,000 and above' END AS band, CAST(unit_price AS DOUBLE) / (1 + gst_rate / 100e0) AS np, CAST(unit_cost AS DOUBLE) AS unit_cost FROM m_pr) GROUP BY band""")
 oracle("q11_weekdays", "iso_day:i day_name:s orders:i avg_order_value:f",
-       """SELECT isodow(day) AS iso_day, dayname(day) AS day_name, count(*) AS orders, round(CAST(sum(total) AS DOUBLE) / count(*), 2) AS avg_order_value
+       """SELECT isodow(day) AS iso_day, dayname(day) AS day_name, count(*) AS orders, round(CAST(sum(total) AS DOUBLE) / count(*) + 1e-7, 2) AS avg_order_value
        FROM m_done GROUP BY isodow(day), dayname(day)""")
 oracle("q12_data_window", "first_order:d last_order:d days_covered:i span:s",
        """SELECT f AS first_order, d AS last_order, d - f AS days_covered, (k // 12) || ' years ' || (k % 12) || ' mons ' ||
@@ -40,7 +40,7 @@ oracle("q12_data_window", "first_order:d last_order:d days_covered:i span:s",
 
 # ---- sales
 oracle("q13_monthly_trend", "month:d orders:i net_revenue:f avg_order_value:f",
-       """SELECT month, count(*) AS orders, sum(net) AS net_revenue, round(CAST(sum(total) AS DOUBLE) / count(*), 2) AS avg_order_value FROM m_done GROUP BY month""")
+       """SELECT month, count(*) AS orders, sum(net) AS net_revenue, round(CAST(sum(total) AS DOUBLE) / count(*) + 1e-7, 2) AS avg_order_value FROM m_done GROUP BY month""")
 oracle("q14_yearly_growth", "yr:i orders:i net_revenue:f previous_year_revenue:f yoy_growth_pct:f",
        """SELECT y.yr, y.n AS orders, round(y.net, 0) AS net_revenue, round(b.net, 0) AS previous_year_revenue,
        round(100e0 * (CAST(y.net AS DOUBLE) / CAST(b.net AS DOUBLE) - 1), 2) AS yoy_growth_pct
@@ -96,7 +96,7 @@ oracle("q28_promotion_uplift",
        WHERE u IS NOT NULL AND b IS NOT NULL""")
 oracle("q29_basket_size", "basket_size:s orders:i avg_order_value:f share_of_orders_pct:f",
        """SELECT CASE WHEN k = 1 THEN '1 item' WHEN k = 2 THEN '2 items' WHEN k <= 4 THEN '3-4 items' ELSE '5+ items' END AS basket_size, count(*) AS orders,
-       round(CAST(sum(total) AS DOUBLE) / count(*), 2) AS avg_order_value, round(100e0 * count(*) / sum(count(*)) OVER (), 2) AS share_of_orders_pct
+       round(CAST(sum(total) AS DOUBLE) / count(*) + 1e-7, 2) AS avg_order_value, round(100e0 * count(*) / sum(count(*)) OVER (), 2) AS share_of_orders_pct
        FROM (SELECT o.order_id, o.total, count(*) AS k FROM m_done o JOIN m_it i ON i.order_id = o.order_id GROUP BY ALL) GROUP BY 1""")
 oracle("q30_payment_mix", "payment_method:s successful_payments:i amount_collected:f share_of_successful_pct:f failure_rate_pct:f",
        """SELECT method AS payment_method, ok AS successful_payments, round(a, 0) AS amount_collected, round(100e0 * ok / sum(ok) OVER (), 2) AS share_of_successful_pct,

@@ -4,7 +4,7 @@ NAME = "CASE WHEN trim(c.first_name) = 'AMIT' THEN 'Amit' WHEN trim(c.first_name
 oracle("q32_top_customers",
        "customer_id:i customer_name:s segment:s orders:i lifetime_net_revenue:f avg_order_value:f first_purchase:d last_purchase:d",
        f"""SELECT x.customer_id, {NAME} || coalesce(c.last_name, '') AS customer_name, coalesce(c.segment_name, '(none)') AS segment, x.n AS orders,
-       round(x.net, 0) AS lifetime_net_revenue, round(CAST(x.gross AS DOUBLE) / x.n, 0) AS avg_order_value, x.first_day AS first_purchase, x.last_day AS last_purchase
+       round(x.net, 0) AS lifetime_net_revenue, round(CAST(x.gross AS DOUBLE) / x.n + 1e-7, 0) AS avg_order_value, x.first_day AS first_purchase, x.last_day AS last_purchase
        FROM x_cust x JOIN m_cu c ON c.customer_id = x.customer_id ORDER BY x.net DESC, x.customer_id LIMIT 20""")
 oracle("q33_repeat_rate", "buying_customers:i repeat_customers:i one_time_customers:i repeat_customer_rate_pct:f",
        """SELECT count(*) AS buying_customers, sum((n > 1)::INT) AS repeat_customers, sum((n = 1)::INT) AS one_time_customers,
@@ -20,7 +20,7 @@ oracle("q36_frequency_bands", "frequency_band:s customers:i customer_share_pct:f
        round(100e0 * sum(net) / sum(sum(net)) OVER (), 2) AS revenue_share_pct FROM x_cust GROUP BY 1""")
 oracle("q37_segments", "segment:s buying_customers:i orders:i net_revenue:f revenue_share_pct:f revenue_per_customer:f avg_order_value:f",
        """SELECT coalesce(c.segment_name, '(no segment)') AS segment, count(*) AS buying_customers, sum(x.n) AS orders, round(sum(x.net), 0) AS net_revenue,
-       round(100e0 * sum(x.net) / sum(sum(x.net)) OVER (), 2) AS revenue_share_pct, round(CAST(sum(x.net) AS DOUBLE) / count(*), 0) AS revenue_per_customer,
+       round(100e0 * sum(x.net) / sum(sum(x.net)) OVER (), 2) AS revenue_share_pct, round(CAST(sum(x.net) AS DOUBLE) / count(*) + 1e-7, 0) AS revenue_per_customer,
        round(CAST(sum(x.gross) AS DOUBLE) / sum(x.n), 0) AS avg_order_value FROM x_cust x JOIN m_cu c ON c.customer_id = x.customer_id GROUP BY 1""")
 oracle("q38_new_and_returning", "month:d new_customers:i returning_customers:i active_customers:i returning_share_pct:f",
        """SELECT a.month, count(*) FILTER (a.month = f.m) AS new_customers, count(*) FILTER (a.month > f.m) AS returning_customers, count(*) AS active_customers,

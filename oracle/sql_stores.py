@@ -3,7 +3,7 @@ from .compose import oracle
 ST = "JOIN m_st s ON s.store_id = x.store_id"
 oracle("q72_store_scorecard",
        "store_name:s orders:i units:i net_revenue:f avg_order_value:f customers:i repeat_customer_rate_pct:f return_rate_pct:f inventory_value:f",
-       f"""SELECT s.store_name, x.n AS orders, u.u AS units, round(x.net, 0) AS net_revenue, round(CAST(x.gross AS DOUBLE) / x.n, 0) AS avg_order_value, c.c AS customers,
+       f"""SELECT s.store_name, x.n AS orders, u.u AS units, round(x.net, 0) AS net_revenue, round(CAST(x.gross AS DOUBLE) / x.n + 1e-7, 0) AS avg_order_value, c.c AS customers,
        round(100e0 * c.r / c.c, 1) AS repeat_customer_rate_pct, round(100e0 * coalesce(b.b, 0) / x.n, 2) AS return_rate_pct, round(v.v, 0) AS inventory_value
        FROM x_store x {ST} JOIN (SELECT store_id, sum(qty) AS u FROM m_sl GROUP BY 1) u ON u.store_id = x.store_id
        JOIN (SELECT store_id, count(*) AS c, count(*) FILTER (k > 1) AS r FROM (SELECT store_id, customer_id, count(*) AS k FROM m_done GROUP BY 1, 2) GROUP BY 1) c
@@ -34,7 +34,7 @@ oracle("q78_leading_category", "store_name:s leading_category:s revenue:f share_
        FROM (SELECT l.store_id, coalesce(c.category_name, '(no category)') AS category, sum(l.net) AS net FROM m_sl l JOIN m_pr p ON p.product_id = l.product_id
        LEFT JOIN m_cat c ON c.category_id = p.category_id GROUP BY 1, 2) x {ST} GROUP BY 1""")
 oracle("q79_order_value_gap", "store_name:s orders:i store_aov:f company_aov:f difference_pct:f",
-       f"""SELECT s.store_name, x.n AS orders, round(CAST(x.gross AS DOUBLE) / x.n, 0) AS store_aov, round(a.v, 0) AS company_aov,
+       f"""SELECT s.store_name, x.n AS orders, round(CAST(x.gross AS DOUBLE) / x.n + 1e-7, 0) AS store_aov, round(a.v, 0) AS company_aov,
        round(100e0 * (CAST(x.gross AS DOUBLE) / x.n / a.v - 1), 1) AS difference_pct FROM x_store x {ST}, (SELECT CAST(sum(total) AS DOUBLE) / count(*) AS v FROM m_done) a
        WHERE x.n > 100""")
 oracle("q80_revenue_per_employee", "store_name:s active_employees:i net_revenue:f revenue_per_active_employee:f",

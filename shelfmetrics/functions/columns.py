@@ -22,16 +22,18 @@ def ratio(a, b) -> Column:
 
 def pct(a, b, digits: int | None = None) -> Column:
     value = F.lit(100.0) * as_double(a) / no_zero(b)
-    return value if digits is None else F.round(value, digits)
+    return value if digits is None else rnd(value, digits)
 
 
 def growth_pct(now, before, digits: int | None = None) -> Column:
     value = F.lit(100.0) * (ratio(now, before) - 1)
-    return value if digits is None else F.round(value, digits)
+    return value if digits is None else rnd(value, digits)
 
 
 def rnd(x, digits: int = 2) -> Column:
-    return F.round(_c(x), digits)
+    """Half away from zero. A quotient of doubles can miss an exact half by its last bit, so it is first rounded six
+    digits further; decimals are not changed by that."""
+    return F.round(F.round(_c(x), digits + 6), digits)
 
 
 def net_of_tax(amount, rate_pct) -> Column:

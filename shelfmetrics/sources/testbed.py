@@ -194,8 +194,8 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
         r = F.col("l_linenumber") % 4
         return returned_lines().select(
             line_id.alias("return_id"), F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("return_date"),
-            F.when(r == 0, "Defective").when(r == 1, "Wrong item").when(r == 2, "Not as described")
-             .otherwise("Changed mind").alias("return_reason"),
+            F.when(r == 0, "DEFECTIVE").when(r == 1, "WRONG_ITEM").when(r == 2, "NOT_AS_DESCRIBED")
+             .otherwise("CHANGED_MIND").alias("return_reason"),
             line_total.alias("refund_amount"))
 
     def return_items() -> DataFrame:
