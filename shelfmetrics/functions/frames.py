@@ -1,8 +1,9 @@
 """Small frame-level helpers."""
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .columns import pct
@@ -27,3 +28,17 @@ def part_of_total(df: DataFrame, column: str, out: str, digits: int | None = 2,
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
+
+
+def inline_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few literal rows as a local relation: its size is known, so a join with it is broadcast."""
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+
+    fields = StructType.fromDDL(ddl).fields
+    names = ", ".join(f.name for f in fields)
+    values = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return table.select(*[F.col(f.name).cast(f.dataType) for f in fields])

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import as_double, band, growth_pct, one_row, part_of_total, pct, ratio, rnd, top
+from ..functions import as_double, band, growth_pct, inline_rows, one_row, part_of_total, pct, ratio, rnd, top
 from ..operators import abc_classes, percentiles, previous, quantile_buckets, running, trailing_mean
 from ..sources import Retail
 from .customers import cohort_activity, last_full_cohort
@@ -35,7 +35,7 @@ def get_query(m: Retail, sql: str) -> DataFrame:
 
 def labelled(spark, names: list[str], column: str) -> DataFrame:
     """Fixed rows of a presentation order, with their place."""
-    return spark.createDataFrame(list(enumerate(names)), f"_place int, {column} string")
+    return inline_rows(spark, list(enumerate(names)), f"_place int, {column} string")
 
 
 # ---- KPIs ------------------------------------------------------------------------------------------------------------

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import (as_double, cover_days, day_of, growth_pct, month_of, net_of_tax, no_zero, pct, ratio, rnd, title_name)
-from ..operators import abc_classes, previous, quantile_buckets
-from ..operators.ordering import attach_rank
-from ..sources import Retail
+from ..operators import abc_classes, cut_lineage, previous, quantile_buckets
+from ..sources import Retail, shared
 
 NO_CATEGORY, NO_BRAND, NO_SUPPLIER, NO_SEGMENT = "(no category)", "(brand missing)", "(supplier missing)", "(no segment)"
 
@@ -40,6 +39,7 @@ def within(day: Column, asof: Column, days: int) -> Column:
     return day > F.date_sub(asof, days)
 
 
+@shared
 def orders_with_calendar(m: Retail) -> DataFrame:
     day = day_of("order_date")
     return m.sales_orders.withColumns({
@@ -47,14 +47,26 @@ def orders_with_calendar(m: Retail) -> DataFrame:
         "net_amount": F.col("total_amount") - F.col("gst_amount")})
 
 
+@shared
 def completed(m: Retail) -> DataFrame:
     return orders_with_calendar(m).filter(F.col("order_status") == "COMPLETED")
 
 
+@shared
 def sold_lines(m: Retail) -> DataFrame:
     """Lines of completed orders with their money measures. The GST rate is taken from the line where the line records
     it, and from the product otherwise; only then is the product table joined."""
-    items = m.sales_order_items.withColumnRenamed("discount_amount", "line_discount")
+    return _sold(m, m.sales_order_items)
+
+
+@shared
+def sold_lines_keyed(m: Retail) -> DataFrame:
+    """The same with order_item_id."""
+    return _sold(m, m.keyed("sales_order_items"))
+
+
+def _sold(m: Retail, items: DataFrame) -> DataFrame:
+    items = items.withColumnRenamed("discount_amount", "line_discount")
     if "gst_rate" not in items.columns:
         items = items.join(m.products.select("product_id", "gst_rate"), "product_id")
     orders = completed(m).select("order_id", "order_date", "order_day", "order_month", "order_year", "store_id", "customer_id",
@@ -66,14 +78,15 @@ def sold_lines(m: Retail) -> DataFrame:
         "gross_profit": net - as_double(cogs)}).withColumnRenamed("line_discount", "discount_amount")
 
 
+@shared
 def returned_lines(m: Retail) -> DataFrame:
     """Return lines with the sold line they refer to: product, cost and refund without GST."""
-    items = m.sales_order_items
+    items = m.keyed("sales_order_items")
     if "gst_rate" not in items.columns:
         items = items.join(m.products.select("product_id", "gst_rate"), "product_id")
     sold = items.select("order_item_id", F.col("order_id").alias("line_order_id"), "product_id", "unit_cost", "gst_rate",
                         F.col("quantity").alias("units_in_line"))
-    back = m.return_items.withColumnRenamed("quantity", "units_returned").join(sold, "order_item_id")
+    back = m.keyed("return_items").withColumnRenamed("quantity", "units_returned").join(sold, "order_item_id")
     return back.withColumns({"refund_net": net_of_tax("refund_amount", "gst_rate"),
                              "cost_value": F.col("units_returned") * F.col("unit_cost")})
 
@@ -82,12 +95,14 @@ def units_returned(m: Retail, key: str = "product_id") -> DataFrame:
     return returned_lines(m).groupBy(key).agg(F.sum("units_returned").alias("units_returned"))
 
 
+@shared
 def canonical_products(m: Retail) -> DataFrame:
     """Products with their merged category: canonical id and name, NULL for products without one."""
     canon = category_canonical(m).select("category_id", "canonical_id", "canonical_name")
     return m.products.join(canon, "category_id", "left")
 
 
+@shared
 def stock_value(m: Retail) -> DataFrame:
     """Stock positions with product cost and value."""
     cost = m.products.select("product_id", "unit_cost")
@@ -103,6 +118,7 @@ def demand(m: Retail, by: list[str], short: int = 90, long: int = 365) -> DataFr
             .agg(F.sum(F.when(recent, F.col("quantity"))).alias("units_90d"), F.sum("quantity").alias("units_365d")))
 
 
+@shared
 def open_inbound(m: Retail) -> DataFrame:
     open_pos = m.purchases.filter(F.col("status") == "ORDERED").select("purchase_id", "store_id")
     return (m.purchase_items.join(open_pos, "purchase_id").groupBy("store_id", "product_id")
@@ -119,6 +135,7 @@ def health_status(on_hand: Column, reorder: Column, ceiling: Column, units_90d:
             .otherwise("HEALTHY"))
 
 
+@shared
 def positions(m: Retail) -> DataFrame:
     """Stock positions with value, demand and health."""
     stock = stock_value(m).join(demand(m, ["store_id", "product_id"]), ["store_id", "product_id"], "left")
@@ -155,6 +172,7 @@ def stock_class(quintile: Column, units_90d: Column, in_stock: Column) -> Column
             .when(low & moving & (cover < 30), "Low Revenue / Low Stock").otherwise("Other"))
 
 
+@shared
 def segment_names(m: Retail) -> DataFrame:
     return m.customer_segments.select("segment_id", "segment_name")
 
@@ -166,6 +184,7 @@ def asof(m: Retail) -> DataFrame:
                               F.max("order_date").cast("date").alias("asof_date"))
 
 
+@shared
 def category_canonical(m: Retail) -> DataFrame:
     same_name = Window.partitionBy(F.lower("category_name"))
     up = m.categories.select(F.col("category_id").alias("parent_category_id"), F.col("category_name").alias("parent_category"))
@@ -176,7 +195,7 @@ def category_canonical(m: Retail) -> DataFrame:
 
 def sales_lines(m: Retail) -> DataFrame:
     products = canonical_products(m).select("product_id", "canonical_id", "canonical_name")
-    return sold_lines(m).join(products, "product_id").select(
+    return sold_lines_keyed(m).join(products, "product_id").select(
         "order_id", "order_item_id", "order_date", "order_day", "order_month", "order_year", "store_id", "customer_id",
         "channel", "employee_id", "product_id", F.coalesce("canonical_id", F.lit(0)).alias("category_id"),
         F.coalesce("canonical_name", F.lit(NO_CATEGORY)).alias("category_name"), "promotion_id", "quantity", "unit_price",
@@ -214,7 +233,7 @@ def monthly_sales(m: Retail) -> DataFrame:
     lines = sold_lines(m).groupBy(F.col("order_month").alias("month")).agg(
         F.sum("quantity").alias("units_sold"), F.sum("net_revenue").alias("net"), F.sum("cogs").alias("cost"),
         F.sum("gross_profit").alias("profit"), F.sum("discount_amount").alias("disc"))
-    refunds = (returned_lines(m).join(m.returns.select("return_id", "return_date"), "return_id")
+    refunds = (returned_lines(m).join(m.keyed("returns").select("return_id", "return_date"), "return_id")
                .groupBy(month_of("return_date").alias("month")).agg(F.sum("refund_net").alias("refunded")))
 
     def zero(c: str) -> Column:
@@ -230,6 +249,7 @@ def monthly_sales(m: Retail) -> DataFrame:
         rnd(zero("refunded")).alias("refunded_net"), zero("online_orders").alias("online_orders")))
 
 
+@shared
 def product_sales(m: Retail) -> DataFrame:
     """One row per sold product; orders are counted from (product, order)."""
     last = asof_day(m)
@@ -244,22 +264,31 @@ def product_sales(m: Retail) -> DataFrame:
         F.sum(F.when(year, F.col("c"))).alias("cogs_12m"))
 
 
-def product_performance(m: Retail) -> DataFrame:
+def product_facts(m: Retail) -> DataFrame:
+    """Every product with its sales, returns and stock, as numbers only."""
     stock = stock_value(m).groupBy("product_id").agg(F.sum("quantity_on_hand").alias("units_in_stock"),
                                                      F.sum("value").alias("inventory_value"))
-    suppliers = m.suppliers.select("supplier_id", "supplier_name")
-    base = (canonical_products(m).join(suppliers, "supplier_id", "left").join(product_sales(m), "product_id", "left")
-            .join(units_returned(m), "product_id", "left").join(stock, "product_id", "left"))
-    filled = base.select(
+    base = (m.products.select("product_id").join(product_sales(m), "product_id", "left").join(units_returned(m), "product_id", "left")
+            .join(stock, "product_id", "left"))
+    return base.select("product_id", "first_sale_date", "last_sale_date", *[F.coalesce(c, F.lit(0)).alias(c) for c in (
+        "orders", "units_sold", "net_revenue", "gross_profit", "units_90d", "revenue_12m", "cogs_12m", "units_returned",
+        "units_in_stock", "inventory_value")])
+
+
+def product_performance(m: Retail) -> DataFrame:
+    """The facts are placed once and feed both orderings, which move two columns each. Equal revenues share the place of
+    their first row, so the rank needs no ordering of its own."""
+    facts = cut_lineage(product_facts(m)).withColumn("stocked", F.col("units_in_stock") > 0)
+    tiers = quantile_buckets(facts.select("product_id", "revenue_12m", "stocked"), 5,
+                             [F.col("revenue_12m").asc(), F.col("product_id").asc()], "quintile", ["stocked"])
+    classes = abc_classes(facts.select("product_id", "net_revenue"), "net_revenue", "product_id").drop("total_value", "row_count")
+    ranks = classes.groupBy("net_revenue").agg(F.min("row_no").alias("revenue_rank"))
+    placed = classes.join(ranks, "net_revenue").drop("net_revenue", "row_no")
+    named = canonical_products(m).join(m.suppliers.select("supplier_id", "supplier_name"), "supplier_id", "left").select(
         "product_id", "sku", "product_name", F.coalesce("brand", F.lit(NO_BRAND)).alias("brand"),
         F.coalesce("canonical_name", F.lit(NO_CATEGORY)).alias("category"),
-        F.coalesce("supplier_name", F.lit(NO_SUPPLIER)).alias("supplier"), "is_active", "unit_price", "unit_cost",
-        "launch_date", "first_sale_date", "last_sale_date",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("orders", "units_sold", "net_revenue", "gross_profit", "units_90d",
-                                                     "revenue_12m", "cogs_12m", "units_returned", "units_in_stock",
-                                                     "inventory_value")]).withColumn("stocked", F.col("units_in_stock") > 0)
-    tiered = quantile_buckets(filled, 5, [F.col("revenue_12m").asc(), F.col("product_id").asc()], "quintile", ["stocked"])
-    scored = attach_rank(abc_classes(tiered, "net_revenue", "product_id"), "net_revenue", "revenue_rank")
+        F.coalesce("supplier_name", F.lit(NO_SUPPLIER)).alias("supplier"), "is_active", "unit_price", "unit_cost", "launch_date")
+    scored = (named.join(facts, "product_id").join(tiers.select("product_id", "quintile"), "product_id").join(placed, "product_id"))
     return scored.select(
         "product_id", "sku", "product_name", "brand", "category", "supplier", "is_active", "unit_price", "unit_cost",
         "launch_date", "orders", "units_sold", rnd("net_revenue").alias("net_revenue"), rnd("gross_profit").alias("gross_profit"),
@@ -273,6 +302,7 @@ def product_performance(m: Retail) -> DataFrame:
         F.when(F.col("stocked"), stock_class(F.col("quintile"), F.col("units_90d"), F.col("units_in_stock"))).alias("product_class"))
 
 
+@shared
 def buyers(m: Retail) -> DataFrame:
     """One row per customer with a completed order."""
     last = asof_day(m)
@@ -366,14 +396,16 @@ def store_performance(m: Retail, year: int = 2025, before: int = 2024) -> DataFr
 
 
 def category_performance(m: Retail) -> DataFrame:
-    lines = sales_lines(m)
     keys = ["category_id", "order_year"]
-    per_order = lines.groupBy(*keys, "category_name", "order_id").agg(
+    names = canonical_products(m).select("product_id", F.coalesce("canonical_id", F.lit(0)).alias("category_id"),
+                                         F.coalesce("canonical_name", F.lit(NO_CATEGORY)).alias("category_name"))
+    per_order = sold_lines(m).join(names, "product_id").groupBy(*keys, "category_name", "order_id").agg(
         F.sum("quantity").alias("q"), F.sum("net_revenue").alias("r"), F.sum("gross_profit").alias("p"))
     sold = per_order.groupBy(*keys, "category_name").agg(
         F.sum("q").alias("units_sold"), F.sum("r").alias("net"), F.sum("p").alias("profit"), F.count("*").alias("orders"))
-    back = (m.return_items.select("order_item_id", F.col("quantity").alias("back"))
-            .join(lines.select("order_item_id", *keys), "order_item_id").groupBy(*keys).agg(F.sum("back").alias("units_returned")))
+    back = (returned_lines(m).groupBy(F.col("line_order_id").alias("order_id"), "product_id").agg(F.sum("units_returned").alias("u"))
+            .join(completed(m).select("order_id", "order_year"), "order_id").groupBy("product_id", "order_year").agg(F.sum("u").alias("u"))
+            .join(names.select("product_id", "category_id"), "product_id").groupBy(*keys).agg(F.sum("u").alias("units_returned")))
     joined = sold.join(back, keys, "left")
     before = previous("net", "order_year", by=["category_id"])
     return joined.select(
@@ -385,6 +417,7 @@ def category_performance(m: Retail) -> DataFrame:
         pct("net", F.sum("net").over(Window.partitionBy("order_year")), 2).alias("share_of_year_revenue_pct"))
 
 
+@shared
 def supplier_orders(m: Retail) -> DataFrame:
     last = asof_day(m)
     got, waiting = F.col("status") == "RECEIVED", F.col("status") == "ORDERED"
@@ -398,6 +431,7 @@ def supplier_orders(m: Retail) -> DataFrame:
         F.sum("total_amount").alias("spend"))
 
 
+@shared
 def supplier_fill(m: Retail) -> DataFrame:
     got = m.purchases.filter(F.col("status") == "RECEIVED").select("purchase_id", "supplier_id")
     return m.purchase_items.join(got, "purchase_id").groupBy("supplier_id").agg(
@@ -431,7 +465,7 @@ def supplier_performance(m: Retail) -> DataFrame:
 def return_analysis(m: Retail) -> DataFrame:
     products = canonical_products(m).select("product_id", "product_name", "canonical_name")
     customers = m.customers.select("customer_id", "segment_id").join(segment_names(m), "segment_id", "left")
-    header = m.returns.select("return_id", "order_id", "return_date", "return_reason")
+    header = m.keyed("returns").select("return_id", "order_id", "return_date", "return_reason")
     sale = orders_with_calendar(m).select("order_id", "order_date", "order_day", "customer_id", "store_id", "channel")
     base = (returned_lines(m).join(header, "return_id").join(sale, "order_id").join(products, "product_id")
             .join(m.stores.select("store_id", "store_name"), "store_id").join(customers, "customer_id"))

@@ -22,7 +22,7 @@ def sum_by(df: DataFrame, key: str, **sums: Column) -> DataFrame:
 def negative_balances(m: Retail) -> DataFrame:
     """Ledger rows after which the running balance of the position is below zero. The running sum is range-partitioned,
     so a position with very many movements is still spread over tasks."""
-    moves = m.inventory_transactions.select("store_id", "product_id", "transaction_date", "transaction_id", "quantity_change")
+    moves = m.keyed("inventory_transactions").select("store_id", "product_id", "transaction_date", "transaction_id", "quantity_change")
     run = running_totals(moves, [F.col("transaction_date").asc(), F.col("transaction_id").asc()], ["quantity_change"], ["store_id", "product_id"])
     return run.filter(F.col("run_quantity_change") < 0)
 
@@ -30,7 +30,7 @@ def negative_balances(m: Retail) -> DataFrame:
 def integrity_report(m: Retail) -> DataFrame:
     """(rule, violations). Sums that must be equal are reported as their absolute difference."""
     q, c = F.col("quantity"), F.col
-    items, orders = m.sales_order_items, m.sales_orders
+    items, orders, keyed = m.sales_order_items, m.sales_orders, m.keyed("sales_order_items")
     head = orders.select("order_id", "order_date", "order_status", "channel", "store_id", "employee_id", "customer_id", "subtotal",
                          c("discount_amount").alias("head_discount"), "total_amount", "gst_amount")
     day = c("order_date").cast("date")
@@ -39,8 +39,8 @@ def integrity_report(m: Retail) -> DataFrame:
     promoted = items.filter(c("promotion_id").isNotNull()).select("order_id", "product_id", "promotion_id")
     paid = sum_by(m.payments.filter(c("payment_status") == "SUCCESS"), "order_id", paid=c("amount"))
     pay = m.payments.join(orders.select("order_id", "order_status", "channel"), "order_id")
-    back = sum_by(m.return_items, "order_item_id", back=q)
-    refunds = sum_by(m.return_items, "return_id", s=c("refund_amount"))
+    back = sum_by(m.keyed("return_items"), "order_item_id", back=q)
+    refunds = sum_by(m.keyed("return_items"), "return_id", s=c("refund_amount"))
     ledger = m.inventory_transactions
     sales = ledger.filter(c("transaction_type") == "SALE")
     known = orders.select(c("order_id").alias("reference_id"), "order_status")
@@ -68,14 +68,14 @@ def integrity_report(m: Retail) -> DataFrame:
         "cancelled orders are refunded": pay.filter((c("order_status") == "CANCELLED") & (c("payment_status") != "REFUNDED")),
         "completed orders are not refunded": pay.filter((c("order_status") == "COMPLETED") & (c("payment_status") == "REFUNDED")),
         "cash only in store": pay.filter((c("payment_method") == "CASH") & (c("channel") == "ONLINE")),
-        "returned <= sold": items.select("order_item_id", "quantity").join(back, "order_item_id").filter(c("back") > q),
+        "returned <= sold": keyed.select("order_item_id", "quantity").join(back, "order_item_id").filter(c("back") > q),
         "returns on completed orders, after the order": m.returns.select("order_id", "return_date").join(head, "order_id").filter(
             (c("order_status") != "COMPLETED") | (c("return_date") <= c("order_date"))),
-        "return header = sum of items": m.returns.select("return_id", "refund_amount").join(refunds, "return_id").filter(
+        "return header = sum of items": m.keyed("returns").select("return_id", "refund_amount").join(refunds, "return_id").filter(
             far(c("refund_amount"), c("s"), 0.05)),
-        "return item belongs to the order": m.return_items.select("return_id", "order_item_id").join(
-            m.returns.select("return_id", c("order_id").alias("of_order")), "return_id").join(
-            items.select("order_item_id", "order_id"), "order_item_id").filter(c("order_id") != c("of_order")),
+        "return item belongs to the order": m.keyed("return_items").select("return_id", "order_item_id").join(
+            m.keyed("returns").select("return_id", c("order_id").alias("of_order")), "return_id").join(
+            keyed.select("order_item_id", "order_id"), "order_item_id").filter(c("order_id") != c("of_order")),
         "running ledger balance >= 0": negative_balances(m),
         "ledger = stock on hand": stock_against_ledger(m),
         "ledger row has a position": ledger.select("store_id", "product_id").join(

@@ -44,8 +44,8 @@ def q504_correlated_average(m: Retail, floor: float = 100000, times: float = 3)
 
 @query("Returned quantity of one product")
 def q505_product_returns(m: Retail, product_id: int = 13) -> DataFrame:
-    lines = m.sales_order_items.filter(F.col("product_id") == product_id).select("order_item_id", "product_id")
-    return m.return_items.select("order_item_id", "quantity").join(lines, "order_item_id").groupBy("product_id").agg(
+    lines = m.keyed("sales_order_items").filter(F.col("product_id") == product_id).select("order_item_id", "product_id")
+    return m.keyed("return_items").select("order_item_id", "quantity").join(lines, "order_item_id").groupBy("product_id").agg(
         F.sum("quantity").alias("units_returned"))
 
 
@@ -95,7 +95,7 @@ def q513_category_products(m: Retail, category_id: int = 1) -> DataFrame:
 
 @query("Returns of one order")
 def q514_order_returns(m: Retail, order_id: int = 20000) -> DataFrame:
-    return m.returns.filter(F.col("order_id") == order_id).select("return_id", "return_date", "refund_amount")
+    return m.keyed("returns").filter(F.col("order_id") == order_id).select("return_id", "return_date", "refund_amount")
 
 
 @query("Payments of one order")
@@ -105,7 +105,7 @@ def q515_order_payments(m: Retail, order_id: int = 20000) -> DataFrame:
 
 @query("Return lines of one sold line")
 def q516_line_returns(m: Retail, order_item_id: int | str = 58934) -> DataFrame:
-    return m.return_items.filter(F.col("order_item_id") == order_item_id).select("return_item_id", "quantity", "refund_amount")
+    return m.keyed("return_items").filter(F.col("order_item_id") == order_item_id).select("return_item_id", "quantity", "refund_amount")
 
 
 @query("Large orders against the customer's own average, pre-aggregated")

@@ -80,6 +80,35 @@ def stock_against_ledger(m: Retail) -> DataFrame:
     return held.withColumn("ledger_stock", F.coalesce("qty", F.lit(0))).filter(F.col("quantity_on_hand") != F.col("ledger_stock"))
 
 
+def order_book(m: Retail) -> DataFrame:
+    """All counts that compare an order with its lines and payments. Lines and payments are summed per order and joined
+    once on the order, which keeps orders without either and either without an order."""
+    lines = m.sales_order_items.groupBy("order_id").agg(
+        F.count("*").alias("line_rows"), F.sum("line_total").alias("line_sum"), F.count_if(F.col("quantity") <= 0).alias("none"),
+        F.count_if(F.col("quantity") >= 25).alias("many"))
+    paid = m.payments.groupBy("order_id").agg(
+        F.count("*").alias("pay_rows"), F.sum(F.when(F.col("payment_status") == "SUCCESS", F.col("amount"))).alias("paid"))
+    head = m.sales_orders.select("order_id", "total_amount", "order_status")
+    book = head.join(lines, "order_id", "full_outer").join(paid, "order_id", "full_outer")
+    known, done = F.col("order_status").isNotNull(), F.col("order_status") == "COMPLETED"
+
+    def off(a: str, b: str, limit: float) -> Column:
+        return F.abs(F.col(a) - F.col(b)).cast("double") > limit
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    def orphans(c: str) -> Column:
+        return F.coalesce(F.sum(F.when(~known, F.col(c))), F.lit(0))
+
+    return book.agg(
+        total("line_rows").alias("lines"), total("none").alias("DQ16"), total("many").alias("DQ17"), total("pay_rows").alias("payments"),
+        F.count_if(known).alias("orders"), F.count_if(done).alias("done"), F.count_if(F.col("order_status") == "CANCELLED").alias("DQ29"),
+        F.count_if(off("total_amount", "line_sum", 0.05)).alias("DQ18"), F.count_if(done & F.col("pay_rows").isNull()).alias("DQ21"),
+        F.count_if(done & off("total_amount", "paid", 0.01)).alias("DQ22"),
+        orphans("line_rows").alias("orphan_lines"), orphans("pay_rows").alias("orphan_payments"))
+
+
 def scorecard_counts(m: Retail, run_day: Column | None = None) -> DataFrame:
     """One row with the issue count of every check and the row totals: one aggregate per base table for all checks that
     look at single rows, one aggregate per check that needs a join or a grouping."""
@@ -98,46 +127,32 @@ def scorecard_counts(m: Retail, run_day: Column | None = None) -> DataFrame:
         F.count("*").alias("products"), F.count_if(~F.col("is_active")).alias("inactive_products"),
         F.count_if(F.col("category_id").isNull()).alias("DQ11"), F.count_if(F.col("supplier_id").isNull()).alias("DQ12"),
         F.count_if(F.col("brand").isNull()).alias("DQ13"), F.count_if((F.col("unit_price") <= 0) | (F.col("unit_cost") < 0)).alias("DQ15"))
-    lines = m.sales_order_items.agg(F.count("*").alias("lines"), F.count_if(F.col("quantity") <= 0).alias("DQ16"),
-                                    F.count_if(F.col("quantity") >= 25).alias("DQ17"))
-    done, gone = F.col("order_status") == "COMPLETED", F.col("order_status") == "CANCELLED"
-    orders = m.sales_orders.agg(F.count("*").alias("orders"), F.count_if(done).alias("done"), F.count_if(gone).alias("DQ29"))
+    gone = F.col("order_status") == "CANCELLED"
     stock = m.inventory.agg(F.count("*").alias("positions"), F.count_if(F.col("quantity_on_hand") == 0).alias("DQ24"))
     vendors = m.suppliers.agg(F.count("*").alias("suppliers"), F.count_if(
         F.col("contact_email").isNull() | F.col("contact_phone").isNull() | F.col("gstin").isNull()).alias("DQ27"))
 
-    def off(a: str, b: str, limit: float) -> Column:
-        return F.abs(F.col(a) - F.col(b)).cast("double") > limit
-
-    headers = m.sales_orders.select("order_id", "total_amount", "order_status", "order_date", "customer_id")
-    line_sums = m.sales_order_items.groupBy("order_id").agg(F.sum("line_total").alias("s"))
-    paid = m.payments.filter(F.col("payment_status") == "SUCCESS").groupBy("order_id").agg(F.sum("amount").alias("s"))
+    headers = m.sales_orders.select("order_id", "order_status", "order_date", "customer_id")
     recent = m.sales_orders.filter(F.col("order_date") > m.sales_orders.agg(F.max("order_date")).scalar() - F.expr("INTERVAL 90 DAYS"))
     sale_moves = m.inventory_transactions.filter(F.col("transaction_type") == "SALE").select("reference_id")
-    key = headers.select("order_id")
     return one_row(
-        people, goods, lines, orders, stock, vendors, rows_in(m.categories, "categories"), rows_in(m.payments, "payments"),
-        rows_in(m.returns, "returns"), rows_in(m.purchases, "purchases"), rows_in(sale_moves, "sale_moves"),
+        people, goods, stock, vendors, order_book(m), rows_in(m.categories, "categories"),
         surplus_rows(m.customers.filter(F.col("email").isNotNull()), folded("email"), "DQ01"),
         surplus_rows(m.products, folded("product_name"), "DQ10"), surplus_rows(m.categories, F.lower("category_name"), "DQ14"),
-        rows_in(headers.join(line_sums, "order_id").filter(off("total_amount", "s", 0.05)), "DQ18"),
-        rows_in(m.sales_order_items.select("order_id").join(key, "order_id", "left_anti"), "orphan_lines"),
-        rows_in(m.payments.select("order_id").join(key, "order_id", "left_anti"), "orphan_payments"),
-        rows_in(m.returns.select("order_id").join(key, "order_id", "left_anti"), "orphan_returns"),
         rows_in(m.inventory.select("product_id").join(m.products.select("product_id"), "product_id", "left_anti"), "orphan_stock"),
         rows_in(headers.join(m.customers.select("customer_id", "registration_date"), "customer_id")
                 .filter(F.col("order_date").cast("date") < F.col("registration_date")), "early_orders"),
-        rows_in(m.returns.select("order_id", "return_date").join(headers, "order_id").filter(F.col("return_date") < F.col("order_date")),
-                "early_returns"),
-        rows_in(m.purchases.filter(F.col("received_date") < F.col("order_date")), "early_receipts"),
-        rows_in(headers.filter(done).join(m.payments.select("order_id"), "order_id", "left_anti"), "DQ21"),
-        rows_in(headers.filter(done).join(paid, "order_id").filter(off("total_amount", "s", 0.01)), "DQ22"),
+        m.returns.select("order_id", "return_date").join(headers.withColumn("known", F.lit(True)), "order_id", "left").agg(
+            F.count("*").alias("returns"), F.count_if(F.col("return_date") < F.col("order_date")).alias("early_returns"),
+            F.count_if(F.col("known").isNull()).alias("orphan_returns")),
+        m.purchases.agg(F.count("*").alias("purchases"), F.count_if(F.col("received_date") < F.col("order_date")).alias("early_receipts")),
         rows_in(stock_against_ledger(m), "DQ23"),
         rows_in(m.products.filter(~F.col("is_active")).join(m.inventory.filter(F.col("quantity_on_hand") > 0).select("product_id"), "product_id",
                                                             "left_semi"), "DQ25"),
         rows_in(m.customers.filter(~F.col("is_active")).join(recent.select("customer_id"), "customer_id", "left_semi"), "DQ26"),
         rows_in(m.products.join(m.sales_order_items.select("product_id"), "product_id", "left_anti"), "DQ28"),
-        rows_in(sale_moves.join(headers.filter(gone).select(F.col("order_id").alias("reference_id")), "reference_id"), "DQ30"),
+        sale_moves.join(headers.select(F.col("order_id").alias("reference_id"), "order_status"), "reference_id", "left").agg(
+            F.count("*").alias("sale_moves"), F.count_if(gone).alias("DQ30")),
     ).withColumns({
         "DQ19": F.col("orphan_lines") + F.col("orphan_payments") + F.col("orphan_returns") + F.col("orphan_stock"),
         "DQ20": F.col("early_orders") + F.col("early_returns") + F.col("early_receipts"),
@@ -225,7 +240,7 @@ def q306_ledger_mismatch(m: Retail, n: int = 15) -> DataFrame:
 @query("Extreme order-line quantities")
 def q307_extreme_quantities(m: Retail, n: int = 10) -> DataFrame:
     """The n lines are found first; means are then taken over all lines of their products only."""
-    lines = m.sales_order_items.select("order_item_id", "order_id", "product_id", "quantity", "line_total")
+    lines = m.keyed("sales_order_items").select("order_item_id", "order_id", "product_id", "quantity", "line_total")
     most = top(lines.join(m.sales_orders.select("order_id", "order_status"), "order_id"), n, F.col("quantity").desc(), F.col("order_id"),
                F.col("product_id"), F.col("line_total"))
     mean = lines.join(most.select("product_id"), "product_id", "left_semi").groupBy("product_id").agg(rnd(F.avg("quantity"), 1).alias("avg_qty_for_product"))

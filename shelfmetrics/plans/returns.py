@@ -76,9 +76,8 @@ def q93_returns_by_segment(m: Retail) -> DataFrame:
 
 @query("Products returned far more often than their category")
 def q94_unusual_returns(m: Retail, min_units: int = 40, min_returned: int = 8, times: float = 2.5, n: int = 15) -> DataFrame:
-    sold_in_full = m.sales_order_items.select("order_item_id", "order_id").join(completed(m).select("order_id"), "order_id")
-    back = (returned_lines(m).join(sold_in_full.select("order_item_id"), "order_item_id", "left_semi").groupBy("product_id")
-            .agg(F.sum("units_returned").alias("u")))
+    done = completed(m).select(F.col("order_id").alias("line_order_id"))
+    back = returned_lines(m).join(done, "line_order_id", "left_semi").groupBy("product_id").agg(F.sum("units_returned").alias("u"))
     kinds = m.products.select("product_id", "product_name", F.coalesce("category_id", F.lit(0)).alias("category_id"))
     per = product_totals(m).select("product_id", "units").join(back, "product_id", "left").join(kinds, "product_id").withColumn(
         "u", F.coalesce("u", F.lit(0)))
@@ -93,7 +92,7 @@ def q94_unusual_returns(m: Retail, min_units: int = 40, min_returned: int = 8, t
 
 @query("Refunds per month against revenue")
 def q95_refunds_per_month(m: Retail) -> DataFrame:
-    refunds = (returned_lines(m).join(m.returns.select("return_id", "return_date"), "return_id")
+    refunds = (returned_lines(m).join(m.keyed("returns").select("return_id", "return_date"), "return_id")
                .groupBy(month_of("return_date").alias("month")).agg(F.sum("refund_net").alias("back")))
     back = F.coalesce("back", F.lit(0.0))
     return monthly_revenue(m).join(refunds, "month", "left").select(
@@ -128,7 +127,7 @@ def q98_returns_by_channel(m: Retail) -> DataFrame:
 
 @query("Most common return reason of each category")
 def q99_top_reason(m: Retail) -> DataFrame:
-    header = m.returns.select("return_id", "return_reason")
+    header = m.keyed("returns").select("return_id", "return_reason")
     once = returned_lines(m).join(header, "return_id").join(merged_categories(m), "product_id").select(
         "canonical_id", "category_name", "return_reason", "return_id").distinct()
     by = once.groupBy("canonical_id", "category_name", "return_reason").agg(F.count("*").alias("n"))

@@ -7,11 +7,12 @@ from pyspark.sql.window import Window
 
 from ..functions import (band, basket_label, day_of, growth_pct, part_of_total, pct, quarter_of, ratio, rnd, top)
 from ..operators import previous, running, trailing_mean
-from ..sources import Retail
+from ..sources import Retail, shared
 from .datasets import NO_CATEGORY, asof_day, canonical_products, completed, first_day, sold_lines
 from .registry import query
 
 
+@shared
 def monthly_revenue(m: Retail) -> DataFrame:
     return completed(m).groupBy(F.col("order_month").alias("month")).agg(F.sum("net_amount").alias("net"))
 
@@ -37,6 +38,7 @@ def q15_month_growth(m: Retail) -> DataFrame:
                                      growth_pct("net", previous("net", "month"), 2).alias("mom_growth_pct")).orderBy("month")
 
 
+@shared
 def product_totals(m: Retail) -> DataFrame:
     """Per sold product, before the product's own attributes are joined."""
     return sold_lines(m).groupBy("product_id").agg(
@@ -69,6 +71,7 @@ def q18_category_contribution(m: Retail) -> DataFrame:
         pct(upto, F.sum("net").over(Window.partitionBy()), 2).alias("cumulative_share_pct")).orderBy(F.col("net_revenue").desc())
 
 
+@shared
 def revenue_by_store(m: Retail) -> DataFrame:
     return completed(m).groupBy("store_id").agg(F.count("*").alias("orders"), F.sum("net_amount").alias("net"),
                                                 F.sum("total_amount").alias("gross"))

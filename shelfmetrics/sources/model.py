@@ -1,6 +1,7 @@
 """The retail model: nineteen named tables, each a lazily opened DataFrame."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,21 +9,43 @@ from pyspark.sql import DataFrame, SparkSession
 from .schemas import TABLES, schema_of
 
 
+KEYED = "+key"
+
+
+def shared(plan: Callable[["Retail"], DataFrame]) -> Callable[["Retail"], DataFrame]:
+    """Build a plan once per model. It is the lazy plan that is kept, never its rows."""
+    @functools.wraps(plan)
+    def build(m: "Retail") -> DataFrame:
+        if plan.__name__ not in m._plans:
+            m._plans[plan.__name__] = plan(m)
+        return m._plans[plan.__name__]
+    return build
+
+
 class Retail:
     """Tables by attribute (``m.sales_orders``). A table is opened on first use and never collected here."""
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
-        unknown = set(tables) - set(TABLES)
+        unknown = {t.removesuffix(KEYED) for t in tables} - set(TABLES)
         if unknown:
             raise KeyError(f"not retail tables: {sorted(unknown)}")
         self.spark = spark
         self._tables = dict(tables)
+        self._plans: dict[str, DataFrame] = {}
+
+    def keyed(self, name: str) -> DataFrame:
+        """The table with its own key. A source that has to work for the key (a place in a file) offers the table twice;
+        plans ask for the key only where they join on it or return it."""
+        return self._open(name + KEYED if name + KEYED in self._tables else name)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
         if name not in self._tables:
             raise AttributeError(f"table {name} is not part of this model")
+        return self._open(name)
+
+    def _open(self, name: str) -> DataFrame:
         frame = self._tables[name]
         if not isinstance(frame, DataFrame):
             frame = self._tables[name] = frame()
@@ -32,7 +55,8 @@ class Retail:
         return [t for t in TABLES if t in self._tables]
 
     def with_tables(self, **frames: DataFrame | Callable[[], DataFrame]) -> "Retail":
-        return Retail(self.spark, {**self._tables, **frames})
+        kept = {t: f for t, f in self._tables.items() if t.removesuffix(KEYED) not in frames}
+        return Retail(self.spark, {**kept, **frames})
 
     def register_views(self) -> None:
         """Expose every table as a temp view, for ad-hoc SQL."""

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import Retail
+from ..functions import inline_rows
+from .model import KEYED, Retail
 
 # Fixed values of the adapter.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -26,22 +27,37 @@ STORES = 25
 POSITIONS_PER_PRODUCT = 4
 
 
+# Schemas of the driver's tables, so that opening one runs no inference job (fixed values).
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double,"
+                " l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def _open(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(RAW[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _name_list(names: list[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])
 
 
 def _cents(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("bigint")
+    """Whole cents of a positive amount."""
+    return (F.col(column) * 100 + 0.5).cast("bigint")
 
 
 def _money(cents: Column) -> Column:
     return (cents.cast("decimal(14,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,2)")
 
 
-def _int_div(a: Column, b: Column | int) -> Column:
-    return F.floor(a / b) if isinstance(b, int) else F.call_function("div", a, b)
-
-
 def _fix(column: str, digits: int) -> Column:
     return F.col(column).cast(f"decimal({digits},2)")
 
@@ -51,17 +67,21 @@ def _hashed_store(key: str) -> Column:
 
 
 def testbed(spark: SparkSession, sf_dir: str) -> Retail:
+    opened: dict[str, DataFrame] = {}
+
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name not in opened:
+            opened[name] = _open(spark, sf_dir, name)
+        return opened[name]
 
     def supplier_count() -> Column:
         return raw("supplier").agg(F.count("*")).scalar()
 
     def customer_segments() -> DataFrame:
-        return spark.createDataFrame([(i + 1, n) for i, n in enumerate(SEGMENTS)], "segment_id int, segment_name string")
+        return inline_rows(spark, [(i + 1, n) for i, n in enumerate(SEGMENTS)], "segment_id int, segment_name string")
 
     def categories() -> DataFrame:
-        return spark.createDataFrame(CATEGORY_ROWS, "category_id int, category_name string, parent_category_id int")
+        return inline_rows(spark, CATEGORY_ROWS, "category_id int, category_name string, parent_category_id int")
 
     def suppliers() -> DataFrame:
         k = F.col("s_suppkey")
@@ -134,7 +154,7 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
             (k % 9 != 0).alias("is_active"))
 
     def promotions() -> DataFrame:
-        rows = spark.createDataFrame(PROMOTION_ROWS, "promotion_id int, promo_code string, discount_type string, v int, s string")
+        rows = inline_rows(spark, PROMOTION_ROWS, "promotion_id int, promo_code string, discount_type string, v int, s string")
         start = F.col("s").cast("date")
         return rows.select("promotion_id", "promo_code", F.col("promo_code").alias("promo_name"), "discount_type",
                            F.col("v").cast("decimal(10,2)").alias("discount_value"), start.alias("start_date"),
@@ -160,7 +180,8 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
             (total - gst + discount).alias("subtotal"), discount.alias("discount_amount"),
             gst.alias("gst_amount"), total.alias("total_amount"))
 
-    # A line has no key in the data: its place in its file is one, and needs no shuffle to be known.
+    # A line has no key in the data: its place in its file is one, and needs no shuffle to be known. A scan that knows
+    # places builds them for every row, so tables are offered without the key and, under KEYED, with it.
     line_id = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index"))
     units = F.col("l_quantity").cast("int")
     gross, rate = _fix("l_extendedprice", 12), _fix("l_discount", 4)
@@ -168,9 +189,9 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
     cost_cents = F.call_function("div", price_cents * (F.col("l_partkey") % 30 + 55), F.lit(100).cast("bigint"))
     line_total = gross * (F.lit(1).cast("decimal(1,0)") - rate)
 
-    def sales_order_items() -> DataFrame:
+    def sales_order_items(*key: Column) -> DataFrame:
         return raw("lineitem").select(
-            line_id.alias("order_item_id"), F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+            *key, F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
             F.when(F.col("l_discount") >= 0.05, F.round(F.col("l_discount") * 100).cast("int")).alias("promotion_id"),
             units.alias("quantity"), _money(price_cents).alias("unit_price"), _money(cost_cents).alias("unit_cost"),
             (gross * rate).alias("discount_amount"), line_total.alias("line_total"),
@@ -190,18 +211,17 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
     def returned_lines() -> DataFrame:
         return raw("lineitem").filter(F.col("l_returnflag") == "R")
 
-    def returns() -> DataFrame:
+    def returns(*key: Column) -> DataFrame:
         r = F.col("l_linenumber") % 4
         return returned_lines().select(
-            line_id.alias("return_id"), F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("return_date"),
+            *key, F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("return_date"),
             F.when(r == 0, "DEFECTIVE").when(r == 1, "WRONG_ITEM").when(r == 2, "NOT_AS_DESCRIBED")
              .otherwise("CHANGED_MIND").alias("return_reason"),
             line_total.alias("refund_amount"))
 
-    def return_items() -> DataFrame:
+    def return_items(*keys: Column) -> DataFrame:
         return returned_lines().select(
-            line_id.alias("return_item_id"), line_id.alias("return_id"), line_id.alias("order_item_id"),
-            units.alias("quantity"), line_total.alias("refund_amount"), (F.col("l_linestatus") == "O").alias("restocked"))
+            *keys, units.alias("quantity"), line_total.alias("refund_amount"), (F.col("l_linestatus") == "O").alias("restocked"))
 
     def inventory() -> DataFrame:
         k, s = F.col("product_id"), F.col("store_id")
@@ -227,27 +247,30 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
             F.when(received, F.date_add(day, lead - 4 + (F.col("o_custkey") % 9).cast("int"))).alias("received_date"),
             F.when(received, "RECEIVED").otherwise("ORDERED").alias("status"), _fix("o_totalprice", 12).alias("total_amount"))
 
-    def purchase_items() -> DataFrame:
+    def purchase_items(*key: Column) -> DataFrame:
         return raw("lineitem").select(
-            line_id.alias("purchase_item_id"), F.col("l_orderkey").alias("purchase_id"), F.col("l_partkey").alias("product_id"),
+            *key, F.col("l_orderkey").alias("purchase_id"), F.col("l_partkey").alias("product_id"),
             units.alias("quantity_ordered"),
             F.when(F.col("l_linenumber") == 1, units - 1).otherwise(units).alias("quantity_received"),
             _money(cost_cents).alias("unit_cost"))
 
-    def inventory_transactions() -> DataFrame:
+    item_key, return_key, po_key = line_id.alias("order_item_id"), line_id.alias("return_id"), line_id.alias("purchase_item_id")
+    return_keys = (line_id.alias("return_item_id"), return_key, item_key)
+
+    def inventory_transactions(with_key: bool = False) -> DataFrame:
         def entry(df: DataFrame, kind: str, change: Column, when: Column, ref_type: str | None, ref: Column, key: Column) -> DataFrame:
             return df.select(
-                F.concat(F.lit(kind[:3]), key).alias("transaction_id"), "store_id", "product_id",
+                *([F.concat(F.lit(kind[:3]), key).alias("transaction_id")] if with_key else []), "store_id", "product_id",
                 F.lit(kind).alias("transaction_type"), change.cast("bigint").alias("quantity_change"),
                 when.cast("timestamp_ntz").alias("transaction_date"), F.lit(ref_type).alias("reference_type"),
                 ref.cast("bigint").alias("reference_id"))
 
         orders = sales_orders().select("order_id", "store_id", "order_date", "order_status")
-        sold = sales_order_items().join(orders.filter(F.col("order_status") == "COMPLETED"), "order_id")
-        back = (returns().select("return_id", "order_id", "return_date").join(orders, "order_id")
-                .join(return_items().filter("restocked"), "return_id")
-                .join(sales_order_items().select("order_item_id", "product_id"), "order_item_id"))
-        bought = purchase_items().join(purchases().filter(F.col("status") == "RECEIVED"), "purchase_id")
+        sold = sales_order_items(*([item_key] if with_key else [])).join(orders.filter(F.col("order_status") == "COMPLETED"), "order_id")
+        back = returned_lines().filter(F.col("l_linestatus") == "O").select(
+            *([return_keys[0]] if with_key else []), F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+            units.alias("quantity"), F.col("l_shipdate").alias("return_date")).join(orders, "order_id")
+        bought = purchase_items(*([po_key] if with_key else [])).join(purchases().filter(F.col("status") == "RECEIVED"), "purchase_id")
         stock, none = inventory(), F.lit(None)
         parts = [
             entry(stock, "OPENING", F.lit(500), F.lit("1995-01-01").cast("date"), None, none, F.col("inventory_id")),
@@ -272,13 +295,16 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
         "products": products, "stores": stores, "employees": employees, "customers": customers, "promotions": promotions,
         "product_promotions": product_promotions, "sales_orders": sales_orders, "sales_order_items": sales_order_items,
         "payments": payments, "returns": returns, "return_items": return_items, "inventory": inventory,
-        "inventory_transactions": inventory_transactions, "purchases": purchases, "purchase_items": purchase_items})
+        "inventory_transactions": inventory_transactions, "purchases": purchases, "purchase_items": purchase_items,
+        "sales_order_items" + KEYED: lambda: sales_order_items(item_key), "returns" + KEYED: lambda: returns(return_key),
+        "return_items" + KEYED: lambda: return_items(*return_keys), "purchase_items" + KEYED: lambda: purchase_items(po_key),
+        "inventory_transactions" + KEYED: lambda: inventory_transactions(True)})
 
 
 def event_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase events as completed orders: the only driver table with a real time of day."""
     amount = _fix("value", 12)
-    return (spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("event_type") == "purchase").select(
+    return (_open(spark, sf_dir, "events").filter(F.col("event_type") == "purchase").select(
         F.col("event_id").alias("order_id"), F.col("user_id").alias("customer_id"),
         _hashed_store("user_id").alias("store_id"), F.col("ts").alias("order_date"),
         F.lit("IN_STORE").alias("channel"), F.lit("COMPLETED").alias("order_status"),
