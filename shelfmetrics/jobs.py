@@ -120,10 +120,9 @@ def export_all(m: Retail, target: str, names: list[str] | None = None) -> DataFr
         frame, part, text = EXPORTS[name]
         seen = Observation(name)
         df = frame(m)
-        out = df.observe(seen, F.count("*").alias("rows"))
-        # A month goes to tasks by a range over month and a second column, so that a large month is spread.
-        if part:
-            out = out.repartitionByRange(part, df.columns[0])
+        # A month goes to tasks by a range over month and a second column, so that a large month is spread. Rows are
+        # observed after it, as placing a range samples the rows before it once more.
+        out = (df.repartitionByRange(part, df.columns[0]) if part else df).observe(seen, F.count("*").alias("rows"))
         writer = out.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option(
             "timestampFormat", "yyyy-MM-dd HH:mm:ss").option("dateFormat", "yyyy-MM-dd")
         (writer.partitionBy(part) if part else writer).csv(f"{target}/{name}")

@@ -14,9 +14,9 @@ def pair_counts(lines: DataFrame, basket: str, item: str, label: str, block: int
     blocks = items.join(big, basket, "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64(item), F.col("parts")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = blocks.select(F.col(basket), own.alias("i"), others.alias("j"), F.col(item).alias("a"),
+    left = blocks.select(F.col(basket).alias("_basket"), own.alias("_i"), others.alias("_j"), F.col(item).alias("item_a"),
                          F.col(label).alias("label_a"), F.col("times").alias("times_a"))
-    right = blocks.select(F.col(basket), others.alias("i"), own.alias("j"), F.col(item).alias("b"),
+    right = blocks.select(F.col(basket).alias("_basket"), others.alias("_i"), own.alias("_j"), F.col(item).alias("item_b"),
                           F.col(label).alias("label_b"), F.col("times").alias("times_b"))
-    pairs = left.join(right, [basket, "i", "j"]).filter(F.col("a") < F.col("b"))
+    pairs = left.join(right, ["_basket", "_i", "_j"]).filter(F.col("item_a") < F.col("item_b"))
     return pairs.groupBy("label_a", "label_b").agg(F.sum(F.col("times_a") * F.col("times_b")).alias("together"))

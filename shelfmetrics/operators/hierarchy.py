@@ -2,18 +2,21 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
+
 
 def descend(df: DataFrame, key: str, parent: str, label: str, max_depth: int = 50) -> DataFrame:
-    """Every node reachable from a root: (key, root, depth, path). One join per level, until a level is empty;
-    a cycle would never end, hence the depth limit, which raises instead of returning part of the tree."""
+    """Every node reachable from a root: (key, root, depth, path). One join per level, until a level is empty. Levels are
+    checkpointed, so a level costs one join however deep it lies. A cycle below a root would never end, hence the depth
+    limit, which raises instead of returning part of the tree."""
     nodes = df.select(F.col(key).alias("node"), F.col(parent).alias("up"), F.col(label).cast("string").alias("name"))
     level = nodes.filter(F.col("up").isNull()).select(
         "node", F.col("node").alias("root"), F.lit(1).alias("depth"), F.col("name").alias("path"))
     found = level
     for depth in range(2, max_depth + 2):
         above = level.select(F.col("node").alias("up"), "root", F.col("path").alias("above"))
-        level = nodes.join(above, "up").select(
-            "node", "root", F.lit(depth).alias("depth"), F.concat_ws(" > ", "above", "name").alias("path"))
+        level = cut_lineage(nodes.join(above, "up").select(
+            "node", "root", F.lit(depth).alias("depth"), F.concat_ws(" > ", "above", "name").alias("path")))
         if level.isEmpty():
             return found.select(F.col("node").alias(key), "root", "depth", "path")
         found = found.unionByName(level)

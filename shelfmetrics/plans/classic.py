@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import part_of_total, pct, ratio, rnd, top
-from ..operators import consecutive_runs, percentiles, previous
+from ..functions import one_row, part_of_total, pct, ratio, rnd, top
+from ..operators import consecutive_runs, not_in, percentiles, previous
 from ..sources import Retail
 from .datasets import completed, sold_lines
 from .registry import query
@@ -112,10 +112,9 @@ def q210_above_category_average(m: Retail) -> DataFrame:
 
 @query("NOT IN with NULLs against NOT EXISTS")
 def q211_not_in_trap(m: Retail) -> DataFrame:
-    trap = m.spark.sql("SELECT count(*) AS n FROM {cats} WHERE category_id NOT IN (SELECT category_id FROM {used})",
-                       cats=m.categories, used=m.products.select("category_id").distinct())
-    honest = m.categories.join(m.products.select("category_id"), "category_id", "left_anti")
-    return trap.select(F.col("n").alias("not_in_result"), honest.agg(F.count("*")).scalar().alias("not_exists_result"))
+    trap = not_in(m.categories, m.products, "category_id").agg(F.count("*").alias("not_in_result"))
+    honest = m.categories.join(m.products.select("category_id"), "category_id", "left_anti").agg(F.count("*").alias("not_exists_result"))
+    return one_row(trap, honest)
 
 
 @query("Months by direction of change")

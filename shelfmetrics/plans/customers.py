@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import band, one_row, part_of_total, pct, ratio, rnd, title_name, top
-from ..operators import gap_days, percentiles, quantile_buckets
+from ..operators import gap_days, not_in, percentiles, quantile_buckets
 from ..sources import Retail
 from .datasets import (NO_SEGMENT, asof_day, buyers, completed, rfm_label, segment_names, sold_lines)
 from .registry import query
@@ -45,9 +45,8 @@ def q34_never_purchased(m: Retail) -> DataFrame:
     people, bought = m.customers.select("customer_id"), completed(m).select("customer_id", "order_id")
     by_left = people.join(bought, "customer_id", "left").filter(F.col("order_id").isNull())
     by_anti = people.join(bought, "customer_id", "left_anti")
-    not_in = m.spark.sql("SELECT count(*) AS via_not_in FROM {people} WHERE customer_id NOT IN (SELECT customer_id FROM {known})",
-                         people=people, known=bought.select("customer_id").distinct())
-    return one_row(by_left.agg(F.count("*").alias("via_left_join")), by_anti.agg(F.count("*").alias("via_not_exists")), not_in)
+    return one_row(by_left.agg(F.count("*").alias("via_left_join")), by_anti.agg(F.count("*").alias("via_not_exists")),
+                   not_in(people, bought, "customer_id").agg(F.count("*").alias("via_not_in")))
 
 
 @query("Never-purchased customers by registration year")
