@@ -62,7 +62,7 @@ cte("d_cat", """SELECT category_id, category_name, yr AS year, o AS orders, u AS
   FROM d_line GROUP BY 1, 2, 3)""")
 cte("d_sup", """SELECT s.supplier_id, s.supplier_name, s.city, s.state, s.is_active, s.lead AS promised_lead_days, coalesce(p.k, 0) AS products, round(coalesce(p.v, 0), 2) AS net_revenue_of_products,
   coalesce(x.pos, 0) AS total_pos, coalesce(x.rec, 0) AS received_pos, round(coalesce(x.spend, 0), 2) AS purchase_spend, round(100e0 * x.on_time / x.rec, 2) AS on_time_pct,
-  round(x.delay, 2) AS avg_days_vs_expected, round(x.lead_days, 2) AS actual_lead_days, round(x.lead_days - s.lead, 2) AS lead_time_gap_days, round(100e0 * f.g / f.o, 2) AS fill_rate_pct,
+  round(x.delay + 1e-7 * sign(x.delay), 2) AS avg_days_vs_expected, round(x.lead_days + 1e-7, 2) AS actual_lead_days, round((x.lead_days - s.lead) + 1e-7 * sign(x.lead_days - s.lead), 2) AS lead_time_gap_days, round(100e0 * f.g / f.o, 2) AS fill_rate_pct,
   coalesce(x.open_pos, 0) AS open_pos, coalesce(x.overdue, 0) AS overdue_pos, s.contact_email IS NULL OR s.contact_phone IS NULL OR s.gstin IS NULL AS missing_contact_info
  FROM m_su s LEFT JOIN x_supo x ON x.supplier_id = s.supplier_id LEFT JOIN x_fill f ON f.supplier_id = s.supplier_id
  LEFT JOIN (SELECT p.supplier_id, count(*) AS k, sum(round(x.net, 2)) AS v FROM m_pr p LEFT JOIN x_prod x ON x.product_id = p.product_id WHERE p.supplier_id IS NOT NULL GROUP BY 1) p

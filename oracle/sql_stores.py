@@ -49,15 +49,15 @@ oracle("q81_supplier_spend", "supplier_name:s purchase_orders:i units_ordered:i
        ORDER BY x.v DESC LIMIT 15""")
 oracle("q82_on_time",
        "supplier_name:s promised_lead_days:i received_pos:i on_time_pct:f avg_days_vs_expected:f worst_delay_days:i",
-       f"""SELECT s.supplier_name, s.lead AS promised_lead_days, x.rec AS received_pos, round(100e0 * x.on_time / x.rec, 1) AS on_time_pct, round(x.delay, 1) AS avg_days_vs_expected,
+       f"""SELECT s.supplier_name, s.lead AS promised_lead_days, x.rec AS received_pos, round(100e0 * x.on_time / x.rec, 1) AS on_time_pct, round(x.delay + 1e-7 * sign(x.delay), 1) AS avg_days_vs_expected,
        x.worst AS worst_delay_days FROM x_supo x {SU} WHERE x.rec >= 30 ORDER BY round(100e0 * x.on_time / x.rec, 1), x.supplier_id LIMIT 15""")
 oracle("q83_fill_rate", "supplier_name:s ordered:i received:i fill_rate_pct:f short_shipped_lines:i",
        f"""SELECT s.supplier_name, x.o AS ordered, x.g AS received, round(100e0 * x.g / x.o, 2) AS fill_rate_pct, x.short AS short_shipped_lines FROM x_fill x {SU}
        WHERE x.o >= 200 ORDER BY round(100e0 * x.g / x.o, 2), x.supplier_id LIMIT 15""")
 oracle("q84_lead_time", "supplier_name:s promised_days:i actual_avg_days:f gap_days:f assessment:s",
-       f"""SELECT s.supplier_name, s.lead AS promised_days, round(x.lead_days, 1) AS actual_avg_days, round(x.lead_days - s.lead, 1) AS gap_days,
+       f"""SELECT s.supplier_name, s.lead AS promised_days, round(x.lead_days + 1e-7, 1) AS actual_avg_days, round((x.lead_days - s.lead) + 1e-7 * sign(x.lead_days - s.lead), 1) AS gap_days,
        CASE WHEN x.lead_days - s.lead > 2 THEN 'Slower than promised' WHEN x.lead_days - s.lead < -2 THEN 'Faster than promised' ELSE 'In line' END AS assessment
-       FROM x_supo x {SU} WHERE x.rec >= 30 ORDER BY round(x.lead_days - s.lead, 1) DESC, x.supplier_id LIMIT 15""")
+       FROM x_supo x {SU} WHERE x.rec >= 30 ORDER BY round((x.lead_days - s.lead) + 1e-7 * sign(x.lead_days - s.lead), 1) DESC, x.supplier_id LIMIT 15""")
 oracle("q85_supplier_dependency", "supplier:s products_sold:i net_revenue:f revenue_share_pct:f",
        """SELECT coalesce(s.supplier_name, '(supplier missing on product)') AS supplier, count(*) AS products_sold, round(sum(x.net), 0) AS net_revenue,
        round(100e0 * sum(x.net) / (SELECT sum(net) FROM x_prod), 2) AS revenue_share_pct FROM x_prod x JOIN m_pr p ON p.product_id = x.product_id
@@ -70,7 +70,7 @@ oracle("q87_open_orders", "supplier_name:s open_pos:i overdue_pos:i max_days_ove
        WHERE x.open_pos > 0 ORDER BY x.overdue DESC, x.open_value DESC LIMIT 15""")
 oracle("q88_supplier_score",
        "supplier_name:s received_pos:i on_time_pct:f fill_rate_pct:f lead_time_gap_days:f composite_score:f overall_rank:i",
-       f"""SELECT supplier_name, rec AS received_pos, round(p, 1) AS on_time_pct, round(g, 1) AS fill_rate_pct, round(w, 1) AS lead_time_gap_days, round(score, 2) AS composite_score,
+       f"""SELECT supplier_name, rec AS received_pos, round(p, 1) AS on_time_pct, round(g, 1) AS fill_rate_pct, round(w + 1e-7 * sign(w), 1) AS lead_time_gap_days, round(score, 2) AS composite_score,
        rank() OVER (ORDER BY score DESC) AS overall_rank FROM (SELECT *, (percent_rank() OVER (ORDER BY p) + percent_rank() OVER (ORDER BY g) + percent_rank() OVER (ORDER BY w DESC)) / 3 AS score
         FROM (SELECT x.supplier_id, s.supplier_name, x.rec, 100e0 * x.on_time / x.rec AS p, 100e0 * f.g / f.o AS g, x.lead_days - s.lead AS w
          FROM x_supo x {SU} JOIN x_fill f ON f.supplier_id = x.supplier_id WHERE x.rec >= 30)) ORDER BY score DESC, supplier_id LIMIT 10""")

@@ -251,7 +251,8 @@ def monthly_sales(m: Retail) -> DataFrame:
 
 @shared
 def product_sales(m: Retail) -> DataFrame:
-    """One row per sold product; orders are counted from (product, order)."""
+    """One row per sold product; orders are counted from (product, order). Behind a sort-merge join the lines already lie
+    by order, so the finer grouping needs no shuffle of its own."""
     last = asof_day(m)
     recent, year = within(F.col("order_day"), last, 90), within(F.col("order_day"), last, 365)
     per_order = sold_lines(m).groupBy("product_id", "order_id").agg(
@@ -275,6 +276,16 @@ def product_facts(m: Retail) -> DataFrame:
         "units_in_stock", "inventory_value")])
 
 
+def product_classes(m: Retail) -> DataFrame:
+    """Every product with its category, revenue and ABC class only: the part of the product dataset that measures need."""
+    net = sold_lines(m).groupBy("product_id").agg(F.sum("net_revenue").alias("net"))
+    every = m.products.select("product_id").join(net, "product_id", "left").select("product_id", F.coalesce("net", F.lit(0.0)).alias("net"))
+    names = canonical_products(m).select("product_id", "product_name", F.coalesce("canonical_name", F.lit(NO_CATEGORY)).alias("category"))
+    return abc_classes(every, "net", "product_id").join(names, "product_id").select(
+        "product_id", "product_name", "category", rnd("net").alias("net_revenue"),
+        F.when(F.col("net") == 0, "No sales").otherwise(F.col("abc_class")).alias("abc_class"))
+
+
 def product_performance(m: Retail) -> DataFrame:
     """The facts are placed once and feed both orderings, which move two columns each. Equal revenues share the place of
     their first row, so the rank needs no ordering of its own."""

@@ -137,8 +137,8 @@ def _dated(df: DataFrame, day: str) -> DataFrame:
     return df.withColumns({"year": F.year(day), "month": F.trunc(day, "month")})
 
 
-def fact(m: Retail, name: str) -> DataFrame:
-    """A fact with the attributes that reach it; unused ones are pruned with their joins' columns."""
+def fact(m: Retail, name: str, summary: DataFrame | None = None) -> DataFrame:
+    """A fact with the attributes that reach it. The customer summary is passed in, as two facts read it."""
     places = m.stores.select("store_id", "region", "store_name")
     if name in ("lines", "lines_12m"):
         goods = d.canonical_products(m).select("product_id", "product_name", F.coalesce("canonical_name", F.lit(d.NO_CATEGORY)).alias("category"))
@@ -155,11 +155,11 @@ def fact(m: Retail, name: str) -> DataFrame:
     if name == "stock":
         return d.inventory_health(m).join(places.drop("store_name"), "store_id")
     if name == "customers":
-        return d.customer_summary(m)
+        return summary
     if name == "new_customers":
-        return _dated(d.customer_summary(m).filter(F.col("cohort_month").isNotNull()), "cohort_month")
+        return _dated(summary.filter(F.col("cohort_month").isNotNull()), "cohort_month")
     if name == "products":
-        return d.product_performance(m)
+        return d.product_classes(m)
     if name == "calendar":
         days = m.dim_date.select(F.col("date_key").alias("day")).filter(F.col("day").between(d.first_day(m), d.asof_day(m)))
         return _dated(days, "day")
@@ -213,9 +213,10 @@ def measures(m: Retail, names: Sequence[str], group_by: Sequence[str] = (), filt
         if isinstance(MEASURES[n], Base):
             by_fact.setdefault(MEASURES[n].fact, []).append(n)
     frames: list[tuple[list[str], DataFrame]] = []
+    summary = d.customer_summary(m) if {"customers", "new_customers"} & set(by_fact) else None
     for f, wanted in by_fact.items():
         own = [k for k in keys if k in REACH[f]]
-        rows = _filtered(fact(m, f), filters, REACH[f])
+        rows = _filtered(fact(m, f, summary), filters, REACH[f])
         frames.append((own, rows.groupBy(*own).agg(*[MEASURES[n].value().alias(n) for n in wanted])))
     if timed:
         frames.append((keys, time_measures(m, keys, filters).select(*keys, *timed)))
