@@ -103,6 +103,13 @@ def _dataset(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: conform(DATASETS[name][0](_model(spark, sf_dir), **options))
 
 
+def _used_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The category lookup over the categories that products of the given tables carry."""
+    m = _model(spark, sf_dir)
+    used = m.categories.join(m.products.select("category_id"), "category_id", "left_semi")
+    return conform(dataset(m.with_tables(categories=used), "vw_category_canonical"))
+
+
 # Analysis functions by the datasets they take.
 ON_DATASETS: dict[str, tuple[Callable, list[str], dict]] = {
     "headline_kpis": (analysis.headline_kpis, ["vw_monthly_sales", "vw_customer_summary", "vw_inventory_health", "vw_orders"], {}),
@@ -200,6 +207,7 @@ ON_MODEL: dict[str, Callable[[Retail], DataFrame]] = {
     "expected_kpis_all_data": all_data,
     "expected_kpis_by_year": by_year,
     "validation_report": lambda m: report(run_checks(m, months=80)),
+    "validation_checks": lambda m: run_checks(m, months=80).select(F.col("check").alias("check_name"), "passed"),
     "integrity_report": integrity_report,
     "load_report": lambda m: load_report(m, years=(6, 7)),
     "calendar_window": window_calendar,
@@ -218,6 +226,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _named(name) for name in QUERIES}
     out |= {"q21_time_slots": _time_slots, "q301_scorecard": _scorecard, "q516_line_returns": _line_returns}
     out |= {name: _dataset(name) for name in DATASETS}
+    out["vw_category_canonical"] = _used_categories
     out |= {name: _on_datasets(name) for name in ON_DATASETS}
     out |= {name: (lambda spark, sf_dir, fn=fn: conform(fn(_model(spark, sf_dir)))) for name, fn in ON_MODEL.items()}
     out |= {

@@ -267,6 +267,57 @@ RULES = {
 }
 oracle("integrity_counts", "rule:s violations:i", " UNION ALL ".join(f"SELECT '{r}' AS rule, ({q}) AS violations" for r, q in RULES.items()))
 
+# ---- validation of the datasets and of the load
+def close(a: str, b: str, limit: int = 5) -> str:
+    return f"abs(CAST(({a}) AS DOUBLE) - CAST(({b}) AS DOUBLE)) <= {limit}"
+
+
+def total(c: str, t: str) -> str:
+    return f"SELECT sum({c}) FROM {t}"
+
+
+def none(t: str, p: str) -> str:
+    return f"(SELECT count(*) FROM {t} WHERE {p}) = 0"
+
+
+VIEWS = {"vw_monthly_sales": "d_month", "vw_product_performance": "d_product", "vw_customer_summary": "d_customer", "vw_inventory_health": "d_stock",
+         "vw_store_performance": "d_store", "vw_category_performance": "d_cat", "vw_supplier_performance": "d_sup", "vw_return_analysis": "d_ret"}
+FIVE = "('OUT_OF_STOCK', 'LOW_STOCK', 'HEALTHY', 'OVERSTOCKED', 'DEAD_STOCK')"
+DATASET_CHECKS = [(f"{v}: non-empty with expected columns", f"(SELECT count(*) FROM {t}) > 0") for v, t in VIEWS.items()] + [
+    ("customer_id is unique in vw_customer_summary", "(SELECT count(*) = count(DISTINCT customer_id) FROM d_customer)"),
+    ("product_id is unique in vw_product_performance", "(SELECT count(*) = count(DISTINCT product_id) FROM d_product)"),
+    ("(store_id, product_id) is unique in vw_inventory_health", "(SELECT count(*) = count(DISTINCT (store_id, product_id)) FROM d_stock)"),
+    ("80 distinct months in vw_monthly_sales", "(SELECT count(DISTINCT month) = 80 FROM d_month)"),
+    ("no negative revenue, units or stock", f"{none('d_month', 'net_revenue < 0')} AND {none('d_product', 'units_sold < 0')} AND {none('d_stock', 'quantity_on_hand < 0')}"),
+    ("percentages are within 0-100 where they must be",
+     f"{none('d_product', 'return_rate_pct NOT BETWEEN 0 AND 100')} AND {none('d_store', 'return_rate_pct NOT BETWEEN 0 AND 100 OR repeat_customer_rate_pct NOT BETWEEN 0 AND 100')}"),
+    ("gross margin is below 100 % everywhere", none("d_product", "margin_pct >= 100")),
+    ("reserved stock never exceeds stock on hand", none("d_stock", "reserved_quantity > quantity_on_hand")),
+    ("inventory health statuses are the five defined classes", none("d_stock", f"health_status NOT IN {FIVE}")),
+    ("RFM segments are the five defined labels", "(SELECT count(DISTINCT rfm_segment) = 5 FROM d_customer)"),
+    ("category names are canonical (no case-variant duplicates)", "(SELECT count(DISTINCT category_name) = count(DISTINCT lower(category_name)) FROM d_cat)"),
+    ("net revenue: monthly view = product view", close(total("net_revenue", "d_month"), total("net_revenue", "d_product"))),
+    ("net revenue: monthly view = store view", close(total("net_revenue", "d_month"), total("net_revenue", "d_store"))),
+    ("net revenue: monthly view = category view", close(total("net_revenue", "d_month"), total("net_revenue", "d_cat"))),
+    ("net revenue: monthly view = customer view", close(total("net_revenue", "d_month"), total("net_revenue", "d_customer"))),
+    ("gross profit: monthly view = product view", close(total("gross_profit", "d_month"), total("gross_profit", "d_product"))),
+    ("inventory value: health view = product view = store view",
+     f"{close(total('inventory_value', 'd_stock'), total('inventory_value', 'd_product'))} AND {close(total('inventory_value', 'd_stock'), total('inventory_value', 'd_store'))}"),
+    ("units sold: monthly view = product view", f"({total('units_sold', 'd_month')}) = ({total('units_sold', 'd_product')})"),
+    ("completed orders: monthly view = store view = customer view",
+     f"({total('orders', 'd_month')}) = ({total('orders', 'd_store')}) AND ({total('orders', 'd_store')}) = ({total('orders', 'd_customer')})"),
+    ("net revenue: views = base table sales_orders", close(total("net_revenue", "d_month"), total("net", "m_done"))),
+    ("orders: views = base table sales_orders", f"({total('orders', 'd_month')}) = (SELECT count(*) FROM m_done)"),
+    ("refund value: return view = returns table", close(total("refund_amount", "d_ret"), total("refund", "m_rl"), 1)),
+]
+oracle("validation_checks", "check_name:s passed:b", " UNION ALL ".join(f"SELECT '{n}' AS check_name, {e} AS passed" for n, e in DATASET_CHECKS))
+LOADED = {"customers": ("m_cu", 5000), "products": ("m_pr", 500), "categories": ("m_cat", 15), "suppliers": ("m_su", 50), "stores": ("m_st", 10), "employees": ("m_em", 50),
+          "sales_orders": ("m_so", 50000), "sales_order_items": ("m_it", 100000), "payments": ("m_pay", 50000), "inventory": ("m_inv", 5000),
+          "inventory_transactions": ("m_ledger", 50000), "purchases": ("m_po", 5000), "returns": ("m_rl", 2000), "promotions": ("m_promo", 20)}
+oracle("load_report", "rule:s passed:b detail:f", " UNION ALL ".join(
+    [f"SELECT '{n} has at least {k} rows' AS rule, count(*) >= {k} AS passed, count(*) AS detail FROM {t}" for n, (t, k) in LOADED.items()]
+    + ["SELECT 'window of 6 to 7 years', (d - f) / 365.25 BETWEEN 6 AND 7, round((d - f) / 365.25, 2) FROM m_asof"]))
+
 # ---- sources
 oracle("calendar_window",
        "date_key:d year:i quarter:i month:i month_name:s year_month:s week_of_year:i day_of_month:i day_of_week:i day_name:s is_weekend:b",

@@ -19,10 +19,9 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str] =
     """Add ``row_no``/``row_count`` and, for each name in ``sums``, ``run_<name>``/``all_<name>``: the inclusive running
     total and the grand total in ``order`` within ``by``. The order must be total (end with a key); a hot value is then
     split over slices like any other. The placement is checkpointed, because both sides of the join below must see the
-    same slices even after a task is retried."""
+    same slices even after a task is retried. AQE merges neighbouring slices that are small, which keeps their order."""
     by, sums = list(by), list(sums)
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(df.repartitionByRange(slices, *[F.col(b).asc_nulls_first() for b in by], *order)
+    placed = cut_lineage(df.repartitionByRange(*[F.col(b).asc_nulls_first() for b in by], *order)
                          .withColumn("_slice", F.spark_partition_id()))
 
     per_slice = placed.groupBy("_slice", *by).agg(
