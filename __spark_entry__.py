@@ -17,6 +17,12 @@ from shelfmetrics.plans.validation import report, run_checks
 from shelfmetrics.sources import Retail, event_orders, testbed
 from shelfmetrics.sources.validate import violation_counts
 
+try:  # the subpackage may be absent, and then its queries are too
+    from shelfmetrics.llm.queries import QUERIES as LLM_QUERIES
+    from shelfmetrics.llm.sql import ORACLE as LLM_ORACLE
+except ImportError:
+    LLM_QUERIES, LLM_ORACLE = {}, {}
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # The reference's constants, moved into the data window of the driver's tables (1995 to 2001).
@@ -241,8 +247,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name in KEYS_LEFT_OUT:
         out[name] = _without_keys(out[name], name)
-    return out
+    return out | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | LLM_ORACLE
