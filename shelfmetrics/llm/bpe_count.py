@@ -37,7 +37,8 @@ class BytePairCounter:
             spec = json.load(f)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # Of white space, the library knows the Unicode property only; Python adds four control characters.
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         added = sorted((a["content"] for a in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         # Symbols as numbers: a pair's entry holds its rank and the merged symbol.
@@ -102,6 +103,8 @@ class BytePairCounter:
 
     def count(self, text: str) -> int:
         """White space ends every word, so each piece between white space counts alone and is remembered."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self.whole(text)
         pieces, known, total = text.split(), self.chunks, 0
         for p in pieces:
             n = known.get(p)
