@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language
 from .bpe_count import count_tokens
+from .chat_format import expand, parse, unescape
 from .common import read
+from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .sharding import place
+from .toxicity import classify
 
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
 
@@ -20,6 +28,70 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low quality first, then toxicity; the labels' columns are the categories."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    scored = classify(read(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_low_quality") >= 0.5).alias("low_quality"), (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+def held_out(doc_id) -> F.Column:
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"))
+    model = language.fit(docs.filter(~apart))
+    return language.predict(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("tiles")
+
+
+DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()),
+                    ("formatted_chars", pa.int64())])
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the examples of a conversation, which follow each other: turns from the last one, trained text from each."""
+    done: list[list] = [[] for _ in DIGEST]
+
+    def close(conv, text, loss, chars, formatted):
+        turns = parse(text)
+        sha = hashlib.sha256("".join(f"{role}\n{said}\n" for role, said in turns).encode("utf-8", "surrogatepass"))
+        for col, x in zip(done, (conv, len(turns), sha.hexdigest(), chars, loss.hexdigest(), formatted)):
+            col.append(x)
+
+    state = None
+    for b in batches:
+        for conv, example, text, start, stop in zip(*[b.column(c).to_pylist() for c in ("conv_id", "example", "text", "loss_start", "loss_end")]):
+            if state is None or example == 0:
+                if state:
+                    close(*state)
+                state = [conv, "", hashlib.sha256(), 0, 0]
+            said = unescape(text[start:stop])
+            state[1] = text
+            state[2].update(said.encode("utf-8", "surrogatepass"))
+            state[3] += len(said)
+            state[4] += len(text)
+        if len(done[0]) >= 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(done, DIGEST)], schema=DIGEST)
+            done[:] = [[] for _ in DIGEST]
+    if state:
+        close(*state)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(done, DIGEST)], schema=DIGEST)
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    examples = expand(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+    return examples.mapInArrow(_read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(read(spark, sf_dir, "documents"), SHARDS, size=2503).select("doc_id", "slot", "shard")
 
@@ -32,4 +104,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op8_sharding, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_language, op4_decontamination, op6_chat_format, op8_sharding, op9_token_counts, op10_exact_dedup)}

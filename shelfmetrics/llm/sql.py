@@ -3,6 +3,18 @@
 from __future__ import annotations
 
 ORACLE = {
+    # Texts are compared unescaped, and each example repeats its prefix; the escapes add one character for each of \\ # < : in texts and roles.
+    "op6_chat_format": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+             f AS (SELECT *, 4 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + 2 + length(regexp_replace(text, '([\\#<:])', '\\\1', 'g')) + 9 AS chars,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM t),
+             p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS so_far, max(place) OVER (PARTITION BY conv_id) AS last FROM f)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(so_far) FILTER (role = 'assistant' OR place = last) AS BIGINT) AS formatted_chars
+        FROM p GROUP BY conv_id""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
