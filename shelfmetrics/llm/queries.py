@@ -16,6 +16,7 @@ from .chat_format import expand, parse, unescape
 from .common import read
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .jaccard_join import near_duplicates
 from .packing import pack
 from .sharding import place
 from .toxicity import classify
@@ -92,6 +93,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples.mapInArrow(_read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(read(spark, sf_dir, "documents"), SHARDS, size=2503).select("doc_id", "slot", "shard")
 
@@ -104,4 +109,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_language, op4_decontamination, op6_chat_format, op8_sharding, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_language, op4_decontamination, op6_chat_format, op7_jaccard_join, op8_sharding, op9_token_counts, op10_exact_dedup)}
