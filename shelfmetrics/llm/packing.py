@@ -5,8 +5,10 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .common import by_bytes, texts
 
-CACHE = 400_000  # pieces between white space a worker remembers; when full it starts afresh
+CACHE = 800_000  # pieces between white space a worker remembers; when full it starts afresh
 SLICE = 2 << 20  # bytes of text tokenized and packed at a time
 
 
@@ -22,28 +24,43 @@ class WordCache:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
     The vocabulary's pre-tokenizer never joins what white space divides, so each piece between white space is encoded by the library once and
-    then remembered. White space here is what the library takes for it; a text with a character that only Python divides at is encoded whole.
+    then remembered. New pieces go to the library many at a time, with a mark between them whose id no other piece can end in. White space here
+    is what the library takes for it; a text with a character that only Python divides at, or with the mark, is encoded by itself.
     """
 
+    MARK, ALONE = "\0", re.compile("[\0\x1c-\x1f]")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one worker per core
         from tokenizers import Tokenizer
         self.tool, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, found: list[str]) -> list[bytes]:
-        return [pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[:4 * len(e.ids)] for e in self.tool.encode_batch_fast(found, add_special_tokens=False)]
+        self.mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("the vocabulary has no id of its own for the mark")
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def pieces(self, found: list[str], most: int = 2000) -> Iterator[tuple[str, bytes]]:
+        for i in range(0, len(found), most):
+            some = found[i:i + most]
+            ids = self.encode(f" {self.MARK} ".join(some))
+            ends = np.flatnonzero(ids == self.mark[0])
+            data, bounds = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+            stops = [*(4 * ends).tolist(), len(data)]
+            yield from zip(some, [data[x:y] for x, y in zip(bounds, stops)], strict=True)
 
     def texts(self, found: list[str]) -> list[bytes]:
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in found]
+        odd = [self.ALONE.search(t) is not None for t in found]
         words = [[] if o else t.split() for t, o in zip(found, odd)]
-        new = [w for w in set().union(*words) if w not in self.known]
+        new = set().union(*words).difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHE:
                 self.known.clear()
-                new = list(set().union(*words))
-            self.known.update(zip(new, self.encode(new)))
+                new = set().union(*words)
+            self.known.update(self.pieces(list(new)))
         get = self.known.__getitem__
-        return [self.encode([t])[0] if o else b"".join(map(get, w)) for t, w, o in zip(found, words, odd)]
+        return [self.encode(t).tobytes() if o else b"".join(map(get, w)) for t, w, o in zip(found, words, odd)]
 
 
 @functools.cache
