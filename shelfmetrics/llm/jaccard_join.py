@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, checkpoint, texts
+from .common import by_bytes, stored, texts
 from .components import components
 
 CACHE = 400_000
@@ -227,13 +227,13 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     plan = Plan(num, den)
     rows = docs.filter("doc_id IS NOT NULL").mapInArrow(_signature_rows(width, plan), "sig bigint, doc_id bigint, same bigint")
     lowest = F.min("doc_id").over(Window.partitionBy("sig"))
-    stars = checkpoint(rows.select("doc_id", F.coalesce("same", lowest).alias("centre"), F.col("same").isNotNull().alias("equal"))
+    stars = stored(rows.select("doc_id", F.coalesce("same", lowest).alias("centre"), F.col("same").isNotNull().alias("equal"))
                        .filter("doc_id <> centre").distinct())
     candidates = stars.filter("not equal").select("doc_id", "centre")
     nodes = candidates.select("doc_id").union(candidates.select("centre")).distinct()
-    sets = checkpoint(docs.join(nodes, "doc_id").mapInArrow(_sets(width), "doc_id bigint, found binary"))
+    sets = stored(docs.join(nodes, "doc_id").mapInArrow(_sets(width), "doc_id bigint, found binary"))
     centres = sets.select(F.col("doc_id").alias("centre"), F.col("found").alias("centre_found"))
-    compared = checkpoint(candidates.join(centres, "centre").join(sets, "doc_id").select("doc_id", "found", "centre", "centre_found")
+    compared = stored(candidates.join(centres, "centre").join(sets, "doc_id").select("doc_id", "found", "centre", "centre_found")
                           .mapInArrow(_compare(num, den), "doc_id bigint, centre bigint, linked boolean, size bigint, delta binary, print binary"))
     # Equal sets among a star's members: one of them stands for all.
     one = compared.groupBy("centre", "print").agg(F.min("doc_id").alias("first"))

@@ -19,6 +19,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import near_duplicates
 from .packing import pack
 from .sharding import place
+from .substring_dedup import remove_repeats
 from .toxicity import classify
 
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
@@ -51,6 +52,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("tiles")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()),
                     ("formatted_chars", pa.int64())])
 
@@ -109,4 +116,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_language, op4_decontamination, op6_chat_format, op7_jaccard_join, op8_sharding, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_language, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_jaccard_join, op8_sharding, op9_token_counts, op10_exact_dedup)}
