@@ -242,3 +242,9 @@ def _by_join(ids: DataFrame, items: DataFrame, least: int, share: float, schema:
 
     both = pairs.join(ids, pairs.doc_id.eqNullSafe(ids.doc_id)).drop(ids.doc_id).join(items, pairs.item_id.eqNullSafe(items.item_id)).drop(items.item_id)
     return both.mapInArrow(run, schema)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs, all columns as they are, in which `contamination` finds no item."""
+    found = contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(found, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,29 +26,51 @@ def repeated_filter(docs: DataFrame, bits: int, hashes: int) -> DataFrame:
     return often.groupBy(_word(F.col("slot")).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(slot, {WORD}) AS INT))")).alias("bits"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 22, hashes: int = 2) -> DataFrame:
+def _marked(rows: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """rows, which have a `text` without nulls, with text_sha256 in its place, and `maybe`: false if surely no other row has the text."""
+    words = F.broadcast(repeated_filter(rows, bits, hashes))  # at most bits / 64 rows
+    marked = rows.withColumn("maybe", F.lit(True))
+    for seed in range(hashes):
+        slot = _slot(F.col("text"), seed, bits)
+        hit = F.getbit(F.coalesce("bits", F.lit(0).cast("bigint")), F.pmod("slot", F.lit(WORD)).cast("int")) == 1
+        marked = marked.withColumn("slot", slot).withColumn("word", _word(F.col("slot"))).join(words, "word", "left").withColumn(
+            "maybe", F.col("maybe") & hit).drop("slot", "word", "bits")
+    return marked.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+def _groups(several: DataFrame) -> DataFrame:
+    return several.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 22, hashes: int = 2, salts: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per document.
 
     The first pass counts, in a Bloom filter of fixed size, which slots several rows hit. The second pass tests each row: if one of its slots
-    was hit once, no other row has its text, and it goes straight through. Only the rest is grouped by SHA-256. When the filter fills up more
+    was hit once, no other row has its text, and it goes straight through. Only the rest is grouped by SHA-256, summed before the shuffle, and
+    meets its group's row over `salts` partitions, so that a text with very many copies does not end in one task. When the filter fills up more
     rows take the grouping; the result stays the same.
 
     Of equal texts the row with the largest doc_id stays; null text is the empty text; a null doc_id stays only among nulls. Rows that repeat
     doc_id and text alike count in group_size and share the value of kept. An empty table gives no rows.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    words = F.broadcast(repeated_filter(base, bits, hashes))  # at most bits / 64 rows
-    marked = base.withColumn("maybe", F.lit(True))
-    for seed in range(hashes):
-        at = _slot(F.col("text"), seed, bits)
-        marked = marked.withColumn("slot", at).withColumn("word", _word(at)).join(words, "word", "left").select(
-            "doc_id", "text", (F.col("maybe") & (F.getbit(F.coalesce("bits", F.lit(0).cast("bigint")), F.pmod("slot", F.lit(WORD)).cast("int")) == 1)).alias("maybe"))
-    marked = marked.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "maybe")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    marked = _marked(rows, bits, hashes)
     alone = marked.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
                                               F.lit(True).alias("kept"), "text_sha256")
-    several = marked.filter("maybe")
-    groups = several.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    grouped = several.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                                                         "text_sha256")
+    several = marked.filter("maybe").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    groups = _groups(several).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    grouped = several.join(groups, ["text_sha256", "salt"]).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionAll(grouped)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 22, hashes: int = 2) -> DataFrame:
+    """The rows of docs, all columns as they are, that `exact_dedup` keeps; of rows alike in id and text one stays."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    marked = _marked(rows, bits, hashes)
+    several = marked.filter("maybe")
+    groups = _groups(several.select("doc_id", "text_sha256"))
+    match = (several.text_sha256 == groups.text_sha256) & several.doc_id.eqNullSafe(groups.keep_id)
+    last = several.join(groups, match, "left_semi").groupBy("text_sha256").agg(F.first("row").alias("row"))
+    return marked.filter("not maybe").select("row.*").unionAll(last.select("row.*"))

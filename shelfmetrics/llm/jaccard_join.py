@@ -266,3 +266,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     found = components(links(ids, width, num, den)).withColumnRenamed("node", "doc_id")
     return ids.mapInArrow(sizes, "doc_id bigint, n_shingles bigint").join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def drop_near(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, without those that a link joins to a component of a smaller doc_id: one document of each stays."""
+    ids = texts(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    gone = components(links(ids, width, num, den)).filter("node <> component").select(F.col("node").alias(id_col))
+    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

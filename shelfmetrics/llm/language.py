@@ -100,6 +100,26 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(idf, vectors_, [r.lang for r in got], np.array([r.reach * slack for r in got]))
 
 
+def _predictions(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """The first column of each batch with lang_pred, score and rejected, from its column `text`."""
+    langs = np.array([*model.langs, UNKNOWN], object)
+    for whole in by_bytes(batches, 2 << 20):
+        for at in range(0, whole.num_rows, 512):  # a dense row per text
+            b = whole.slice(at, 512)
+            found = b.column("text").to_pylist()
+            best, score, far = np.full(len(found), -1), np.zeros(len(found)), np.ones(len(found), bool)
+            if len(model.langs):
+                x = counts(found)
+                full = np.sqrt(np.minimum(1, x.sum(axis=1) / FULL))
+                cos = unit(x * model.idf) @ model.centroids.T
+                best, score = cos.argmax(axis=1), np.clip(cos.max(axis=1).astype(float), 0, 1)
+                none = np.array([not LETTER.search(t) for t in found], bool)
+                far = (score < (1 - model.reach[best]) * full) | none
+                best, score = np.where(none, -1, best), np.where(none, 0, score)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[best], pa.string()), pa.array(score), pa.array(far)],
+                                             names=[b.schema.names[0], "lang_pred", "score", "rejected"])
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected: the language of the nearest centroid, its cosine, and whether it lies beyond the centroid's reach.
 
@@ -107,23 +127,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     length are read whole; repeated rows are predicted each; an empty table gives no rows. There is no shuffle.
     """
     ids = texts(docs, id_col, text_col)
-    langs = np.array([*model.langs, UNKNOWN], object)
+    return ids.mapInArrow(lambda batches: _predictions(batches, model), f"doc_id {dict(ids.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in by_bytes(batches, 2 << 20):
-            for at in range(0, whole.num_rows, 512):  # a dense row per text
-                b = whole.slice(at, 512)
-                found = b.column("text").to_pylist()
-                best, score, far = np.full(len(found), -1), np.zeros(len(found)), np.ones(len(found), bool)
-                if len(model.langs):
-                    x = counts(found)
-                    full = np.sqrt(np.minimum(1, x.sum(axis=1) / FULL))
-                    cos = unit(x * model.idf) @ model.centroids.T
-                    best, score = cos.argmax(axis=1), np.clip(cos.max(axis=1).astype(float), 0, 1)
-                    far = score < (1 - model.reach[best]) * full
-                    none = np.array([not LETTER.search(t) for t in found], bool)
-                    best, score, far = np.where(none, -1, best), np.where(none, 0, score), far | none
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs[best], pa.string()), pa.array(score), pa.array(far)],
-                                                 names=["doc_id", "lang_pred", "score", "rejected"])
-
-    return ids.mapInArrow(run, f"doc_id {dict(ids.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that `predict` does not reject."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: _predictions(batches, model), f"row {kind}, lang_pred string, score double, rejected boolean").filter(
+        "NOT rejected").select("row.*")
