@@ -18,8 +18,13 @@ from shelfmetrics.sources import Retail, event_orders, testbed
 from shelfmetrics.sources.validate import violation_counts
 
 try:  # the subpackage may be absent, and then its queries are too
+    from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+    from corpus_pipeline import run as pipeline
     from shelfmetrics.llm.queries import QUERIES as LLM_QUERIES
     from shelfmetrics.llm.sql import ORACLE as LLM_ORACLE
+
+    LLM_QUERIES = LLM_QUERIES | {"pipeline": pipeline}
+    LLM_ORACLE = LLM_ORACLE | ({"pipeline": PIPELINE_SQL} if PIPELINE_SQL else {})
 except ImportError:
     LLM_QUERIES, LLM_ORACLE = {}, {}
 
