@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from .common import by_bytes, texts
 
-CACHE = 400_000  # words a worker remembers; when full it starts afresh
+CACHE = 400_000  # words a task remembers; when full it starts afresh
 
 
 def byte_symbols() -> list[str]:
@@ -140,5 +140,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
             key = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays([key.cast(kind) if kind else key, pa.compute.binary_length(found).cast(pa.int64()), pa.array(n, pa.int64()),
                                               pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        tool.words.clear()
+        tool.chunks.clear()
 
     return ids.mapInArrow(run, f"doc_id {dict(ids.dtypes)['doc_id']}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 CONTROL = re.compile(r"[\\#<:]")  # every control string of the template holds one of these
 END = " </turn>\n"
 EXAMPLE = "conv_id {}, example bigint, target_turn bigint, text string, loss_start bigint, loss_end bigint"
@@ -71,6 +73,7 @@ def expand(conversations: DataFrame, target_role: str = "assistant", id_col: str
     Null roles and texts are empty; a null conv_id is a conversation of its own; turns of equal number, repeated rows included, go by role and
     text, a null number first. An empty table gives no rows.
     """
+    ship(conversations.sparkSession)
     kind = dict(conversations.dtypes)[id_col]
     turns = conversations.select(
         F.col(f"`{id_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("bigint").alias("turn"),

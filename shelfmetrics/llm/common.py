@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
@@ -30,8 +32,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this subpackage, once a session, so that they need no installation of the library."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = Path(__file__).parent
+        path = Path(tempfile.mkdtemp(prefix="ship-")) / f"{here.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            z.write(here.parent / "__init__.py", f"{here.parent.name}/__init__.py")
+            for f in sorted(here.glob("*.py")):
+                z.write(f, f"{here.parent.name}/{here.name}/{f.name}")
+        spark.sparkContext.addPyFile(str(path))
+        _SHIPPED.add(app)
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text), null text as the empty string; other columns play no part."""
+    ship(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, texts
 
-CACHE = 400_000
+CACHE = 200_000  # pieces between white space a task remembers; when full it starts afresh
 WORD = re.compile(r"\w+")
 BASE = 1_000_003
 MASK = (1 << 61) - 1  # modulus of the running hash, a prime
@@ -210,6 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, share:
                     found.append((coverage, spans))
             if keys:
                 yield _batch(keys, b.column("doc_id").type, hit, item_type, found)
+        _known().clear()
 
     return ids.mapInArrow(run, schema)
 
@@ -240,7 +241,8 @@ def _by_join(ids: DataFrame, items: DataFrame, least: int, share: float, schema:
             if keys:
                 yield _batch(keys, b.column("doc_id").type, hit, b.column("item_id").type, found)
 
-    both = pairs.join(ids, pairs.doc_id.eqNullSafe(ids.doc_id)).drop(ids.doc_id).join(items, pairs.item_id.eqNullSafe(items.item_id)).drop(items.item_id)
+    pairs = pairs.select(F.col("doc_id").alias("doc"), F.col("item_id").alias("item"))
+    both = pairs.join(ids, F.col("doc").eqNullSafe(F.col("doc_id"))).join(items, F.col("item").eqNullSafe(F.col("item_id"))).select("doc_id", "text", "item_id", "item_text")
     return both.mapInArrow(run, schema)
 
 

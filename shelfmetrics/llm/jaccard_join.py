@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from .common import by_bytes, stored, texts
 from .components import components
 
-CACHE = 400_000
+CACHE = 200_000  # words a task remembers; when full it starts afresh
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-BLOCK, BLOCK_BYTES = 512, 16 << 20  # members of a star that one task compares with as many others
+BLOCK, BLOCK_BYTES = 512, 1 << 20  # members of a star, and bytes of their sketches, that one task compares with as many others
 
 
 @functools.cache
@@ -143,111 +143,139 @@ def _signature_rows(width: int, plan: Plan):
             none = np.arange(len(a)) < len(a) - len(other)
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(a), pa.array(np.concatenate([np.zeros(len(a) - len(other), np.int64), np.array(same, np.int64)]), pa.int64(), mask=none)],
                                              names=["sig", "doc_id", "same"])
+        _known().clear()
     return run
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A byte for each of 2 ** p cells, at least as many as features: the sum of the features that fall there.
+
+    A feature that one of two sets lacks changes one cell, so sets differ in as many features as cells at least.
+    """
+    cells = 1 << max(0, int(len(found) - 1).bit_length())
+    h = mixed(found ^ SPREAD)
+    return np.bincount((h >> np.uint64(8)).astype(np.int64) & (cells - 1), ((h & np.uint64(255)) | np.uint64(1)).astype(np.int64), cells).astype(np.int64).astype(np.uint8)
+
+
+def folded(x: np.ndarray, cells: int) -> np.ndarray:
+    """Sketches (in the last dimension) over fewer cells."""
+    return x.reshape(*x.shape[:-1], -1, cells).sum(axis=-2, dtype=np.uint8)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 4 << 20):
-            found = [shingles(t, width).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "found"])
+            found = [shingles(t, width) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary()),
+                pa.array([sketch(f).tobytes() for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())],
+                names=["doc_id", "size", "print", "sketch", "found"])
+        _known().clear()
     return run
 
 
-def _compare(num: int, den: int):
-    """Each candidate with its star's centre: linked or not, and where the sets differ."""
+def _near(plan: Plan):
+    """The pairs whose sketches allow the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 8 << 20, "found"):
-            linked, size, delta, print_ = [], [], [], []
-            for x, y in zip(b.column("found").to_pylist(), b.column("centre_found").to_pylist()):
-                a, c = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                gap = np.setxor1d(a, c, assume_unique=True)
-                linked.append((den - num) * (len(a) + len(c)) >= (den + num) * len(gap))
-                size.append(len(a))
-                delta.append(gap.tobytes())
-                print_.append(xxhash.xxh3_128_digest(x))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("centre"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(delta, pa.binary()),
-                                              pa.array(print_, pa.binary())], names=["doc_id", "centre", "linked", "size", "delta", "print"])
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(*[b.column(c).to_pylist() for c in ("size_a", "size_b", "sketch_a", "sketch_b")]):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                cells = min(len(x), len(y))
+                keep.append(bool((folded(x, cells) != folded(y, cells)).sum() <= plan.apart(n + m)))
+            at = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([at.column("a"), at.column("b")], names=["a", "b"])
     return run
 
 
-def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-    """Places of the edges that join something new."""
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[x] = y
-            out.append(k)
-    return out
+def _linked(plan: Plan):
+    """The pairs that are similar by their whole sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, 8 << 20, "found_a"):
+            keep = []
+            for x, y in zip(b.column("found_a").to_pylist(), b.column("found_b").to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(plan.den * both >= plan.num * (len(x) + len(y) - both))
+            at = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([at.column("a"), at.column("b")], names=["a", "b"])
+    return run
 
 
-def _block(num: int, den: int):
-    """Links among the members of two blocks of a star, from their differences to its centre: |a ^ b| = |da| + |db| - 2 |da & db|."""
+def _block(plan: Plan):
+    """Pairs of members of two blocks of a star, of different components so far, whose sketches allow the similarity."""
     def run(table: pa.Table) -> pa.Table:
-        doc, size, linked = (table.column(c).to_numpy() for c in ("doc_id", "size", "linked"))
-        delta = [np.frombuffer(x, "<u8") for x in table.column("delta").to_pylist()]
-        n = np.array([len(d) for d in delta])
-        row, values = np.repeat(np.arange(len(doc)), n), np.concatenate([*delta, np.zeros(0, np.uint64)])
-        _, code, times = np.unique(values, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(times > 1)
-        column = np.full(len(times), -1)
-        column[shared] = np.arange(len(shared))
-        code = column[code]
-        row, code = row[code >= 0], code[code >= 0]
-        both = np.zeros((len(doc), len(doc)), np.float32)
-        for at in range(0, len(shared), 4096):
-            here = (code >= at) & (code < at + 4096)
-            x = np.zeros((len(doc), min(4096, len(shared) - at)), np.float32)
-            x[row[here], code[here] - at] = 1
-            both += x @ x.T
-        gap = n[:, None] + n[None, :] - 2 * both.astype(np.int64)
-        near = (den - num) * (size[:, None] + size[None, :]) >= (den + num) * gap
-        near &= ~(linked[:, None] & linked[None, :])  # joined through the centre
-        a, b = np.nonzero(np.triu(near, 1))
-        kept = spanning(a, b, len(doc))
-        return pa.table({"a": pa.array(doc[a[kept]], pa.int64()), "b": pa.array(doc[b[kept]], pa.int64())})
+        doc, size, label = (table.column(c).to_numpy() for c in ("doc_id", "size", "label"))
+        sketches = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+        cells, a, b = np.array([len(x) for x in sketches]), [], []
+        # Similar sets have as many cells or twice as many.
+        for own in np.unique(cells):
+            at = np.flatnonzero((cells == own) | (cells == 2 * own))
+            x = np.stack([folded(sketches[i], own) for i in at])
+            for k, i in enumerate(at.tolist()):
+                others = np.arange(k + 1, len(at))
+                others = others[((cells[i] == own) | (cells[at[others]] == own)) & (label[at[others]] != label[i])]
+                apart = (size[at[others]] + size[i]) * (plan.den - plan.num) // (plan.den + plan.num)
+                others = others[np.abs(size[at[others]] - size[i]) <= apart]
+                apart = (size[at[others]] + size[i]) * (plan.den - plan.num) // (plan.den + plan.num)
+                near = at[others[(x[others] != x[k]).sum(axis=1) <= apart]]
+                a.append(np.full(len(near), doc[i]))
+                b.append(doc[near])
+        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
     return run
 
 
+def _few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A stored table of one id column, marked for broadcast if it is counted to have at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b), stored, whose whole sets are similar."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    own = sets.select("doc_id", "found").join(_few(ids), "doc_id", "left_semi")
+    left, right = [own.select(F.col("doc_id").alias(c), F.col("found").alias(f"found_{c}")) for c in ("a", "b")]
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_linked(plan), "a bigint, b bigint")
+
+
 def links(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """a, b: enough links between documents (doc_id, text) to give all components of the graph of similar pairs.
 
-    Documents that share a signature form a star around the smallest of them. Each is compared with the centre by whole sets. Members that no
-    centre links may still be similar to each other; a star is cut into blocks, and pairs of blocks are compared in tasks of bounded size.
+    Documents that share a signature form a star around the smallest of them. Each is compared with the centre: by sketch, and by whole sets if the
+    sketches allow the similarity. Members that are not yet in one component may still be similar to each other; a star is cut into blocks, the
+    sketches of pairs of blocks are compared in tasks of bounded size, and pairs that these allow are compared by whole sets. Equal sets are
+    linked by their hash and compared once.
     """
     plan = Plan(num, den)
     rows = docs.filter("doc_id IS NOT NULL").mapInArrow(_signature_rows(width, plan), "sig bigint, doc_id bigint, same bigint")
     lowest = F.min("doc_id").over(Window.partitionBy("sig"))
     stars = stored(rows.select("doc_id", F.coalesce("same", lowest).alias("centre"), F.col("same").isNotNull().alias("equal"))
-                       .filter("doc_id <> centre").distinct())
+                   .filter("doc_id <> centre").distinct())
     candidates = stars.filter("not equal").select("doc_id", "centre")
-    nodes = candidates.select("doc_id").union(candidates.select("centre")).distinct()
-    sets = stored(docs.join(nodes, "doc_id").mapInArrow(_sets(width), "doc_id bigint, found binary"))
-    centres = sets.select(F.col("doc_id").alias("centre"), F.col("found").alias("centre_found"))
-    compared = stored(candidates.join(centres, "centre").join(sets, "doc_id").select("doc_id", "found", "centre", "centre_found")
-                          .mapInArrow(_compare(num, den), "doc_id bigint, centre bigint, linked boolean, size bigint, delta binary, print binary"))
-    # Equal sets among a star's members: one of them stands for all.
-    one = compared.groupBy("centre", "print").agg(F.min("doc_id").alias("first"))
-    equal = compared.join(one, ["centre", "print"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    members = compared.filter("length(delta) > 0").join(one.select("centre", "print", F.col("first").alias("doc_id")), ["centre", "print", "doc_id"], "left_semi")
-    bulk = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum(F.length("delta")).alias("bytes"), F.bool_and("linked").alias("all_linked")).filter("n > 1 AND NOT all_linked")
+    nodes = stored(candidates.select("doc_id").union(candidates.select("centre")).distinct())
+    sets = stored(docs.join(_few(nodes), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, size bigint, print binary, sketch binary, found binary"))
+    heads = sets.select("doc_id", "size", "print", "sketch")
+    left, right = [heads.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("print").alias(f"print_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b")]
+    pairs = candidates.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).join(left, "a").join(right, "b")
+    first = F.abs(F.col("size_a") - F.col("size_b")) * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)
+    near = stored(pairs.filter((F.col("print_a") != F.col("print_b")) & first).mapInArrow(_near(plan), "a bigint, b bigint"))
+    # Equal sets: the smallest document stands for all.
+    one = heads.groupBy("print").agg(F.min("doc_id").alias("first"))
+    equal = heads.join(one, "print").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    edges = stored(stars.filter("equal").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).union(equal).union(_verified(near, sets, plan)))
+    so_far = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    # The centre has been compared with all members, so the members are compared among themselves, equal sets once.
+    members = candidates.join(heads, "doc_id").join(one.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").join(so_far, "doc_id", "left").select(
+        "centre", "doc_id", "size", "sketch", F.coalesce("label", "doc_id").alias("label"))
+    bulk = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum(F.length("sketch")).alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = members.join(bulk.select("centre", blocks.alias("blocks")), "centre").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "size", "linked", "delta")
-    inside = dealt.groupBy("centre", "i", "j").applyInArrow(_block(num, den), "a bigint, b bigint")
-    return (stars.filter("equal").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
-            .union(compared.filter("linked").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))).union(equal).union(inside))
+        "centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "size", "label", "sketch")
+    inside = stored(dealt.groupBy("centre", "i", "j").applyInArrow(_block(plan), "a bigint, b bigint").distinct())
+    return edges.union(_verified(inside, sets, plan))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,6 +290,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 4 << 20):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(shingles(t, width)) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "n_shingles"])
+        _known().clear()
 
     found = components(links(ids, width, num, den)).withColumnRenamed("node", "doc_id")
     return ids.mapInArrow(sizes, "doc_id bigint, n_shingles bigint").join(found, "doc_id", "left").select(

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, texts
+from .common import by_bytes, ship, texts
 
 BINS = 1 << 13  # hashed letter trigrams
 LETTER = re.compile(r"[^\W\d_]")
@@ -57,13 +57,14 @@ def clusters(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 800, per_language: int = 4, slack: float = 1.15) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 800, per_language: int = 4, slack: float = 1.15, nearest: float = 0.7) -> Model:
     """Centroids from about `most` rows of each language at the most (a hash of id_col chooses; equal texts count
     once), texts taken whole.
 
     The bound is fixed, so a language's vectors fit one task and the driver gets `per_language` vectors of BINS numbers each. A centroid reaches
-    as far as its own training rows lie from it, times `slack` (short texts farther, see FULL). Rows without text, language or letters teach nothing.
+    as far as its own training rows lie from it, times `slack`, at least `nearest` (short texts farther, see FULL). Rows without text, language or letters teach nothing.
     """
+    ship(labelled.sparkSession)
     rows = labelled.select(F.xxhash64(f"`{id_col}`").alias("draw"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     number = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not number:
@@ -97,7 +98,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     got = sorted(chosen.groupBy("lang").applyInArrow(centre, "lang string, c binary, reach double").collect(), key=lambda r: (r.lang, r.c))
     vectors_ = np.stack([np.frombuffer(r.c, "<f4") for r in got]) if got else np.zeros((0, BINS))
-    return Model(idf, vectors_, [r.lang for r in got], np.array([r.reach * slack for r in got]))
+    return Model(idf, vectors_, [r.lang for r in got], np.maximum(nearest, np.array([r.reach * slack for r in got])))
 
 
 def _predictions(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -132,6 +133,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, that `predict` does not reject."""
+    ship(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(lambda batches: _predictions(batches, model), f"row {kind}, lang_pred string, score double, rejected boolean").filter(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .common import by_bytes, texts
 
-CACHE = 800_000  # pieces between white space a worker remembers; when full it starts afresh
+CACHE = 500_000  # pieces between white space a task remembers; when full it starts afresh
 SLICE = 2 << 20  # bytes of text tokenized and packed at a time
 
 
@@ -210,5 +210,6 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (256, 512, 10
                 yield rows(windows)
         if windows := packer.close(last=True):
             yield rows(windows)
+        tool.known.clear()
 
     return ids.mapInArrow(run, schema)
