@@ -5,19 +5,14 @@ from pyspark.sql import functions as F
 from .lineage import cut_lineage
 
 
-def descend(df: DataFrame, key: str, parent: str, label: str, max_depth: int = 50) -> DataFrame:
-    """Every node reachable from a root: (key, root, depth, path). One join per level, until a level is empty. Levels are
-    checkpointed, so a level costs one join however deep it lies. A cycle below a root would never end, hence the depth
-    limit, which raises instead of returning part of the tree."""
-    nodes = df.select(F.col(key).alias("node"), F.col(parent).alias("up"), F.col(label).cast("string").alias("name"))
-    level = nodes.filter(F.col("up").isNull()).select(
-        "node", F.col("node").alias("root"), F.lit(1).alias("depth"), F.col("name").alias("path"))
-    found = level
-    for depth in range(2, max_depth + 2):
-        above = level.select(F.col("node").alias("up"), "root", F.col("path").alias("above"))
-        level = cut_lineage(nodes.join(above, "up").select(
-            "node", "root", F.lit(depth).alias("depth"), F.concat_ws(" > ", "above", "name").alias("path")))
-        if level.isEmpty():
-            return found.select(F.col("node").alias(key), "root", "depth", "path")
-        found = found.unionByName(level)
-    raise ValueError(f"hierarchy deeper than {max_depth} levels, or cyclic")
+def descend(df: DataFrame, key: str, parent: str, label: str) -> DataFrame:
+    """Every node below a root: (key, root, depth, path). Each round joins the line above a node to its own, which doubles its length, so rounds
+    follow the logarithm of the depth; each is checkpointed. A line that holds a node twice is a cycle and raises."""
+    lines = df.select(F.col(key).alias("node"), F.col(parent).alias("up"), F.array(key).alias("line"), F.array(F.col(label).cast("string")).alias("names"))
+    while not (growing := lines.filter("up IS NOT NULL")).isEmpty():
+        if not growing.filter("size(array_distinct(line)) < size(line)").isEmpty():
+            raise ValueError("hierarchy is cyclic")
+        above = lines.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("line").alias("line_above"), F.col("names").alias("names_above"))
+        longer = growing.join(above, "up").select("node", F.col("next").alias("up"), F.concat("line_above", "line").alias("line"), F.concat("names_above", "names").alias("names"))
+        lines = cut_lineage(lines.filter("up IS NULL").unionByName(longer))
+    return lines.select(F.col("node").alias(key), F.col("line")[0].alias("root"), F.size("line").alias("depth"), F.array_join("names", " > ").alias("path"))

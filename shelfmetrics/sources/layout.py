@@ -35,7 +35,7 @@ def laid_out(df: DataFrame, table: str, files: int | None = None) -> DataFrame:
     return spread.sortWithinPartitions(*keys)
 
 
-def write_table(df: DataFrame, path: str, table: str, files: int | None = None) -> None:
+def write_table(df: DataFrame, path: str, table: str, files: int | None = None, mode: str = "error") -> None:
     parts = LAYOUTS.get(table, ({}, [], []))[1]
-    writer = laid_out(df, table, files).write.mode("overwrite")
+    writer = laid_out(df, table, files).write.mode(mode)
     (writer.partitionBy(*parts) if parts else writer).parquet(path)

@@ -81,7 +81,7 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
         return inline_rows(spark, [(i + 1, n) for i, n in enumerate(SEGMENTS)], "segment_id int, segment_name string")
 
     def categories() -> DataFrame:
-        return inline_rows(spark, CATEGORY_ROWS, "category_id int, category_name string, parent_category_id int")
+        return inline_rows(spark, CATEGORY_ROWS, "category_id int, category_name string, parent_category_id int").withColumn("is_active", F.lit(True))
 
     def suppliers() -> DataFrame:
         k = F.col("s_suppkey")
@@ -158,7 +158,7 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
         start = F.col("s").cast("date")
         return rows.select("promotion_id", "promo_code", F.col("promo_code").alias("promo_name"), "discount_type",
                            F.col("v").cast("decimal(10,2)").alias("discount_value"), start.alias("start_date"),
-                           F.date_add(start, 29).alias("end_date"))
+                           F.date_add(start, 29).alias("end_date"), F.lit(True).alias("is_active"))
 
     def product_promotions() -> DataFrame:
         k = F.col("p_partkey")
@@ -217,7 +217,7 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
             *key, F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("return_date"),
             F.when(r == 0, "DEFECTIVE").when(r == 1, "WRONG_ITEM").when(r == 2, "NOT_AS_DESCRIBED")
              .otherwise("CHANGED_MIND").alias("return_reason"),
-            line_total.alias("refund_amount"))
+            line_total.alias("refund_amount"), F.lit(None).cast("bigint").alias("processed_by"))
 
     def return_items(*keys: Column) -> DataFrame:
         return returned_lines().select(

@@ -88,8 +88,10 @@ def test_hierarchy_paths_and_cycle(spark):
     tree = spark.createDataFrame([(1, None, "A"), (2, 1, "B"), (3, 2, "C"), (9, None, "Z")], "k int, p int, n string")
     assert {(r.k, r.root, r.depth, r.path) for r in descend(tree, "k", "p", "n").collect()} == {
         (1, 1, 1, "A"), (2, 1, 2, "A > B"), (3, 1, 3, "A > B > C"), (9, 9, 1, "Z")}
+    deep = spark.range(1, 61).selectExpr("id AS k", "nullif(id - 1, 0) AS p", "cast(id AS string) AS n")
+    assert descend(deep, "k", "p", "n").agg(F.max("depth"), F.count("*")).first()[:] == (60, 60)
     with pytest.raises(ValueError):
-        descend(tree, "k", "p", "n", max_depth=2)
+        descend(tree.union(spark.createDataFrame([(2, 3, "B")], tree.schema)), "k", "p", "n")
 
 
 @pytest.mark.parametrize("block", [1, 3, 1000])
