@@ -183,13 +183,16 @@ oracle("q301_scorecard",
        "check_id:s table_name:s check_name:s severity:s issue_count:i total_rows:i issue_pct:f status:s",
        f"""SELECT *, round(100e0 * issue_count / nullif(total_rows, 0), 2) AS issue_pct,
        CASE WHEN issue_count = 0 THEN 'PASS' WHEN severity = 'Info' THEN 'INFO' ELSE 'ATTENTION' END AS status FROM ({ROWS})""")
-oracle("q302_duplicate_groups", "normalised_email:s records:i customer_ids:s name_variants:s",
-       """SELECT lower(trim(email)) AS normalised_email, count(*) AS records, string_agg(CAST(customer_id AS VARCHAR), ', ' ORDER BY customer_id) AS customer_ids,
-       string_agg(first_name, ' | ' ORDER BY customer_id) AS name_variants FROM m_cu WHERE email IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 10""")
-oracle("q303_duplicate_products", "product_a:i sku_a:s product_b:i sku_b:s name_a:s name_b:s",
-       """SELECT a.product_id AS product_a, a.sku AS sku_a, b.product_id AS product_b, b.sku AS sku_b, a.product_name AS name_a, b.product_name AS name_b FROM m_pr b
-       JOIN (SELECT lower(trim(product_name)) AS k, min(product_id) AS i FROM m_pr GROUP BY 1) f ON f.k = lower(trim(b.product_name)) AND f.i < b.product_id
-       JOIN m_pr a ON a.product_id = f.i""")
+oracle("q302_duplicate_groups", "normalised_email:s records:i customer_id:i first_name:s",
+       """WITH g AS (SELECT lower(trim(email)) AS normalised_email, count(*) AS records FROM m_cu WHERE email IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 10)
+       SELECT g.normalised_email, g.records, c.customer_id, c.first_name FROM g JOIN m_cu c ON lower(trim(c.email)) = g.normalised_email""")
+# Members are those that stand in a pair of the self join.
+oracle("q303_duplicate_products", "name_key:s records:i first_product:i product_id:i sku:s product_name:s",
+       """WITH pairs AS (SELECT lower(trim(a.product_name)) AS k, a.product_id AS a, b.product_id AS b FROM m_pr a
+         JOIN m_pr b ON lower(trim(a.product_name)) = lower(trim(b.product_name)) AND a.product_id < b.product_id),
+       members AS (SELECT k, a AS id FROM pairs UNION SELECT k, b FROM pairs)
+       SELECT k AS name_key, count(*) OVER (PARTITION BY k) AS records, min(id) OVER (PARTITION BY k) AS first_product, p.product_id, p.sku, p.product_name
+       FROM members JOIN m_pr p ON p.product_id = id""")
 oracle("q304_null_profile", "column_name:s null_count:i null_pct:f", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS null_count, round(100e0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct FROM m_cu"
     for c in ("email", "phone", "gender", "date_of_birth", "city", "segment_id")))

@@ -75,11 +75,11 @@ cte("d_ret", """SELECT r.ship AS return_date, CAST(r.ship AS DATE) AS return_day
 cte("d_ord", """SELECT o.*, s.store_name, s.region, coalesce(c.segment_name, '(no segment)') AS segment FROM x_flag o JOIN m_st s ON s.store_id = o.store_id
  JOIN m_cu c ON c.customer_id = o.customer_id""")
 
-cte("d_used", "SELECT * FROM m_cat WHERE category_id IN (SELECT category_id FROM m_pr)")
+cte("d_known", "SELECT * FROM m_cat WHERE category_id > 6 OR category_name IN (SELECT p_type FROM part)")
 oracle("vw_asof", "first_order_date:d asof_date:d", "SELECT f AS first_order_date, d AS asof_date FROM m_asof")
 oracle("vw_category_canonical", "category_id:i canonical_id:i canonical_name:s parent_category:s",
        """SELECT c.category_id, min(k.category_id) AS canonical_id, arg_min(k.category_name, k.category_id) AS canonical_name, any_value(p.category_name) AS parent_category
-       FROM d_used c JOIN d_used k ON lower(k.category_name) = lower(c.category_name) LEFT JOIN d_used p ON p.category_id = c.parent_id GROUP BY c.category_id""")
+       FROM d_known c JOIN d_known k ON lower(k.category_name) = lower(c.category_name) LEFT JOIN d_known p ON p.category_id = c.parent_id GROUP BY c.category_id""")
 oracle("vw_sales_lines",
        "order_id:i order_date:t order_day:d order_month:d order_year:i store_id:i customer_id:i channel:s employee_id:i product_id:i category_id:i category_name:s"
        " promotion_id:i quantity:i unit_price:f unit_cost:f discount_amount:f gross_amount:f line_total_incl_gst:f net_revenue:f cogs:f gross_profit:f",

@@ -178,33 +178,23 @@ def q301_scorecard(m: Retail, run_day: Column | None = None) -> DataFrame:
     return rows.withColumns({"issue_pct": pct("issue_count", "total_rows", 2), "status": status}).orderBy("check_id")
 
 
-@query("Duplicate customer groups")
+@query("Members of the largest groups of customers with one e-mail")
 def q302_duplicate_groups(m: Retail, n: int = 10) -> DataFrame:
-    """The n largest groups are chosen from counts first; only their members are listed."""
+    """One row per member; the n largest groups are chosen from counts first, and no group is gathered."""
     people = m.customers.filter(F.col("email").isNotNull()).select("customer_id", "first_name", folded("email").alias("normalised_email"))
     groups = people.groupBy("normalised_email").agg(F.count("*").alias("records")).filter(F.col("records") > 1)
     biggest = top(groups, n, F.col("records").desc(), F.col("normalised_email"))
-    return people.join(biggest, "normalised_email").groupBy("normalised_email", "records").agg(
-        F.expr("listagg(cast(customer_id AS string), ', ') WITHIN GROUP (ORDER BY customer_id)").alias("customer_ids"),
-        F.expr("listagg(first_name, ' | ') WITHIN GROUP (ORDER BY customer_id)").alias("name_variants")).orderBy(
-        F.col("records").desc(), "normalised_email")
+    return people.join(biggest, "normalised_email").select("normalised_email", "records", "customer_id", "first_name").orderBy(
+        F.col("records").desc(), "normalised_email", "customer_id")
 
 
-def same_name_products(m: Retail) -> DataFrame:
-    return m.products.select("product_id", "sku", "product_name", folded("product_name").alias("key"))
-
-
-@query("Duplicate-like products")
+@query("Products that share a name")
 def q303_duplicate_products(m: Retail) -> DataFrame:
-    """Every product whose name repeats an earlier product's, next to the first product of that name. The rows grow with
-    the products; listing every pair inside a name would grow with the square of the group (``all_pairs_by_name``)."""
-    goods = same_name_products(m)
-    first = goods.groupBy("key").agg(F.min(F.struct("product_id", "sku", "product_name")).alias("a"), F.count("*").alias("n")).filter(
-        F.col("n") > 1)
-    later = goods.join(first, "key").filter(F.col("product_id") > F.col("a.product_id"))
-    return later.select(F.col("a.product_id").alias("product_a"), F.col("a.sku").alias("sku_a"), F.col("product_id").alias("product_b"),
-                        F.col("sku").alias("sku_b"), F.col("a.product_name").alias("name_a"), F.col("product_name").alias("name_b")).orderBy(
-        "product_a", "product_b")
+    """Every member of a name that repeats, with the size of its group and the group's first product: as many rows as products, where a list of
+    pairs would grow with the square of a group."""
+    goods = m.products.select(folded("product_name").alias("name_key"), "product_id", "sku", "product_name")
+    groups = goods.groupBy("name_key").agg(F.count("*").alias("records"), F.min("product_id").alias("first_product")).filter(F.col("records") > 1)
+    return goods.join(groups, "name_key").select("name_key", "records", "first_product", "product_id", "sku", "product_name").orderBy("first_product", "product_id")
 
 
 @query("Missing values of the customer columns")
@@ -263,10 +253,3 @@ def q309_category_variants(m: Retail) -> DataFrame:
     named = m.categories.join(used, "category_id", "left").select(F.lower("category_name").alias("normalised_name"), "category_id", text.alias("t"))
     return named.groupBy("normalised_name").agg(F.expr("listagg(t, ' ; ') WITHIN GROUP (ORDER BY category_id)").alias("variants"),
                                                 F.count("*").alias("c")).filter(F.col("c") > 1).drop("c")
-
-
-def all_pairs_by_name(m: Retail) -> DataFrame:
-    """Every pair of products with the same folded name: for catalogues where a name repeats a few times only."""
-    a = same_name_products(m).select("key", F.col("product_id").alias("product_a"), F.col("sku").alias("sku_a"), F.col("product_name").alias("name_a"))
-    b = same_name_products(m).select("key", F.col("product_id").alias("product_b"), F.col("sku").alias("sku_b"), F.col("product_name").alias("name_b"))
-    return a.join(b, "key").filter(F.col("product_a") < F.col("product_b")).drop("key")
