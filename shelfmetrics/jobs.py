@@ -21,24 +21,29 @@ class RejectedLoad(ValueError):
 
 def load(spark: SparkSession, source: str, target: str, version: str, check: bool = True,
          calendar: tuple[str, str] = ("2021-01-01", "2026-12-31")) -> str:
-    """CSV extract -> validated Parquet under ``target/version``; parents before children. All or nothing: the version is
-    announced (``target/_current``) only after every table is written, so readers see the old load or the new one."""
-    m = Retail.from_csv(spark, source)
+    """CSV extract -> validated Parquet under ``target/version``; parents before children. Files are parsed once, into ``target/_staged``;
+    rules and layout read that. A version is written once: an existing one is refused. It is announced by a new file in
+    ``target/_published`` after every table is written, so readers see the old load or the new one."""
+    extract, root, staged = Retail.from_csv(spark, source), f"{target}/{version}", f"{target}/_staged/{version}"
+    for table in LOAD_ORDER:
+        getattr(extract, table).write.mode("overwrite").parquet(f"{staged}/{table}")
+    m = Retail.from_parquet(spark, staged)
     if check:
-        broken = violation_counts(m, LOAD_ORDER).orderBy(F.col("rows").desc()).limit(20).collect()
+        # One row per broken rule; the rules are a fixed list.
+        broken = violation_counts(m, LOAD_ORDER).orderBy(F.col("rows").desc()).collect()
         if broken:
             raise RejectedLoad("; ".join(f"{r.table_name}: {r['rule']} ({r['rows']} rows)" for r in broken))
-    root = f"{target}/{version}"
     for table in LOAD_ORDER:
         write_table(getattr(m, table), f"{root}/{table}", table)
-    build_calendar(spark, *calendar).coalesce(1).write.mode("overwrite").parquet(f"{root}/dim_date")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{target}/_current")
+    build_calendar(spark, *calendar).coalesce(1).write.mode("error").parquet(f"{root}/dim_date")
+    at = F.current_timestamp().cast("double")
+    spark.range(1).select(F.lit(version).alias("version"), at.alias("at")).coalesce(1).write.mode("append").json(f"{target}/_published")
     return root
 
 
 def current(spark: SparkSession, target: str) -> Retail:
     """The model of the announced load."""
-    version = spark.read.schema("version string").json(f"{target}/_current").first().version
+    version = spark.read.schema("version string, at double").json(f"{target}/_published").agg(F.max_by("version", "at")).first()[0]
     return Retail.from_parquet(spark, f"{target}/{version}")
 
 
@@ -96,19 +101,19 @@ def stock_fact(m: Retail) -> DataFrame:
 
 # file: (frame, partition column or None, description)
 EXPORTS = {
-    "fact_sales_lines": (line_fact, "order_month", "One row per sold order line (completed orders)."),
-    "fact_orders": (lambda m: dataset(m, "vw_orders"), "order_month", "One row per order, all statuses."),
-    "fact_returns": (lambda m: dataset(m, "vw_return_analysis"), "return_month", "One row per returned order line."),
-    "fact_inventory_health": (stock_fact, None, "Current stock position per store and product."),
-    "dim_date": (window_calendar, None, "Calendar of the data window."),
-    "dim_store": (store_dimension, None, "Stores."),
-    "dim_product": (lambda m: dataset(m, "vw_product_performance"), None, "Products with sales, margin, returns, stock and ABC class."),
-    "dim_customer": (customer_dimension, None, "Customers with value, RFM scores and segment."),
-    "dim_category": (category_dimension, None, "Category lookup, case variants merged."),
-    "agg_monthly_sales": (lambda m: dataset(m, "vw_monthly_sales"), None, "Monthly KPIs."),
-    "agg_store_performance": (lambda m: dataset(m, "vw_store_performance"), None, "Store scorecard."),
-    "agg_category_performance": (lambda m: dataset(m, "vw_category_performance"), None, "Category by year."),
-    "agg_supplier_performance": (lambda m: dataset(m, "vw_supplier_performance"), None, "Supplier scorecard."),
+    "fact_sales_lines": (line_fact, "order_month", "Lines of completed orders with margin and promotion flag."),
+    "fact_orders": (lambda m: dataset(m, "vw_orders"), "order_month", "Orders of any status with their money fields."),
+    "fact_returns": (lambda m: dataset(m, "vw_return_analysis"), "return_month", "Returned units by line, with reason and delay."),
+    "fact_inventory_health": (stock_fact, None, "Stock, demand and cover for each product at each store."),
+    "dim_date": (window_calendar, None, "Days from the first to the last order."),
+    "dim_store": (store_dimension, None, "Shops and the online hub."),
+    "dim_product": (lambda m: dataset(m, "vw_product_performance"), None, "What each product sells, earns, returns and holds, with its class."),
+    "dim_customer": (customer_dimension, None, "What each customer buys, how recently and how often."),
+    "dim_category": (category_dimension, None, "Categories under one spelling."),
+    "agg_monthly_sales": (lambda m: dataset(m, "vw_monthly_sales"), None, "Sales, margin and orders by month."),
+    "agg_store_performance": (lambda m: dataset(m, "vw_store_performance"), None, "Sales, returns and stock by store."),
+    "agg_category_performance": (lambda m: dataset(m, "vw_category_performance"), None, "Sales and margin by category and year."),
+    "agg_supplier_performance": (lambda m: dataset(m, "vw_supplier_performance"), None, "Spend, punctuality and fill rate by supplier."),
 }
 
 
