@@ -345,18 +345,17 @@ def customer_summary(m: Retail) -> DataFrame:
         F.when(F.col("orders").isNotNull(), rfm_label(F.col("r_score"), F.col("f_score"))).alias("rfm_segment"))
 
 
-def inventory_health(m: Retail) -> DataFrame:
+def stock_health(m: Retail) -> DataFrame:
+    """Stock positions with demand, cover and health, without the store's name."""
     last = asof_day(m)
     products = canonical_products(m).join(m.suppliers.select("supplier_id", "supplier_name"), "supplier_id", "left").select(
         "product_id", "product_name", F.coalesce("canonical_name", F.lit(NO_CATEGORY)).alias("category"),
         F.coalesce("supplier_name", F.lit(NO_SUPPLIER)).alias("supplier"))
-    keys = ["store_id", "product_id"]
-    base = (positions(m).join(open_inbound(m), keys, "left").join(products, "product_id")
-            .join(m.stores.select("store_id", "store_name"), "store_id"))
+    base = positions(m).join(open_inbound(m), ["store_id", "product_id"], "left").join(products, "product_id")
     sold, inbound = F.coalesce("units_90d", F.lit(0)), F.coalesce("inbound_qty", F.lit(0))
     on_hand = F.col("quantity_on_hand")
     return base.select(
-        "inventory_id", "store_id", "store_name", "product_id", "product_name", "category", "supplier", "quantity_on_hand",
+        "inventory_id", "store_id", "product_id", "product_name", "category", "supplier", "quantity_on_hand",
         "reserved_quantity", (on_hand - F.col("reserved_quantity")).alias("available_quantity"), "reorder_level",
         "max_stock_level", "unit_cost", rnd("value").alias("inventory_value"), sold.alias("units_sold_90d"),
         F.coalesce("units_365d", F.lit(0)).alias("units_sold_365d"), rnd(as_double(sold) / 90, 3).alias("avg_daily_demand"),
@@ -366,6 +365,12 @@ def inventory_health(m: Retail) -> DataFrame:
         F.col("status").alias("health_status"))
 
 
+def inventory_health(m: Retail) -> DataFrame:
+    health = stock_health(m)
+    named = health.join(m.stores.select("store_id", "store_name"), "store_id")
+    return named.select("inventory_id", "store_id", "store_name", *[c for c in health.columns if c not in ("inventory_id", "store_id")])
+
+
 def months_open(opened: Column, start: Column, end: Column) -> Column:
     return F.greatest(as_double(F.datediff(end, F.greatest(opened, start))) / 30.44, F.lit(1.0))
 
@@ -473,20 +478,24 @@ def supplier_performance(m: Retail) -> DataFrame:
         (F.col("contact_email").isNull() | F.col("contact_phone").isNull() | F.col("gstin").isNull()).alias("missing_contact_info"))
 
 
+def returned_sales(m: Retail) -> DataFrame:
+    """Returned lines with their return and their sale, without any dimension."""
+    header = m.keyed("returns").select("return_id", "order_id", "return_date", "return_reason")
+    sale = orders_with_calendar(m).select("order_id", "order_date", "order_day", "customer_id", "store_id", "channel")
+    return returned_lines(m).join(header, "return_id").join(sale, "order_id").withColumns({
+        "return_day": day_of("return_date"), "return_month": month_of("return_date"), "refund_net_of_gst": rnd("refund_net"), "cost_value": rnd("cost_value")})
+
+
 def return_analysis(m: Retail) -> DataFrame:
     products = canonical_products(m).select("product_id", "product_name", "canonical_name")
     customers = m.customers.select("customer_id", "segment_id").join(segment_names(m), "segment_id", "left")
-    header = m.keyed("returns").select("return_id", "order_id", "return_date", "return_reason")
-    sale = orders_with_calendar(m).select("order_id", "order_date", "order_day", "customer_id", "store_id", "channel")
-    base = (returned_lines(m).join(header, "return_id").join(sale, "order_id").join(products, "product_id")
-            .join(m.stores.select("store_id", "store_name"), "store_id").join(customers, "customer_id"))
+    base = returned_sales(m).join(products, "product_id").join(m.stores.select("store_id", "store_name"), "store_id").join(customers, "customer_id")
     return base.select(
-        "return_item_id", "return_id", "return_date", day_of("return_date").alias("return_day"),
-        month_of("return_date").alias("return_month"), "order_id", "order_date", "order_day",
+        "return_item_id", "return_id", "return_date", "return_day", "return_month", "order_id", "order_date", "order_day",
         rnd(elapsed_days("order_date", "return_date"), 1).alias("days_to_return"), "return_reason", "store_id", "store_name",
         "channel", F.coalesce("segment_name", F.lit(NO_SEGMENT)).alias("customer_segment"), "product_id", "product_name",
         F.coalesce("canonical_name", F.lit(NO_CATEGORY)).alias("category"), "units_returned", "units_in_line", "refund_amount",
-        rnd("refund_net").alias("refund_net_of_gst"), rnd("cost_value").alias("cost_value"), "restocked")
+        "refund_net_of_gst", "cost_value", "restocked")
 
 
 def elapsed_days(start: str, end: str) -> Column:

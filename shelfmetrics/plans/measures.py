@@ -137,23 +137,32 @@ def _dated(df: DataFrame, day: str) -> DataFrame:
     return df.withColumns({"year": F.year(day), "month": F.trunc(day, "month")})
 
 
-def fact(m: Retail, name: str, summary: DataFrame | None = None) -> DataFrame:
-    """A fact with the attributes that reach it. The customer summary is passed in, as two facts read it."""
-    places = m.stores.select("store_id", "region", "store_name")
+def _reached(m: Retail, df: DataFrame, used: set[str], segment: str = "segment") -> DataFrame:
+    """The dimensions of the attributes that are used, and no others."""
+    if used & set(GOODS):
+        df = df.join(d.canonical_products(m).select("product_id", "product_name", F.coalesce("canonical_name", F.lit(d.NO_CATEGORY)).alias("category")), "product_id")
+    if used & set(PLACE):
+        df = df.join(m.stores.select("store_id", "region", "store_name"), "store_id")
+    if segment in used:
+        df = df.join(_segments(m).withColumnRenamed("segment", segment), "customer_id")
+    return df
+
+
+def fact(m: Retail, name: str, used: set[str], summary: DataFrame | None = None) -> DataFrame:
+    """A fact with the attributes that are used. The customer summary is passed in, as two facts read it."""
+    used = used & set(REACH[name])
     if name in ("lines", "lines_12m"):
-        goods = d.canonical_products(m).select("product_id", "product_name", F.coalesce("canonical_name", F.lit(d.NO_CATEGORY)).alias("category"))
-        people = _segments(m)
-        df = d.sold_lines(m).join(goods, "product_id").join(places, "store_id").join(people, "customer_id")
+        df = _reached(m, d.sold_lines(m), used)
         if name == "lines_12m":
             return df.filter(F.col("order_day") > F.add_months(d.asof_day(m), -12))
         return _dated(df, "order_day")
     if name == "orders":
-        return _dated(d.orders(m).drop("store_name").join(places, "store_id"), "order_day").withColumnRenamed("customer_segment", "segment")
+        return _dated(_reached(m, d.flag_returns(m, d.orders_with_calendar(m)), used), "order_day")
     if name in ("returns", "returns_by_return_day"):
         day = "order_day" if name == "returns" else "return_day"
-        return _dated(d.return_analysis(m).join(places.drop("store_name"), "store_id"), day).withColumnRenamed("customer_segment", "return_segment")
+        return _dated(_reached(m, d.returned_sales(m), used, "return_segment"), day)
     if name == "stock":
-        return d.inventory_health(m).join(places.drop("store_name"), "store_id")
+        return _reached(m, d.stock_health(m), used - set(GOODS))
     if name == "customers":
         return summary
     if name == "new_customers":
@@ -216,7 +225,7 @@ def measures(m: Retail, names: Sequence[str], group_by: Sequence[str] = (), filt
     summary = d.customer_summary(m) if {"customers", "new_customers"} & set(by_fact) else None
     for f, wanted in by_fact.items():
         own = [k for k in keys if k in REACH[f]]
-        rows = _filtered(fact(m, f, summary), filters, REACH[f])
+        rows = _filtered(fact(m, f, set(keys) | set(filters), summary), filters, REACH[f])
         frames.append((own, rows.groupBy(*own).agg(*[MEASURES[n].value().alias(n) for n in wanted])))
     if timed:
         frames.append((keys, time_measures(m, keys, filters).select(*keys, *timed)))
@@ -248,7 +257,7 @@ def time_measures(m: Retail, keys: Sequence[str], filters: dict[str, Sequence] |
     filters = dict(filters or {})
     other = [k for k in keys if k not in DATES]
     reach = [a for a in REACH["lines"] if a not in DATES]
-    by_month = _filtered(fact(m, "lines"), filters, reach).groupBy(*other, "month").agg(F.sum("net_revenue").alias("net"))
+    by_month = _filtered(fact(m, "lines", set(other) | set(filters)), filters, reach).groupBy(*other, "month").agg(F.sum("net_revenue").alias("net"))
     first, last = F.trunc(d.first_day(m), "month"), F.trunc(d.asof_day(m), "month")
     spine = (by_month.select(*other).distinct() if other else m.spark.range(1).select()).select(
         *other, F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))).alias("month"))

@@ -37,6 +37,11 @@ def test_group_limit_before_the_shuffle(spark, sf_dir, name):
     assert "WindowGroupLimit" in plan(QUERIES[name](spark, sf_dir))
 
 
+def test_measures_join_only_the_dimensions_they_use(spark, sf_dir):
+    text = plan(QUERIES["measures_by_category"](spark, sf_dir))
+    assert "customer.parquet" not in text and "nation.parquet" not in text and "lineitem.parquet" in text
+
+
 def test_reused_features_cover_the_survey():
     """Each construct of the query inventory is used by at least one registered query."""
     numbers = {int(m.group(1)) for m in (re.match(r"q(\d+)_", n) for n in QUERIES) if m}
