@@ -50,7 +50,7 @@ ARGUMENTS: dict[str, dict] = {
     "q502_month_revenue": {"first": "2000-10-01", "until": "2000-11-01"},
     "q509_email_lookup": {"email": "USER123@example.com"},
     "q510_store_quarter": {"first": "2000-07-01", "until": "2000-10-01"},
-    "q514_order_returns": {"order_id": 200},
+    "q514_order_returns": {"order_id": 34},
     "q515_order_payments": {"order_id": 200},
 }
 
@@ -93,9 +93,10 @@ def _scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest line of order 200 stands for the wanted line; its key is a place in a file, hence looked up."""
+    """The returned line of order 34 with the largest refund stands for the wanted line; its key is a place in a file, hence looked up."""
     m = _model(spark, sf_dir)
-    line = m.keyed("sales_order_items").filter(F.col("order_id") == 200).agg(F.max_by("order_item_id", "line_total")).scalar()
+    back = m.keyed("returns").filter(F.col("order_id") == 34).select("return_id").join(m.keyed("return_items"), "return_id")
+    line = back.agg(F.max_by("order_item_id", "refund_amount")).scalar()
     return conform(QUERIES["q516_line_returns"][0](m, order_item_id=line).drop("return_item_id"))
 
 

@@ -278,8 +278,8 @@ oracle("q510_store_quarter", "orders:i total_amount:f",
 oracle("q511_full_scan", "month:d net_revenue:f", "SELECT month, net AS net_revenue FROM x_month")
 oracle("q512_product_stock", "units:i", "SELECT sum(on_hand) AS units FROM m_inv WHERE product_id = 13")
 oracle("q513_category_products", "product_id:i product_name:s", "SELECT product_id, product_name FROM m_pr WHERE category_id = 1")
-oracle("q514_order_returns", "return_date:t refund_amount:f", "SELECT ship AS return_date, refund AS refund_amount FROM m_rl WHERE order_id = 200")
+oracle("q514_order_returns", "return_date:t refund_amount:f", "SELECT ship AS return_date, refund AS refund_amount FROM m_rl WHERE order_id = 34")
 oracle("q515_order_payments", "payment_id:i payment_method:s amount:f payment_status:s",
        "SELECT order_id AS payment_id, method AS payment_method, amount, status AS payment_status FROM m_pay WHERE order_id = 200")
 oracle("q516_line_returns", "quantity:i refund_amount:f",
-       "SELECT qty AS quantity, refund AS refund_amount FROM m_rl WHERE order_id = 200 AND refund = (SELECT max(line_total) FROM m_it WHERE order_id = 200)")
+       "SELECT qty AS quantity, refund AS refund_amount FROM m_rl WHERE order_id = 34 AND refund = (SELECT max(refund) FROM m_rl WHERE order_id = 34)")
