@@ -28,7 +28,7 @@ def head(role: str) -> str:
     return f"### {escape(role)}: "
 
 
-TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<:]|\\.)*) </turn>\n", re.DOTALL)
+TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<:]++|\\.)*+) </turn>\n", re.DOTALL)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
