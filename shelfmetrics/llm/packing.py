@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .common import by_bytes, texts
 
-CACHE = 500_000  # pieces between white space a task remembers; when full it starts afresh
+PIECES, WORDS = 450_000, 450_000  # a task remembers so many; when full it starts afresh
 SLICE = 2 << 20  # bytes of text tokenized and packed at a time
 
 
@@ -24,43 +24,78 @@ class WordCache:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
     The vocabulary's pre-tokenizer never joins what white space divides, so each piece between white space is encoded by the library once and
-    then remembered. New pieces go to the library many at a time, with a mark between them whose id no other piece can end in. White space here
-    is what the library takes for it; a text with a character that only Python divides at, or with the mark, is encoded by itself.
+    then remembered. A piece of letters, or of letters and then signs, is one or two words to the pre-tokenizer; these are remembered by
+    themselves, in lower case, and sent to the library many at a time: where one ends its last id has the word-end mark. Other pieces are sent
+    with a character between them whose id no other piece can end in. White space here is what the library takes for it; a text with a
+    character that only Python divides at, or with that character, is encoded by itself.
     """
 
     MARK, ALONE = "\0", re.compile("[\0\x1c-\x1f]")
+    SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")  # letters with one lower case each
+    SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one worker per core
         from tokenizers import Tokenizer
-        self.tool, self.known = Tokenizer.from_file(path), {}
+        self.tool, self.known, self.words = Tokenizer.from_file(path), {}, {"": b""}
         self.mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError("the vocabulary has no id of its own for the mark")
+        self.ends = np.zeros(self.tool.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tool.get_vocab().items() if t.endswith("</w>")]] = True
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def pieces(self, found: list[str], most: int = 2000) -> Iterator[tuple[str, bytes]]:
+    def batches(self, found: list[str], most: int = 2000) -> Iterator[tuple[str, bytes]]:
+        """Pieces of any kind, with the mark between them."""
         for i in range(0, len(found), most):
             some = found[i:i + most]
             ids = self.encode(f" {self.MARK} ".join(some))
             ends = np.flatnonzero(ids == self.mark[0])
             data, bounds = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
-            stops = [*(4 * ends).tolist(), len(data)]
-            yield from zip(some, [data[x:y] for x, y in zip(bounds, stops)], strict=True)
+            yield from zip(some, [data[x:y] for x, y in zip(bounds, [*(4 * ends).tolist(), len(data)])], strict=True)
+
+    def single(self, found: list[str], most: int = 2000) -> Iterator[tuple[str, bytes]]:
+        """Words of the pre-tokenizer."""
+        for i in range(0, len(found), most):
+            some = found[i:i + most]
+            ids = self.encode(" ".join(some))
+            data, bounds = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            yield from zip(some, [data[x:y] for x, y in zip(bounds, bounds[1:])], strict=True)
+
+    def learn(self, new: set[str]) -> None:
+        split, rest = [], []
+        for piece in new:
+            letters = piece.rstrip(self.SIGNS)
+            if letters.isalpha() and (letters.isascii() or self.SIMPLE.fullmatch(letters)):
+                split.append((piece, letters.lower(), piece[len(letters):]))
+            else:
+                rest.append(piece)
+        parts = {x for _, *two in split for x in two}
+        words = self.words
+        if len(words) + len(parts) > WORDS:
+            words.clear()
+            words[""] = b""
+        words.update(self.single(list(parts.difference(words))))
+        self.known.update([(piece, words[letters] + words[signs]) for piece, letters, signs in split])
+        self.known.update(self.batches(rest))
 
     def texts(self, found: list[str]) -> list[bytes]:
         odd = [self.ALONE.search(t) is not None for t in found]
-        words = [[] if o else t.split() for t, o in zip(found, odd)]
-        new = set().union(*words).difference(self.known)
+        pieces = [[] if o else t.split() for t, o in zip(found, odd)]
+        new = set().union(*pieces).difference(self.known)
         if new:
-            if len(self.known) + len(new) > CACHE:
+            if len(self.known) + len(new) > PIECES:
                 self.known.clear()
-                new = set().union(*words)
-            self.known.update(self.pieces(list(new)))
+                new = set().union(*pieces)
+            self.learn(new)
         get = self.known.__getitem__
-        return [self.encode(t).tobytes() if o else b"".join(map(get, w)) for t, w, o in zip(found, words, odd)]
+        return [self.encode(t).tobytes() if o else b"".join(map(get, p)) for t, p, o in zip(found, pieces, odd)]
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.words = {"": b""}
 
 
 @functools.cache
@@ -210,6 +245,6 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (256, 512, 10
                 yield rows(windows)
         if windows := packer.close(last=True):
             yield rows(windows)
-        tool.known.clear()
+        tool.forget()
 
     return ids.mapInArrow(run, schema)
