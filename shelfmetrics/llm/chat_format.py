@@ -28,7 +28,7 @@ def head(role: str) -> str:
     return f"### {escape(role)}: "
 
 
-TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<:]++|\\.)*+) </turn>\n", re.DOTALL)
+TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<:]++|\\.)*+)</turn>\n", re.DOTALL)  # the second group ends with the blank before the mark
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -36,9 +36,9 @@ def parse(text: str) -> list[tuple[str, str]]:
     out, at = [], 0
     while at < len(text):
         m = TURN.match(text, at)
-        if m is None:
+        if m is None or not m[2].endswith(" "):
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
+        out.append((unescape(m[1]), unescape(m[2][:-1])))
         at = m.end()
     return out
 
