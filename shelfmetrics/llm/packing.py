@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 
 from .common import by_bytes, texts
 
-PIECES, WORDS = 450_000, 450_000  # a task remembers so many; when full it starts afresh
 SLICE = 2 << 20  # bytes of text tokenized and packed at a time
 
 
@@ -30,14 +29,14 @@ class WordCache:
     character that only Python divides at, or with that character, is encoded by itself.
     """
 
-    MARK, ALONE = "\0", re.compile("[\0\x1c-\x1f]")
+    MARK, ALONE = "\0", "\0\x1c\x1d\x1e\x1f"
     SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")  # letters with one lower case each
     SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one worker per core
         from tokenizers import Tokenizer
-        self.tool, self.known, self.words = Tokenizer.from_file(path), {}, {"": b""}
+        self.tool, self.known, self.words, self.most = Tokenizer.from_file(path), {}, {"": b""}, 0
         self.mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError("the vocabulary has no id of its own for the mark")
@@ -74,7 +73,7 @@ class WordCache:
                 rest.append(piece)
         parts = {x for _, *two in split for x in two}
         words = self.words
-        if len(words) + len(parts) > WORDS:
+        if len(words) + len(parts) > self.most:
             words.clear()
             words[""] = b""
         words.update(self.single(list(parts.difference(words))))
@@ -82,20 +81,23 @@ class WordCache:
         self.known.update(self.batches(rest))
 
     def texts(self, found: list[str]) -> list[bytes]:
-        odd = [self.ALONE.search(t) is not None for t in found]
-        pieces = [[] if o else t.split() for t, o in zip(found, odd)]
-        new = set().union(*pieces).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > PIECES:
-                self.known.clear()
-                new = set().union(*pieces)
-            self.learn(new)
-        get = self.known.__getitem__
-        return [self.encode(t).tobytes() if o else b"".join(map(get, p)) for t, p, o in zip(found, pieces, odd)]
-
-    def forget(self) -> None:
-        self.known.clear()
-        self.words = {"": b""}
+        get, rows, new = self.known.get, [], set()
+        for t in found:
+            if any(c in t for c in self.ALONE):
+                rows.append(([], [self.encode(t).tobytes()], []))
+                continue
+            pieces = t.split()
+            ids = list(map(get, pieces))
+            holes = [i for i, x in enumerate(ids) if x is None]
+            new.update([pieces[i] for i in holes])
+            rows.append((pieces, ids, holes))
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+        self.learn(new)
+        for pieces, ids, holes in rows:
+            for i in holes:
+                ids[i] = self.known[pieces[i]]
+        return [b"".join(ids) for _, ids, _ in rows]
 
 
 @functools.cache
@@ -205,12 +207,12 @@ FIELDS = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_i
 
 
 def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (256, 512, 1024, 2048), end_id: int = 1, step_tokens: int = 16384,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         remember: int = 800_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, tier (window length), step_group.
 
     Each partition of the input is packed by itself: no shuffle, no key that could be hot, and a lost task is simply run again (its input comes
-    from the same split; sequence_id starts with the partition's number). A worker holds one slice of text and less than one open window
-    besides. Windows are full; the rest of a partition is cut into windows of falling powers of two, so nothing needs padding.
+    from the same split; sequence_id starts with the partition's number). A worker holds one slice of text, less than one open window, and the
+    ids of at most `remember` pieces and as many words, which trades memory for speed. Windows are full; the rest of a partition is cut into windows of falling powers of two, so nothing needs padding.
 
     A null or empty text is its end id alone. Documents of any length are packed whole. Repeated rows are packed once each, equal lengths in the
     order of arrival. A null doc_id is kept. An empty table gives no rows.
@@ -222,6 +224,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (256, 512, 10
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, packer, base = cache(tokenizer), Packer(tiers), TaskContext.get().partitionId() << 33
+        tool.most = remember
         kind, numbers = None, [0, 0]
 
         def rows(windows):
@@ -245,6 +248,5 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = (256, 512, 10
                 yield rows(windows)
         if windows := packer.close(last=True):
             yield rows(windows)
-        tool.forget()
 
     return ids.mapInArrow(run, schema)
