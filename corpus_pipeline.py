@@ -32,7 +32,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=120_000)
 
 
 STAGES = [("language", known_language), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("decontamination", without_benchmark),

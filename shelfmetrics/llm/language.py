@@ -105,8 +105,8 @@ def _predictions(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
     """The first column of each batch with lang_pred, score and rejected, from its column `text`."""
     langs = np.array([*model.langs, UNKNOWN], object)
     for whole in by_bytes(batches, 2 << 20):
-        for at in range(0, whole.num_rows, 512):  # a dense row per text
-            b = whole.slice(at, 512)
+        for at in range(0, whole.num_rows, 128):  # a dense row per text
+            b = whole.slice(at, 128)
             found = b.column("text").to_pylist()
             best, score, far = np.full(len(found), -1), np.zeros(len(found)), np.ones(len(found), bool)
             if len(model.langs):
