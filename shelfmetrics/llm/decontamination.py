@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, texts
+from .common import by_bytes, ship, texts
 
 CACHE = 200_000  # pieces between white space a task remembers; when full it starts afresh
 WORD = re.compile(r"\w+")
@@ -178,6 +178,14 @@ def _batch(keys: list, key_type, items: list, item_type, found: list) -> pa.Reco
         names=["doc_id", "item_id", "coverage", "n_tiles", "longest", "tiles"])
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("item_text"))
+
+
+def _bytes(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5, most_bytes: int = 32 << 20, id_col: str = "doc_id",
                   item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, longest, tiles: the pairs in which tiles of `least` words or more cover `share` of the item.
@@ -190,10 +198,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, share:
     Repeated rows of a document give repeated pairs in the first way; in both, pairs with a null doc_id or item_id are given as they are.
     """
     ids = texts(docs, id_col, text_col)
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("item_text"))
+    items = _items(benchmark, item_col, text_col)
     kind, item_kind = dict(ids.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, {OUT}"
-    if (items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) > most_bytes:
+    if _bytes(items) > most_bytes:
         return _by_join(ids, items, least, share, schema)
     rows = items.collect()  # of measured size
     table = [(r.item_id, r.item_text) for r in rows]
@@ -246,7 +254,28 @@ def _by_join(ids: DataFrame, items: DataFrame, least: int, share: float, schema:
     return both.mapInArrow(run, schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, all columns as they are, in which `contamination` finds no item."""
-    found = contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5, most_bytes: int = 32 << 20, id_col: str = "doc_id",
+                      item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, in which `contamination` finds no item.
+
+    Each row is decided by its own text, whatever its id is. With a benchmark of at most `most_bytes` there is no shuffle; a larger one is
+    joined with the different texts, which go by their SHA-256 and so are never null.
+    """
+    ship(docs.sparkSession)
+    items = _items(benchmark, item_col, text_col)
+    if _bytes(items) > most_bytes:
+        text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+        ids = docs.select(F.sha2(text, 256).alias("doc_id"), text.alias("text")).dropDuplicates(["doc_id"])
+        found = _by_join(ids, items, least, share, f"doc_id string, item_id {dict(items.dtypes)['item_id']}, {OUT}").select("doc_id").distinct()
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(text, 256).alias("doc_id"))
+        return rows.join(found, "doc_id", "left_anti").select("row.*")
+    table = [(r.item_id, r.item_text) for r in items.collect()]  # of measured size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = Benchmark(list(zip([k for k, _ in table], tokens([t for _, t in table]))), least)
+        for b in by_bytes(batches, 2 << 20, text_col):
+            clean = [next(bench.hits(words, share), None) is None for words in tokens([t or "" for t in b.column(text_col).to_pylist()])]
+            yield b.filter(pa.array(clean, pa.bool_()))
+        _known().clear()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -267,6 +267,17 @@ def test_reordered_passages_are_found_in_both_ways(spark, docs):
     assert decontamination.contamination(frame.limit(0), bench).collect() == []
 
 
+def test_contaminated_rows_go_by_their_own_text(spark):
+    item = prose(77, 30)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows_ = [(None, "before " + item), (None, "clean"), (None, None), (7, item + " after"), (7, "clean too"), (8, item), (8, item), (9, "")]
+    frame = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    for most in (32 << 20, 1):
+        kept = decontamination.drop_contaminated(frame, bench, most_bytes=most)
+        assert kept.columns == frame.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, "clean"), (None, None), (7, "clean too"), (9, "")], key=str)
+
+
 def test_suffix_arrays():
     r = random.Random(1)
     for _ in range(400):
