@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, stored
 
 CONTROL = re.compile(r"[\\#<:]")  # every control string of the template holds one of these
 END = " </turn>\n"
@@ -48,7 +50,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*[c.to_pylist() for c in b.columns])
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20, text: int | None = None) -> Iterator[pa.RecordBatch]:
+def in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20, text: int | None = None) -> Iterator[pa.RecordBatch]:
     """Record batches of about `most` characters of the text column."""
     held, size = [], 0
     for r in rows:
@@ -61,55 +63,114 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20, text
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+PLACED = "conv_id {}, slice int, row bigint, opened boolean, turn bigint, target boolean, before bigint, done bigint, out bigint, lead bigint, chars bigint, piece string"
+
+
+def _mapped(rows, fields: list[tuple[str, pa.DataType]], text: int):
+    """rows (an iterator of tuples to one of tuples that begin with conv_id) over record batches; the type of conv_id stays."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        schema = pa.schema([("conv_id", first.schema.field("conv_id").type), *fields])
+        yield from in_batches(rows(_rows(itertools.chain([first], batches))), schema, text=text)
+    return run
+
+
+def _number(target_role: str):
+    """The formatted turns of a slice with what stands before each in its conversation as far as the slice goes: characters, targets, characters of examples.
+
+    `opened` marks the conversation that opens the slice, of which earlier slices may hold turns.
+    """
+    def rows(found: Iterator[tuple]) -> Iterator[tuple]:
+        part, current, opened, before, done, out = TaskContext.get().partitionId(), None, True, 0, 0, 0
+        for row, (conv, turn, role, text) in enumerate(found):
+            if row and conv != current:
+                opened, before, done, out = False, 0, 0, 0
+            current, lead, target = conv, head(role), role == target_role
+            piece = lead + escape(text) + END
+            yield conv, part, row, opened, turn, target, before, done, out, len(lead), len(piece), piece
+            before += len(piece)
+            if target:
+                done, out = done + 1, out + before
+
+    i, b = pa.int64(), pa.bool_()
+    return _mapped(rows, [("slice", pa.int32()), ("row", i), ("opened", b), ("turn", i), ("target", b), ("before", i), ("done", i), ("out", i), ("lead", i), ("chars", i),
+                          ("piece", pa.string())], 11)
+
+
+def _carried(placed: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(slice, characters, targets, characters of examples) that earlier slices hold of the conversation that opens the slice."""
+    stop = F.col("before") + F.col("chars")
+    last = F.struct("conv_id", "opened", stop.alias("chars"), (F.col("done") + F.col("target").cast("int")).alias("done"),
+                    (F.col("out") + F.when(F.col("target"), stop).otherwise(0)).alias("out"))
+    ends = placed.groupBy("slice").agg(F.min_by("conv_id", "row").alias("first"), F.max_by(last, "row").alias("last")).sort("slice").collect()  # one row per slice
+    found, conv, total = [], None, None
+    for e in ends:
+        chars, done, out = total if total and e.first == conv else (0, 0, 0)
+        if chars:
+            found.append((e.slice, chars, done, out))
+        own, conv = e.last, e.last.conv_id
+        total = (chars + own.chars, done + own.done, out + own.out + own.done * chars) if own.opened else (own.chars, own.done, own.out)
+    return found
+
+
+def _examples(found: Iterator[tuple]) -> Iterator[tuple]:
+    group, k, transcript, pending = None, 0, "", False
+    for conv, block, at, whole, turn, target, lead, done, piece in found:
+        if group != (conv, block):
+            if pending:
+                yield group[0], k, None, transcript, len(transcript), len(transcript)
+            group, transcript, pending = (conv, block), "", False
+        if at != len(transcript):
+            raise ValueError(f"conversation {conv}: {len(transcript)} characters before place {at}")
+        transcript += piece
+        if not whole:
+            pending, k = not target, done
+            if target:
+                yield conv, k, turn, transcript, at + lead, len(transcript) - len(END)
+    if pending:
+        yield group[0], k, None, transcript, len(transcript), len(transcript)
+
+
 def expand(conversations: DataFrame, target_role: str = "assistant", id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", block_chars: int = 1 << 28) -> DataFrame:
     """conv_id, example, target_turn, text, loss_start, loss_end: one row per turn of the target role, and one for turns after the last of them.
 
     `text` is the transcript up to and with the target turn, each turn as `### role: text </turn>`; texts and roles are escaped so that `parse`
     gives them back. Only characters loss_start to loss_end of it, the target's escaped text, are to be trained on; a row without a target
     (target_turn null) has an empty span and lets turns that follow the last reply be read back.
 
-    Turns are dealt by conversation and sorted inside the partition, and a worker streams them: it holds one transcript, never a list of turns.
+    1. Turns are placed by ranges of conversation and order, so that a long conversation lies in many slices, formatted there and stored.
+    2. Each slice counts its turns by itself; what earlier slices hold of a conversation is added (one row per slice on the driver).
+    3. Examples are dealt by conversation and block: a block holds consecutive examples of about `block_chars` characters in all. What lies before
+       a block reaches it joined to one piece for each slice and earlier block. A worker holds one transcript, never a list of turns.
+
     Null roles and texts are empty; a null conv_id is a conversation of its own; turns of equal number, repeated rows included, go by role and
-    text, a null number first. An empty table gives no rows.
+    text, a null number first. An empty table gives no rows. A transcript over 2 GB, which no Spark string can hold, fails and is not cut.
     """
-    ship(conversations.sparkSession)
+    spark = conversations.sparkSession
+    ship(spark)
     kind = dict(conversations.dtypes)[id_col]
     turns = conversations.select(
         F.col(f"`{id_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("bigint").alias("turn"),
         F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-
-    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        current, started, k, transcript, pending = None, False, 0, "", False
-        for conv, turn, role, text in _rows(batches):
-            if not started or conv != current:
-                if pending:
-                    yield current, k, None, transcript, len(transcript), len(transcript)
-                current, started, k, transcript = conv, True, 0, ""
-            transcript += head(role)
-            start = len(transcript)
-            transcript += escape(text)
-            stop = len(transcript)
-            transcript += END
-            pending = role != target_role
-            if not pending:
-                yield conv, k, turn, transcript, start, stop
-                k += 1
-        if pending:
-            yield current, k, None, transcript, len(transcript), len(transcript)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-
-        def again():
-            yield first
-            yield from batches
-
-        schema = pa.schema([("conv_id", first.schema.field("conv_id").type), ("example", pa.int64()), ("target_turn", pa.int64()), ("text", pa.string()),
-                            ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-        yield from _batches(examples(again()), schema, text=3)
-
-    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, EXAMPLE.format(kind))
+    # The bounds of the ranges are drawn on the driver: the beginnings of texts are enough for them.
+    dealt = turns.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 256))
+    placed = stored(dealt.sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_number(target_role), PLACED.format(kind)))
+    base = spark.createDataFrame(_carried(placed), "slice int, b_chars bigint, b_done bigint, b_out bigint")
+    more = {c: F.when(F.col("opened"), F.coalesce(c, F.lit(0))).otherwise(0) for c in ("b_chars", "b_done", "b_out")}
+    placed = placed.join(F.broadcast(base), "slice", "left").withColumns(more).select(
+        "conv_id", F.floor((F.col("out") + F.col("b_out") + F.col("done") * F.col("b_chars")) / block_chars).alias("block"),
+        (F.col("before") + F.col("b_chars")).alias("at"), "turn", "target", "lead", (F.col("done") + F.col("b_done")).alias("done"), "piece", "slice")
+    own = placed.select("conv_id", "block", "at", F.lit(False).alias("whole"), "turn", "target", "lead", "done", "piece")
+    several = placed.groupBy("conv_id").agg(F.max("block").alias("last")).filter("last > 0").withColumnRenamed("conv_id", "conv")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
+    before = placed.join(several, F.col("conv_id").eqNullSafe(F.col("conv"))).filter("block < last").groupBy("conv_id", "block", "slice").agg(
+        F.max("last").alias("last"), F.min("at").alias("at"), joined.alias("piece"))
+    before = before.select(
+        "conv_id", F.explode(F.sequence(F.col("block") + 1, F.col("last"))).alias("block"), "at", F.lit(True).alias("whole"), F.lit(None).cast("bigint").alias("turn"),
+        F.lit(None).cast("boolean").alias("target"), F.lit(None).cast("bigint").alias("lead"), F.lit(None).cast("bigint").alias("done"), "piece")
+    i = pa.int64()
+    run = _mapped(_examples, [("example", i), ("target_turn", i), ("text", pa.string()), ("loss_start", i), ("loss_end", i)], 3)
+    return own.unionAll(before).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "at").mapInArrow(run, EXAMPLE.format(kind))

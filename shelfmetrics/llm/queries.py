@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import language
 from .bpe_count import count_tokens
-from .chat_format import expand, parse, unescape
+from .chat_format import expand, in_batches, parse, unescape
 from .common import read
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
@@ -58,46 +58,98 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+PIECES = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("n_turns", pa.int64()), ("turns", pa.string()), ("loss", pa.string()), ("loss_chars", pa.int64()),
+                    ("formatted_chars", pa.int64())])
 DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()),
                     ("formatted_chars", pa.int64())])
 
 
+def _added(examples: Iterator[tuple], most: int) -> Iterator[tuple]:
+    """What examples add to those before them: their turns and trained text as read back, examples that follow each other joined up to `most` characters."""
+    conv, following, whole, piece, size = None, None, "", None, 0
+
+    def close():
+        first, n, turns, loss, formatted = piece
+        loss = "".join(loss)
+        return conv, first, n, "".join(turns), loss, len(loss), formatted
+
+    for key, example, text, start, stop in examples:
+        if key == conv and example == following:
+            if not text.startswith(whole):
+                raise ValueError(f"conversation {key}: example {example} does not begin with the one before it")
+            turns = parse(text[len(whole):])
+        else:  # the first of a block: its own turns follow the last reply before the target
+            if piece:
+                yield close()
+            turns, piece = parse(text), None
+            turns = turns[max((i + 1 for i, (role, _) in enumerate(turns[:-1]) if role == "assistant"), default=0):]
+        if piece is None:
+            piece, size = [example, 0, [], [], 0], 0
+        said = "".join(f"{role}\n{said}\n" for role, said in turns)
+        piece[1] += len(turns)
+        piece[2].append(said)
+        piece[3].append(unescape(text[start:stop]))
+        piece[4] += len(text)
+        conv, following, whole, size = key, example + 1, text, size + len(said)
+        if size >= most:
+            yield close()
+            piece = None
+    if piece:
+        yield close()
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the examples of a conversation, which follow each other: turns from the last one, trained text from each."""
+    def examples():
+        for b in batches:
+            key, example, text, start, stop = (b.column(c) for c in ("conv_id", "example", "text", "loss_start", "loss_end"))
+            for k, n, t, x, y in zip(key.to_pylist(), example.to_pylist(), text, start.to_pylist(), stop.to_pylist()):
+                yield k, n, t.as_py(), x, y  # one long text at a time
+
+    yield from in_batches(_added(examples(), 1 << 20), PIECES, text=3)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of conversations whose pieces follow each other."""
     done: list[list] = [[] for _ in DIGEST]
+    state = None
 
-    def close(conv, text, loss, chars, formatted):
-        turns = parse(text)
-        sha = hashlib.sha256("".join(f"{role}\n{said}\n" for role, said in turns).encode("utf-8", "surrogatepass"))
-        for col, x in zip(done, (conv, len(turns), sha.hexdigest(), chars, loss.hexdigest(), formatted)):
+    def close():
+        conv, n, turns, chars, loss, formatted = state
+        for col, x in zip(done, (conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted)):
             col.append(x)
 
-    state = None
     for b in batches:
-        for conv, example, text, start, stop in zip(*[b.column(c).to_pylist() for c in ("conv_id", "example", "text", "loss_start", "loss_end")]):
+        for conv, example, n, turns, loss, chars, formatted in zip(*[c.to_pylist() for c in b.columns]):
             if state is None or example == 0:
                 if state:
-                    close(*state)
-                state = [conv, "", hashlib.sha256(), 0, 0]
-            said = unescape(text[start:stop])
-            state[1] = text
-            state[2].update(said.encode("utf-8", "surrogatepass"))
-            state[3] += len(said)
-            state[4] += len(text)
+                    close()
+                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            state[1] += n
+            state[2].update(turns.encode("utf-8", "surrogatepass"))
+            state[3] += chars
+            state[4].update(loss.encode("utf-8", "surrogatepass"))
+            state[5] += formatted
         if len(done[0]) >= 1000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(done, DIGEST)], schema=DIGEST)
             done[:] = [[] for _ in DIGEST]
     if state:
-        close(*state)
+        close()
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(done, DIGEST)], schema=DIGEST)
 
 
+def read_back(examples: DataFrame) -> DataFrame:
+    """One row of digests per conversation. Examples are read where they were built; only what each adds goes, in order, to the conversation's task."""
+    pieces = examples.mapInArrow(_read_back, "conv_id bigint, example bigint, n_turns bigint, turns string, loss string, loss_chars bigint, formatted_chars bigint")
+    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(
+        _digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     examples = expand(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
-    return examples.mapInArrow(_read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return read_back(examples)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

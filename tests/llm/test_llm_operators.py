@@ -17,6 +17,7 @@ from shelfmetrics.llm.components import components
 from shelfmetrics.llm.exact_dedup import drop_copies, exact_dedup
 from shelfmetrics.llm.jaccard_join import Plan, drop_near, near_duplicates, shingles, signatures
 from shelfmetrics.llm.packing import pack
+from shelfmetrics.llm.queries import read_back
 from shelfmetrics.llm.sharding import lookup_table, place
 from shelfmetrics.llm.suffix_array import common_prefixes, suffix_array
 
@@ -161,6 +162,34 @@ def test_chat_round_trip(spark):
     assert expand(frame.limit(0)).collect() == []
 
 
+def test_blocks_of_one_conversation_are_built_in_different_tasks(spark):
+    turns = [(None if i % 2 else 9, i // 2, ["user", "assistant", "tool: #"][i // 2 * 7 % 3], f"{i} said <#: " + "x" * (i % 50)) for i in range(600)]
+    turns += [(9, 299, "user", "last"), (9, 299, "user", "last"), (10, 0, "user", "none"), (11, 0, "assistant", "one")]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    blocks = expand(frame, block_chars=100_000)
+    whole = sorted(((str(r.conv_id), r.example, r.target_turn, r.text, r.loss_start, r.loss_end) for r in expand(frame).collect()), key=str)
+    assert sorted(((str(r.conv_id), r.example, r.target_turn, r.text, r.loss_start, r.loss_end) for r in blocks.collect()), key=str) == whole
+    for conv in {t[0] for t in turns}:
+        own = sorted((t[1], t[2], t[3]) for t in turns if t[0] == conv)
+        texts_, said = [], ""
+        for _, role, text in own:
+            said += f"### {escape(role)}: {escape(text)} </turn>\n"
+            texts_ += [said] if role == "assistant" else []
+        texts_ += [said] if own[-1][1] != "assistant" else []
+        found = sorted((r for r in whole if r[0] == str(conv)), key=lambda r: r[1])
+        assert [r[3] for r in found] == texts_ and [r[1] for r in found] == list(range(len(texts_)))
+        digest = next(r for r in read_back(blocks).collect() if r.conv_id == conv)
+        assert (digest.n_turns, digest.formatted_chars) == (len(own), sum(map(len, texts_)))
+        assert digest.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
+        replies = "".join(t for _, r, t in own if r == "assistant")
+        assert (digest.loss_chars, digest.loss_sha256) == (len(replies), hashlib.sha256(replies.encode()).hexdigest())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert blocks.filter("conv_id = 9").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_language_of_held_out_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     apart = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
