@@ -58,14 +58,14 @@ def clusters(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 800, per_language: int = 4, slack: float = 1.15, nearest: float = 0.7) -> Model:
-    """Centroids from about `most` rows of each language at the most (a hash of id_col chooses; equal texts count
-    once), texts taken whole.
+    """Centroids from about `most` rows of each language at the most (a hash of id and text chooses, so that rows without
+    an id are drawn as others; equal texts count once), texts taken whole.
 
     The bound is fixed, so a language's vectors fit one task and the driver gets `per_language` vectors of BINS numbers each. A centroid reaches
     as far as its own training rows lie from it, times `slack`, at least `nearest` (short texts farther, see FULL). Rows without text, language or letters teach nothing.
     """
     ship(labelled.sparkSession)
-    rows = labelled.select(F.xxhash64(f"`{id_col}`").alias("draw"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = labelled.select(F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("draw"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     number = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not number:
         return Model(np.ones(BINS), np.zeros((0, BINS)), [], np.zeros(0))

@@ -212,6 +212,13 @@ def test_language_of_odd_rows(spark, docs, rows, empty, sf_dir):
     assert language.predict(empty, model).collect() == []
 
 
+def test_rows_without_an_id_are_sampled_too(spark):
+    labelled = spark.createDataFrame([(None, prose(i, 20) + f" word{i}", "en") for i in range(1000)], "doc_id bigint, text string, lang string")
+    model = language.fit(labelled, most=100)
+    drawn = round(float(np.exp(model.idf.max() - 1))) - 1  # a trigram in no text has the largest weight, the log of 1 + the rows
+    assert 60 < drawn < 140
+
+
 def test_a_language_far_from_all_is_rejected(spark, sf_dir):
     model = language.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     r = random.Random(5)
