@@ -95,7 +95,7 @@ def return_rules(m: Retail) -> list[DataFrame]:
     of_line = m.keyed("return_items").select("return_id", "order_item_id", c("quantity").alias("back"), c("refund_amount").alias("refund"))
     of_return = m.keyed("returns").select("return_id", c("order_id").alias("of_order"), "refund_amount")
     sold = m.keyed("sales_order_items").select("order_item_id", "order_id", "quantity")
-    items = of_line.join(of_return, "return_id").join(sold, "order_item_id")
+    items = of_line.join(of_return, "return_id", "left").join(sold, "order_item_id")
     per_line = items.groupBy("order_item_id").agg(F.sum("back").alias("back"), F.first("quantity").alias("quantity"), F.count_if(c("order_id") != c("of_order")).alias("strange"))
     per_return = of_return.join(of_line.groupBy("return_id").agg(F.sum("refund").alias("s")), "return_id")
     head = m.sales_orders.select("order_id", "order_date", "order_status")

@@ -8,7 +8,7 @@ from shelfmetrics.plans.integrity import integrity_report, load_report, negative
 from shelfmetrics.plans.measures import measures
 from shelfmetrics.plans.quality import null_profile
 from shelfmetrics.plans.validation import gate, report, run_checks
-from shelfmetrics.sources import append_missing, build_calendar
+from shelfmetrics.sources import Retail, append_missing, build_calendar
 from shelfmetrics.sources.validate import validate, violation_counts
 
 
@@ -88,6 +88,13 @@ def test_integrity_report(micro):
     assert not any(r.passed for r in load_report(micro, {"customers": 5000}).collect() if "customers" in r.rule)
 
 
+def test_return_items_without_a_header_count_as_returned(spark, micro):
+    items = micro.return_items.union(spark.createDataFrame([(3, 99, 1, 50, M(0), False)], micro.return_items.schema))
+    found = {r.rule: r.violations for r in integrity_report(Retail(spark, micro._tables | {"return_items": items})).collect()}
+    assert found["returned <= sold"] == 1
+    assert found["return item belongs to the order"] == 0
+
+
 def test_not_in_trap(micro):
     assert rows(run(micro, "q211_not_in_trap")) == [(0, 0)]
     assert rows(run(micro, "q34_never_purchased")) == [(1, 1, 1)]
