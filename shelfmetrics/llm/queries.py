@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from . import language
 from .bpe_count import count_tokens
 from .chat_format import expand, in_batches, parse, unescape
-from .common import read
+from .common import read, stored
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import near_duplicates
 from .packing import pack
+from .prefix_trie import keys, share_beginnings, trie
 from .sharding import place
+from .simhash_pivots import simhash_components
 from .substring_dedup import remove_repeats
 from .toxicity import classify
 
@@ -168,4 +170,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_language, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_jaccard_join, op8_sharding, op9_token_counts, op10_exact_dedup)}
+def op12_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"), width=4, radius=4)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stored(keys(read(spark, sf_dir, "conversations")))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return trie(stored(share_beginnings(own, every=100, begins=h, most=5)))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_language, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_jaccard_join, op8_sharding, op9_token_counts, op10_exact_dedup,
+                                   op12_simhash_pivots, op13_prefix_trie)}

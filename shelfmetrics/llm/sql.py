@@ -38,4 +38,28 @@ ORACLE = {
         SELECT d.doc_id, o.slot, o.shard
         FROM documents d JOIN owner o
           ON o.slot = CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 2503""",
+    # crc32 over the digits of an id by the table of the reflected polynomial; nodes are named by the joined digests of their turns.
+    "op13_prefix_trie": """
+        WITH crc AS (SELECT [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) FOR n IN range(256)] AS t),
+             o AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             c AS (SELECT conv_id, conv_id - conv_id % 100 AS base,
+                          xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+                                          lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 6 AS h
+                   FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc),
+             r AS (SELECT c.conv_id, o.place, o.id, o.chars FROM c JOIN o ON o.conv_id = c.base AND o.place <= h
+                   UNION ALL SELECT conv_id, place, id, chars FROM c JOIN o USING (conv_id) WHERE place > h),
+             d AS (SELECT conv_id, id, chars, row_number() OVER w AS depth, string_agg(id, '') OVER w AS node FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+             m AS (SELECT conv_id, node, depth, chars FROM d UNION ALL SELECT conv_id, '', 0, 0 FROM c),
+             n AS (SELECT node, any_value(depth) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs FROM m GROUP BY node),
+             k AS (SELECT left(node, 32 * (depth - 1)) AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+             s AS (SELECT left(node, 32 * a.up) AS node, sum(CAST(n_children IS NULL AS INT)) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+                   FROM n LEFT JOIN k USING (node), LATERAL (SELECT unnest(range(depth + 1)) AS up) a GROUP BY 1),
+             e AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends
+                   FROM (SELECT conv_id, max_by(node, depth) AS node FROM m GROUP BY conv_id) GROUP BY node)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+               CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+        FROM n LEFT JOIN k USING (node) JOIN s USING (node) LEFT JOIN e USING (node)
+             LEFT JOIN n p ON p.node = left(n.node, 32 * (n.depth - 1)) AND n.depth > 0""",
 }
