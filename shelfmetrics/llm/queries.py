@@ -21,6 +21,7 @@ from .packing import pack
 from .prefix_trie import keys, share_beginnings, trie
 from .sharding import place
 from .simhash_pivots import simhash_components
+from .spelling_grams import spelling_forms
 from .substring_dedup import remove_repeats
 from .toxicity import classify
 
@@ -170,6 +171,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(read(spark, sf_dir, "documents"))
+
+
 def op12_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), width=4, radius=4)
 
@@ -181,4 +186,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_language, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_jaccard_join, op8_sharding, op9_token_counts, op10_exact_dedup,
-                                   op12_simhash_pivots, op13_prefix_trie)}
+                                   op11_spelling_grams, op12_simhash_pivots, op13_prefix_trie)}

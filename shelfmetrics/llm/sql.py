@@ -38,6 +38,24 @@ ORACLE = {
         SELECT d.doc_id, o.slot, o.shard
         FROM documents d JOIN owner o
           ON o.slot = CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 2503""",
+    # Words one edit apart are found by what is left without one letter: the same at the same place, or the shorter word itself.
+    "op11_spelling_grams": r"""
+        WITH RECURSIVE crc AS (SELECT [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) FOR n IN range(256)] AS t),
+             runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+             k AS (SELECT run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+             h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, [CAST(CAST('0x' || x AS UTINYINT) AS BIGINT) FOR x IN regexp_extract_all(hex(encode(name)), '..')]),
+                                                  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM k, crc),
+             w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+                   FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+             d AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+             p AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                   UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.rest
+                   UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.rest),
+             b AS (SELECT word, count(*) AS n_near, max(m) AS m FROM p GROUP BY word),
+             f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n FROM w LEFT JOIN b USING (word)),
+             o AS (SELECT f.*, x.form FROM f LEFT JOIN (SELECT word, m, min(other) AS form FROM p GROUP BY word, m) x ON x.word = f.word AND x.m = f.form_n),
+             r AS (SELECT word, word AS root, form AS following FROM o UNION ALL SELECT r.word, r.following, o.form FROM r JOIN o ON o.word = r.following)
+        SELECT o.word, form, root, n, n_near, form_n FROM o JOIN r ON r.word = o.word AND r.following IS NULL""",
     # crc32 over the digits of an id by the table of the reflected polynomial; nodes are named by the joined digests of their turns.
     "op13_prefix_trie": """
         WITH crc AS (SELECT [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) FOR n IN range(256)] AS t),
