@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from .common import by_bytes, ship, texts
 
 BINS = 1 << 13  # hashed letter trigrams
-LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]+")  # numerals such as ½ and Ⅷ too
 # ASCII bytes that are no letters become blanks; other bytes belong to letters of some script.
 BLANKS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 UNKNOWN = "und"
 FULL = 200  # shorter texts show less of their language: their least cosine falls with the square root of their trigrams
 
 
+def lettered(text: str) -> bool:
+    """Whether a text has a letter of any script."""
+    return any(any(map(str.isalpha, m[0])) for m in WORD.finditer(text))
+
+
 class Model(NamedTuple):
     idf: np.ndarray  # BINS
     centroids: np.ndarray  # rows: unit vectors
@@ -73,7 +78,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     chosen = rows.filter(F.pmod("draw", F.lit(1 << 20)) < bar).select("lang", "text").distinct()
 
     def vectors(table: pa.Table) -> tuple[str, np.ndarray]:
-        found = sorted(t for t in table.column("text").to_pylist() if LETTER.search(t))
+        found = sorted(t for t in table.column("text").to_pylist() if lettered(t))
         return table.column("lang")[0].as_py(), counts(found)
 
     def spread(table: pa.Table) -> pa.Table:
@@ -114,7 +119,7 @@ def _predictions(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
                 full = np.sqrt(np.minimum(1, x.sum(axis=1) / FULL))
                 cos = unit(x * model.idf) @ model.centroids.T
                 best, score = cos.argmax(axis=1), np.clip(cos.max(axis=1).astype(float), 0, 1)
-                none = np.array([not LETTER.search(t) for t in found], bool)
+                none = np.array([not lettered(t) for t in found], bool)
                 far = (score < (1 - model.reach[best]) * full) | none
                 best, score = np.where(none, -1, best), np.where(none, 0, score)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[best], pa.string()), pa.array(score), pa.array(far)],
@@ -132,7 +137,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that `predict` does not reject."""
+    """The rows of docs, all columns as they are, that `predict` does not reject. A model that learned nothing keeps all of them.
+
+    Null and empty texts and those without letters are rejected, whole texts of any length are read, repeated rows are judged each; of two centroids
+    equally near the first by language counts, which rejects alike. An empty table gives no rows, and names of other columns do not matter.
+    """
+    if not model.langs:
+        return docs
     ship(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
