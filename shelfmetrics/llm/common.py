@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that all executors share (spark.checkpoint.dir).
+    """A new folder under the one that all executors share: spark.checkpoint.dir, or where that is unset one of the warehouse.
 
-    A session without the setting, as in tests on one machine, gets a temporary folder, once.
+    A warehouse on the driver's own disk serves only a session on one machine; elsewhere it is refused.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+            if not context.master.startswith("local") and (folder.startswith(("/", "file:"))):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder)
     return f"{context._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
 
 
