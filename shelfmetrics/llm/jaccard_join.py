@@ -13,13 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stored, texts
+from .common import by_bytes, ship, stored, texts
 from .components import components
 
 CACHE = 200_000  # words a task remembers; when full it starts afresh
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-BLOCK, BLOCK_BYTES = 512, 1 << 20  # members of a star, and bytes of their sketches, that one task compares with as many others
+BLOCK, BLOCK_BYTES = 512, 4 << 20  # members of a star, and bytes of their sets, that one task compares with as many others
+SLICE = 1 << 20  # bytes of text that a task holds as sets at once
 
 
 @functools.cache
@@ -62,6 +63,13 @@ class Plan(NamedTuple):
     parts: int = 2  # second-level parts of a partition
     spare: int = 1  # of which so many may differ
 
+    def similar(self, x: np.ndarray, y: np.ndarray) -> bool:
+        """Whether the sets, sorted, have the similarity."""
+        both = np.concatenate((x, y))
+        both.sort(kind="stable")
+        both = int((both[1:] == both[:-1]).sum())
+        return self.den * both >= self.num * (len(x) + len(y) - both)
+
     def apart(self, total: int) -> int:
         """The largest symmetric difference of two similar sets whose sizes add up to total."""
         return total * (self.den - self.num) // (self.den + self.num)
@@ -124,7 +132,7 @@ def signatures(found: np.ndarray, plan: Plan) -> np.ndarray:
 
 def _signature_rows(width: int, plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 4 << 20):
+        for b in by_bytes(batches, SLICE):
             first: dict[bytes, int] = {}
             docs, sigs, other, same = [], [], [], []
             for doc, text in sorted(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())):
@@ -148,11 +156,11 @@ def _signature_rows(width: int, plan: Plan):
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """A byte for each of 2 ** p cells, at least as many as features: the sum of the features that fall there.
+    """A byte for each of 2 ** p cells, at least half as many as features: the sum of the features that fall there.
 
     A feature that one of two sets lacks changes one cell, so sets differ in as many features as cells at least.
     """
-    cells = 1 << max(0, int(len(found) - 1).bit_length())
+    cells = 1 << max(0, int(len(found) - 1).bit_length() - 1)
     h = mixed(found ^ SPREAD)
     return np.bincount((h >> np.uint64(8)).astype(np.int64) & (cells - 1), ((h & np.uint64(255)) | np.uint64(1)).astype(np.int64), cells).astype(np.int64).astype(np.uint8)
 
@@ -162,14 +170,21 @@ def folded(x: np.ndarray, cells: int) -> np.ndarray:
     return x.reshape(*x.shape[:-1], -1, cells).sum(axis=-2, dtype=np.uint8)
 
 
-def _sets(width: int):
+def _heads(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 4 << 20):
+        for b in by_bytes(batches, SLICE):
             found = [shingles(t, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary()),
-                pa.array([sketch(f).tobytes() for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())],
-                names=["doc_id", "size", "print", "sketch", "found"])
+                pa.array([sketch(f).tobytes() for f in found], pa.binary())], names=["doc_id", "size", "print", "sketch"])
+        _known().clear()
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, SLICE):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "found"])
         _known().clear()
     return run
 
@@ -194,35 +209,56 @@ def _linked(plan: Plan):
         for b in by_bytes(batches, 8 << 20, "found_a"):
             keep = []
             for x, y in zip(b.column("found_a").to_pylist(), b.column("found_b").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(plan.den * both >= plan.num * (len(x) + len(y) - both))
+                keep.append(plan.similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")))
             at = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([at.column("a"), at.column("b")], names=["a", "b"])
     return run
 
 
+def _pairs(plan: Plan, size: np.ndarray, root: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Members, each with the later ones of other roots (as they are by then) whose sketches allow the similarity."""
+    cells = np.array([len(x) for x in sketches])
+    # As the similarity is at least a half, similar sets have as many cells or twice as many.
+    for own in np.unique(cells):
+        at = np.flatnonzero((cells == own) | (cells == 2 * own))
+        x = np.stack([folded(sketches[i], own) for i in at])
+        for k, i in enumerate(at.tolist()):
+            others = np.arange(k + 1, len(at))
+            others = others[((cells[i] == own) | (cells[at[others]] == own)) & (root[at[others]] != root[i])]
+            apart = (size[at[others]] + size[i]) * (plan.den - plan.num) // (plan.den + plan.num)
+            able = np.abs(size[at[others]] - size[i]) <= apart
+            others, apart = others[able], apart[able]
+            yield i, at[others[(x[others] != x[k]).sum(axis=1) <= apart]]
+
+
+def _able(plan: Plan):
+    """The members of a block, or of two blocks, of a star that their sketches allow to be similar to one of another label."""
+    def run(table: pa.Table) -> pa.Table:
+        size, label = (table.column(c).to_numpy() for c in ("size", "label"))
+        some = np.zeros(len(size), bool)
+        for i, others in _pairs(plan, size, label, [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]):
+            some[others] = True
+            some[i] |= len(others) > 0
+        return table.select(["centre", "i", "j", "doc_id", "label"]).filter(pa.array(some))
+    return run
+
+
 def _block(plan: Plan):
-    """Pairs of members of two blocks of a star, of different components so far, whose sketches allow the similarity."""
+    """Links (a, b) between the labels of members of a block, or of two blocks, of a star: pairs of different labels whose sketches allow the similarity are
+    compared by their whole sets, and what a link joins is not compared again. Each label is linked to the smallest one it is joined with, so there are
+    fewer links than labels, and stars of the same members give the same ones.
+    """
     def run(table: pa.Table) -> pa.Table:
-        doc, size, label = (table.column(c).to_numpy() for c in ("doc_id", "size", "label"))
-        sketches = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
-        cells, a, b = np.array([len(x) for x in sketches]), [], []
-        # Similar sets have as many cells or twice as many.
-        for own in np.unique(cells):
-            at = np.flatnonzero((cells == own) | (cells == 2 * own))
-            x = np.stack([folded(sketches[i], own) for i in at])
-            for k, i in enumerate(at.tolist()):
-                others = np.arange(k + 1, len(at))
-                others = others[((cells[i] == own) | (cells[at[others]] == own)) & (label[at[others]] != label[i])]
-                apart = (size[at[others]] + size[i]) * (plan.den - plan.num) // (plan.den + plan.num)
-                others = others[np.abs(size[at[others]] - size[i]) <= apart]
-                apart = (size[at[others]] + size[i]) * (plan.den - plan.num) // (plan.den + plan.num)
-                near = at[others[(x[others] != x[k]).sum(axis=1) <= apart]]
-                a.append(np.full(len(near), doc[i]))
-                b.append(doc[near])
-        a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        label = table.column("label").to_numpy()
+        found = [np.frombuffer(x, "<u8") for x in table.column("found").to_pylist()]
+        root = label.copy()
+        for i, others in _pairs(plan, np.array([len(f) for f in found]), root, [sketch(f) for f in found]):
+            for n in others.tolist():
+                if root[n] != root[i] and plan.similar(found[i], found[n]):
+                    low, high = sorted((root[n], root[i]))
+                    root[root == high] = low
+        out = np.unique(np.stack([label, root])[:, label != root], axis=1)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
     return run
 
 
@@ -231,51 +267,91 @@ def _few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, found: the sets of the documents of a stored table of ids; only these are made and stored."""
+    return stored(docs.join(_few(ids), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, found binary"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, plan: Plan) -> DataFrame:
     """The pairs (a, b), stored, whose whole sets are similar."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    own = sets.select("doc_id", "found").join(_few(ids), "doc_id", "left_semi")
+    own = _sets_of(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()), docs, width)
     left, right = [own.select(F.col("doc_id").alias(c), F.col("found").alias(f"found_{c}")) for c in ("a", "b")]
     return pairs.join(left, "a").join(right, "b").mapInArrow(_linked(plan), "a bigint, b bigint")
 
 
-def links(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """a, b: enough links between documents (doc_id, text) to give all components of the graph of similar pairs.
+def _labelled(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """The edges (a, b) between the labels of their ends, those inside one label left out."""
+    for c in ("a", "b"):
+        edges = edges.join(label.select(F.col("node").alias(c), F.col("component").alias(f"label_{c}")), c, "left")
+    a, b = [F.coalesce(f"label_{c}", c) for c in ("a", "b")]
+    return edges.select(*[c for c in edges.columns if not c.startswith("label_")], a.alias("label_a"), b.alias("label_b")).filter("label_a <> label_b")
+
+
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """node, component after further links (a, b) between labels or nodes without one."""
+    top = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = label.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = top.select(F.col("component").alias("node"), F.col("top").alias("component")).join(label.select("node"), "node", "left_anti")
+    return stored(old.unionAll(new))
+
+
+def similar_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """node, component: the components of the graph of similar pairs of documents (doc_id, text), by their smallest id; those without a link are not listed.
+
+    Documents that share a signature form a star around the smallest of them.
 
-    Documents that share a signature form a star around the smallest of them. Each is compared with the centre: by sketch, and by whole sets if the
-    sketches allow the similarity. Members that are not yet in one component may still be similar to each other; a star is cut into blocks, the
-    sketches of pairs of blocks are compared in tasks of bounded size, and pairs that these allow are compared by whole sets. Equal sets are
-    linked by their hash and compared once.
+    1. Each document is compared with the centre with which it shares most signatures: by sketch, and by whole sets if the sketches allow the
+       similarity. Equal sets are linked by their hash.
+    2. So are pairs of a document and another of its centres that are not yet in one component.
+    3. Members of a star that are not in one component may still be similar to each other. A star is cut into blocks; tasks of bounded size compare the
+       sketches of two blocks and name the members that may have a partner, then the whole sets of these, and join labels as they find links.
+
+    No list of pairs is larger than the memberships of stars, and sets are made only of documents that sketches leave.
     """
     plan = Plan(num, den)
-    rows = docs.filter("doc_id IS NOT NULL").mapInArrow(_signature_rows(width, plan), "sig bigint, doc_id bigint, same bigint")
+    if 2 * num < den:
+        raise ValueError("the similarity must be at least a half")
+    docs = docs.filter("doc_id IS NOT NULL")
+    rows = docs.mapInArrow(_signature_rows(width, plan), "sig bigint, doc_id bigint, same bigint")
     lowest = F.min("doc_id").over(Window.partitionBy("sig"))
     stars = stored(rows.select("doc_id", F.coalesce("same", lowest).alias("centre"), F.col("same").isNotNull().alias("equal"))
-                   .filter("doc_id <> centre").distinct())
-    candidates = stars.filter("not equal").select("doc_id", "centre")
+                   .filter("doc_id <> centre").groupBy("doc_id", "centre", "equal").agg(F.count("*").alias("n")))
+    candidates = stars.filter("not equal")
     nodes = stored(candidates.select("doc_id").union(candidates.select("centre")).distinct())
-    sets = stored(docs.join(_few(nodes), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, size bigint, print binary, sketch binary, found binary"))
-    heads = sets.select("doc_id", "size", "print", "sketch")
+    heads = stored(docs.join(_few(nodes), "doc_id", "left_semi").mapInArrow(_heads(width), "doc_id bigint, size bigint, print binary, sketch binary"))
     left, right = [heads.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("print").alias(f"print_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b")]
-    pairs = candidates.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).join(left, "a").join(right, "b")
-    first = F.abs(F.col("size_a") - F.col("size_b")) * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)
-    near = stored(pairs.filter((F.col("print_a") != F.col("print_b")) & first).mapInArrow(_near(plan), "a bigint, b bigint"))
+    able = (F.col("print_a") != F.col("print_b")) & (F.abs(F.col("size_a") - F.col("size_b")) * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(left, "a").join(right, "b").filter(able).mapInArrow(_near(plan), "a bigint, b bigint")
+        return _verified(stored(near), docs, width, plan)
+
+    best = candidates.groupBy("doc_id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
     # Equal sets: the smallest document stands for all.
     one = heads.groupBy("print").agg(F.min("doc_id").alias("first"))
     equal = heads.join(one, "print").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    edges = stored(stars.filter("equal").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).union(equal).union(_verified(near, sets, plan)))
-    so_far = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    nearest = similar(best.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))
+    label = components(stars.filter("equal").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).union(equal).union(nearest))
+    # Centres further away, where they may join something.
+    other = candidates.join(best.withColumnRenamed("centre", "done"), "doc_id").filter("centre <> done").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+    further = similar(_labelled(other, label).select("a", "b"))
+    label = _joined(label, _labelled(further, label).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
     # The centre has been compared with all members, so the members are compared among themselves, equal sets once.
-    members = candidates.join(heads, "doc_id").join(one.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").join(so_far, "doc_id", "left").select(
-        "centre", "doc_id", "size", "sketch", F.coalesce("label", "doc_id").alias("label"))
-    bulk = members.groupBy("centre").agg(F.count("*").alias("n"), F.sum(F.length("sketch")).alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    members = candidates.select("doc_id", "centre").join(heads.select("doc_id", "size"), "doc_id").join(one.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").join(
+        label.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").select("centre", "doc_id", "size", F.coalesce("label", "doc_id").alias("label"))
+    bulk = members.groupBy("centre").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    # Members of one label lie in up to 64 blocks, so that many pairs of blocks have one label only and are left out.
+    own = F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), F.lit(64))), F.col("blocks")).cast("int")
     dealt = members.join(bulk.select("centre", blocks.alias("blocks")), "centre").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "size", "label", "sketch")
-    inside = stored(dealt.groupBy("centre", "i", "j").applyInArrow(_block(plan), "a bigint, b bigint").distinct())
-    return edges.union(_verified(inside, sets, plan))
+        "centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "label")
+    several = dealt.groupBy("centre", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("centre", "i", "j")
+    rest = dealt.join(several, ["centre", "i", "j"]).join(heads.select("doc_id", "size", "sketch"), "doc_id")
+    rest = stored(rest.groupBy("centre", "i", "j").applyInArrow(_able(plan), "centre bigint, i int, j int, doc_id bigint, label bigint"))
+    sets = _sets_of(stored(rest.select("doc_id").distinct()), docs, width)
+    inside = rest.join(sets, "doc_id").groupBy("centre", "i", "j").applyInArrow(_block(plan), "a bigint, b bigint")
+    return _joined(label, stored(inside.distinct()))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,17 +364,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     ids = texts(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 4 << 20):
+        for b in by_bytes(batches, SLICE):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(shingles(t, width)) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "n_shingles"])
         _known().clear()
 
-    found = components(links(ids, width, num, den)).withColumnRenamed("node", "doc_id")
+    found = similar_components(ids, width, num, den).withColumnRenamed("node", "doc_id")
     return ids.mapInArrow(sizes, "doc_id bigint, n_shingles bigint").join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def drop_near(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, without those that a link joins to a component of a smaller doc_id: one document of each stays."""
-    ids = texts(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    gone = components(links(ids, width, num, den)).filter("node <> component").select(F.col("node").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_near(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, of which links join no text of a smaller hash: one text of each group of near copies stays.
+
+    Texts are the nodes, by their 64-bit hash, so ids may be null, repeated or of any type, and a row stays or goes by its own text; rows of equal text
+    stay or go together (`drop_copies` leaves one of them). Null and empty texts and those without words have no shingles and stay, texts of any
+    length are compared whole, an empty table gives no rows, and the names of other columns do not matter.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    spread = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    ship(docs.sparkSession)
+    gone = stored(similar_components(spread, width, num, den).filter("node <> component").select(F.col("node").alias("doc_id")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("doc_id"))
+    return rows.join(_few(gone), "doc_id", "left_anti").select("row.*")
