@@ -8,7 +8,7 @@ from pyspark.sql.observation import Observation
 from .plans import dataset
 from .plans.datasets import DATASETS, asof_day, first_day
 from .sources import Retail, build_calendar
-from .sources.layout import write_table
+from .sources.layout import with_month_of_order, write_table
 from .sources.schemas import TABLES
 from .sources.validate import validate, violation_counts
 
@@ -34,7 +34,8 @@ def load(spark: SparkSession, source: str, target: str, version: str, check: boo
         if broken:
             raise RejectedLoad("; ".join(f"{r.table_name}: {r['rule']} ({r['rows']} rows)" for r in broken))
     for table in LOAD_ORDER:
-        write_table(getattr(m, table), f"{root}/{table}", table)
+        rows = getattr(m, table)
+        write_table(with_month_of_order(rows, m.sales_orders) if table == "sales_order_items" else rows, f"{root}/{table}", table)
     build_calendar(spark, *calendar).coalesce(1).write.mode("error").parquet(f"{root}/dim_date")
     at = F.current_timestamp().cast("double")
     spark.range(1).select(F.lit(version).alias("version"), at.alias("at")).coalesce(1).write.mode("append").json(f"{target}/_published")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import as_double, growth_pct, part_of_total, pct, ratio, rnd, stacked, top, week_of
 from ..operators import consecutive_runs, descend, gap_days, percentiles, previous, trailing_mean
 from ..sources import Retail
+from ..sources.layout import between_days
 from .datasets import NO_CATEGORY, asof_day, canonical_products, completed, sold_lines
 from .registry import query
 from .sales import product_totals
@@ -72,7 +73,7 @@ def q104_customer_sets(m: Retail, before: int = 2024, year: int = 2025) -> DataF
 def q105_days_without_sales(m: Retail, store_code: str = "LKO01", first: str = "2025-12-01", last: str = "2025-12-31") -> DataFrame:
     a, z = F.lit(first).cast("date"), F.lit(last).cast("date")
     store = m.stores.filter(F.col("store_code") == store_code).select("store_id")
-    open_days = completed(m).filter((F.col("order_date") >= a) & (F.col("order_date") < F.date_add(z, 1))).join(
+    open_days = between_days(completed(m), a, F.date_add(z, 1)).join(
         store, "store_id", "left_semi").select(F.col("order_day").alias("day"))
     days = m.spark.range(1).select(F.explode(F.sequence(a, z)).alias("day"))
     return days.join(open_days, "day", "left_anti").select("day", F.date_format("day", "EEE").alias("weekday")).orderBy("day")

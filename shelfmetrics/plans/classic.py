@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import one_row, part_of_total, pct, ratio, rnd, top
 from ..operators import consecutive_runs, not_in, percentiles, previous
 from ..sources import Retail
+from ..sources.layout import between_days
 from .datasets import completed, sold_lines
 from .registry import query
 from .sales import monthly_revenue, revenue_by_store
@@ -53,8 +54,7 @@ def q204_three_months_running(m: Retail, months: int = 3) -> DataFrame:
 
 @query("Year-to-date revenue")
 def q205_year_to_date(m: Retail, year: int = 2025) -> DataFrame:
-    year_rows = completed(m).filter((F.col("order_date") >= F.make_date(F.lit(year), F.lit(1), F.lit(1)))
-                                    & (F.col("order_date") < F.make_date(F.lit(year + 1), F.lit(1), F.lit(1))))
+    year_rows = between_days(completed(m), *[F.make_date(F.lit(y), F.lit(1), F.lit(1)) for y in (year, year + 1)])
     by = year_rows.groupBy(F.col("order_month").alias("month")).agg(F.sum("net_amount").alias("net"))
     return by.select("month", rnd("net", 0).alias("revenue"),
                      rnd(F.sum("net").over(Window.partitionBy(F.year("month")).orderBy("month")), 0).alias("ytd_revenue")).orderBy("month")

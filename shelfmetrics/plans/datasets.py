@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import (as_double, cover_days, day_of, growth_pct, month_of, net_of_tax, no_zero, pct, ratio, rnd, title_name)
 from ..operators import abc_classes, cut_lineage, previous, quantile_buckets
 from ..sources import Retail, shared
+from ..sources.layout import MONTH, order_key, since
 
 NO_CATEGORY, NO_BRAND, NO_SUPPLIER, NO_SEGMENT = "(no category)", "(brand missing)", "(supplier missing)", "(no segment)"
 
@@ -70,8 +71,8 @@ def _sold(m: Retail, items: DataFrame) -> DataFrame:
     if "gst_rate" not in items.columns:
         items = items.join(m.products.select("product_id", "gst_rate"), "product_id")
     orders = completed(m).select("order_id", "order_date", "order_day", "order_month", "order_year", "store_id", "customer_id",
-                                 "channel", *[c for c in ("employee_id",) if c in m.sales_orders.columns])
-    lines = items.join(orders, "order_id")
+                                 "channel", *[c for c in ("employee_id", MONTH) if c in m.sales_orders.columns])
+    lines = items.join(orders, order_key(items, orders))
     net, cogs = net_of_tax("line_total", "gst_rate"), F.col("quantity") * F.col("unit_cost")
     return lines.withColumns({
         "gross_amount": F.col("quantity") * F.col("unit_price"), "net_revenue": net, "cogs": cogs,
@@ -112,9 +113,10 @@ def stock_value(m: Retail) -> DataFrame:
 def demand(m: Retail, by: list[str], short: int = 90, long: int = 365) -> DataFrame:
     """Units sold in the trailing windows; only lines of the long window are read past the join."""
     asof = asof_day(m)
-    orders = completed(m).filter(within(F.col("order_day"), asof, long)).select("order_id", "store_id", "order_day")
+    key = order_key(m.sales_orders, m.sales_order_items)
+    orders = since(completed(m), F.date_add(asof, 1 - long), "order_day").select(*key, "store_id", "order_day")
     recent = within(F.col("order_day"), asof, short)
-    return (m.sales_order_items.select("order_id", "product_id", "quantity").join(orders, "order_id").groupBy(*by)
+    return (m.sales_order_items.select(*key, "product_id", "quantity").join(orders, key).groupBy(*by)
             .agg(F.sum(F.when(recent, F.col("quantity"))).alias("units_90d"), F.sum("quantity").alias("units_365d")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import as_double, band, cover_days, month_of, net_of_tax, part_of_total, pct, ratio, rnd, stacked, top
 from ..operators import percent_ranks, quantile_buckets
 from ..sources import Retail
+from ..sources.layout import since
 from .datasets import (HEALTH_STATUSES, asof_day, canonical_products, completed, demand, open_inbound, positions, sold_lines, stock_class,
                        stock_value, within)
 from .registry import query
@@ -56,7 +57,7 @@ def q61_replenishment(m: Retail, n: int = 25) -> DataFrame:
 def q62_turnover(m: Retail) -> DataFrame:
     cats = canonical_products(m).filter(F.col("canonical_id").isNotNull()).select("product_id", "canonical_id", "canonical_name")
     last = asof_day(m)
-    cost = (sold_lines(m).filter(within(F.col("order_day"), last, 365)).groupBy("product_id").agg(F.sum("cogs").alias("c"))
+    cost = (since(sold_lines(m), F.date_add(last, -364), "order_day").groupBy("product_id").agg(F.sum("cogs").alias("c"))
             .join(cats, "product_id").groupBy("canonical_id", "canonical_name").agg(F.sum("c").alias("cogs")))
     stock = (stock_value(m).groupBy("product_id").agg(F.sum("value").alias("v")).join(cats, "product_id")
              .groupBy("canonical_id").agg(F.sum("v").alias("stock")))
@@ -125,7 +126,7 @@ def tiered_products(m: Retail, keep: str = "all") -> DataFrame:
     ``keep`` names the products that are ranked: "all", "stocked" (with a stock row), "in_stock" (units > 0)."""
     last = asof_day(m)
     day = F.col("order_day")
-    sales = sold_lines(m).filter(within(day, last, 365)).groupBy("product_id").agg(
+    sales = since(sold_lines(m), F.date_add(last, -364), "order_day").groupBy("product_id").agg(
         F.sum("net_revenue").alias("r"), F.sum(F.when(within(day, last, 90), F.col("quantity"))).alias("u"))
     stock = stock_value(m).groupBy("product_id").agg(F.sum("quantity_on_hand").alias("units_in_stock"), F.sum("value").alias("value"))
     held = (m.products.select("product_id", "product_name").join(sales, "product_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import Retail
+from ..sources.layout import between_days
 from .advanced import far_above_average
 from .datasets import completed
 from .registry import query
@@ -23,7 +24,7 @@ def q501_customer_history(m: Retail, customer_id: int = 4104) -> DataFrame:
 
 @query("Revenue in one month")
 def q502_month_revenue(m: Retail, first: str = "2025-10-01", until: str = "2025-11-01") -> DataFrame:
-    return completed(m).filter((F.col("order_date") >= day(first)) & (F.col("order_date") < day(until))).agg(
+    return between_days(completed(m), day(first), day(until)).agg(
         F.count("*").alias("orders"), F.sum("net_amount").alias("net_revenue"))
 
 
@@ -74,7 +75,7 @@ def q509_email_lookup(m: Retail, email: str = "abhishek.patil187@example.com") -
 
 @query("One store, one quarter")
 def q510_store_quarter(m: Retail, store_id: int = 3, first: str = "2025-07-01", until: str = "2025-10-01") -> DataFrame:
-    return m.sales_orders.filter((F.col("store_id") == store_id) & (F.col("order_date") >= day(first)) & (F.col("order_date") < day(until))).agg(
+    return between_days(m.sales_orders, day(first), day(until)).filter(F.col("store_id") == store_id).agg(
         F.count("*").alias("orders"), F.sum("total_amount").alias("total_amount"))
 
 

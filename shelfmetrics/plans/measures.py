@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import ratio
 from ..sources import Retail
+from ..sources.layout import since
 from . import datasets as d
 
 # The attributes that reach each fact (fixed by the star schema).
@@ -154,7 +155,7 @@ def fact(m: Retail, name: str, used: set[str], summary: DataFrame | None = None)
     if name in ("lines", "lines_12m"):
         df = _reached(m, d.sold_lines(m), used)
         if name == "lines_12m":
-            return df.filter(F.col("order_day") > F.add_months(d.asof_day(m), -12))
+            return since(df, F.date_add(F.add_months(d.asof_day(m), -12), 1), "order_day")
         return _dated(df, "order_day")
     if name == "orders":
         return _dated(_reached(m, d.flag_returns(m, d.orders_with_calendar(m)), used), "order_day")
@@ -320,7 +321,7 @@ def long_form(df: DataFrame, rows: list[tuple[str, str]], keys: Sequence[str] =
 def all_data(m: Retail) -> DataFrame:
     """Every card's value without slicers; cost of goods of the last 365 days."""
     names = [n for n, _ in ALL_DATA if not n.endswith("365d")]
-    last = d.sold_lines(m).filter(d.within(F.col("order_day"), d.asof_day(m), 365)).agg(F.sum("cogs")).scalar()
+    last = since(d.sold_lines(m), F.date_add(d.asof_day(m), -364), "order_day").agg(F.sum("cogs")).scalar()
     table = measures(m, names).withColumn("cogs_last_365d", last).withColumn("turnover_365d", ratio("cogs_last_365d", "inventory_value"))
     return long_form(table.withColumn("days_365d", F.lit(365.0) / F.nullif("turnover_365d", F.lit(0.0))), ALL_DATA)
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import as_double, growth_pct, pct, ratio, rnd
 from ..sources import Retail
+from ..sources.layout import since
 from .datasets import NO_CATEGORY, asof_day, completed, first_day, months_open, sold_lines, stock_value
 from .products import yearly_revenue
 from .registry import query
@@ -39,7 +40,7 @@ def q72_store_scorecard(m: Retail) -> DataFrame:
 @query("Store rank per month, latest three months")
 def q73_monthly_store_rank(m: Retail, months: int = 3) -> DataFrame:
     newest = F.trunc(completed(m).agg(F.max("order_day")).scalar(), "month")
-    recent = completed(m).filter(F.col("order_day") >= F.add_months(newest, 1 - months))
+    recent = since(completed(m), F.add_months(newest, 1 - months), "order_day")
     by = recent.groupBy(F.col("order_month").alias("month"), "store_id").agg(F.sum("net_amount").alias("net"))
     ranked = by.withColumn("revenue_rank", F.rank().over(Window.partitionBy("month").orderBy(F.col("net").desc())))
     return ranked.join(store_names(m), "store_id").select("month", "store_name", rnd("net", 0).alias("revenue"), "revenue_rank").orderBy(

@@ -1,17 +1,19 @@
 """Physical layout of the tables: partitions for the filters the lookups use, order inside files for the rest.
 
-A store partition or an open-order status is skipped by its folder; a customer, product or day inside a file is skipped by
+A month of orders and lines, a store partition or an open-order status is skipped by its folder; a customer, product or day inside a file is skipped by
 the minimum and maximum of its row groups. What an index was for one machine is here the way a table is written.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MONTH = "stored_month"  # the folder of an order and its lines: yyyy-MM of the order's day
+
 # table: (derived columns, partition columns, clustering columns)
 LAYOUTS: dict[str, tuple[dict[str, str], list[str], list[str]]] = {
-    "sales_orders": ({"order_month": "date_format(order_date, 'yyyy-MM')"}, ["order_month"], ["customer_id", "order_date"]),
-    "sales_order_items": ({}, [], ["product_id", "order_id"]),
+    "sales_orders": ({MONTH: "date_format(order_date, 'yyyy-MM')"}, [MONTH], ["customer_id", "order_date"]),
+    "sales_order_items": ({}, [MONTH], ["product_id", "order_id"]),
     "payments": ({}, [], ["order_id"]),
     "returns": ({}, [], ["order_id"]),
     "return_items": ({}, [], ["order_item_id"]),
@@ -39,3 +41,26 @@ def write_table(df: DataFrame, path: str, table: str, files: int | None = None,
     parts = LAYOUTS.get(table, ({}, [], []))[1]
     writer = laid_out(df, table, files).write.mode(mode)
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
+
+
+def with_month_of_order(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines with the month of their order, so that they are stored beside it; lines without an order get none."""
+    return lines.join(orders.select("order_id", F.date_format("order_date", "yyyy-MM").alias(MONTH)), "order_id", "left")
+
+
+def order_key(*tables: DataFrame) -> list[str]:
+    """What joins lines to orders: the order, and the month where both are stored by it, so that a range of days skips folders on both sides."""
+    return ["order_id", *([MONTH] if all(MONTH in t.columns for t in tables) else [])]
+
+
+def since(orders: DataFrame, first: Column, day: str = "order_date") -> DataFrame:
+    """Orders from a day on (included; it may be a scalar subquery). A table stored by month is read from that month's folder on."""
+    rows = orders.filter(F.col(day) >= first)
+    return rows.filter(F.col(MONTH) >= F.date_format(first, "yyyy-MM")) if MONTH in orders.columns else rows
+
+
+def between_days(orders: DataFrame, first: Column, until: Column, day: str = "order_date") -> DataFrame:
+    """Orders of first <= day < until; of a table stored by month only the folders of these months are read."""
+    rows = since(orders, first, day).filter(F.col(day) < until)
+    last = F.date_format(until.cast("timestamp_ntz") - F.expr("INTERVAL 1 MICROSECOND"), "yyyy-MM")
+    return rows.filter(F.col(MONTH) <= last) if MONTH in orders.columns else rows

@@ -1,4 +1,6 @@
 """Load, build, export and layout jobs, end to end on the micro tables."""
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,24 @@ def test_layout_is_used_by_lookups(spark, loaded):
     assert "EqualTo(email_norm,kiran@x.com)" in plan("q509_email_lookup", email="Kiran@x.com")
 
 
+@pytest.mark.parametrize("name,options,tables", [
+    ("q502_month_revenue", {"first": "2024-02-01", "until": "2024-03-01"}, ["sales_orders"]), ("q510_store_quarter", {"first": "2024-01-01", "until": "2024-04-01"}, ["sales_orders"]),
+    ("q205_year_to_date", {"year": 2024}, ["sales_orders"]), ("q105_days_without_sales", {"first": "2024-02-01", "last": "2024-02-28"}, ["sales_orders"]),
+    ("q62_turnover", {}, ["sales_orders", "sales_order_items"]), ("q63_cover_bands", {}, ["sales_orders", "sales_order_items"])])
+def test_days_skip_months(spark, micro, loaded, name, options, tables):
+    """A range of days, or of days before the last order, reads the folders of its months only, of orders and of lines; the result is that of the plain tables."""
+    from shelfmetrics.plans import QUERIES
+    df = QUERIES[name][0](current(spark, f"{loaded}/lake"), **options)
+    assert sorted(map(str, df.collect())) == sorted(map(str, QUERIES[name][0](micro, **options).collect()))
+    scans = re.findall(r"FileScan parquet [^\n]*PartitionFilters: \[([^\]]*)\][^\n]*", df._jdf.queryExecution().sparkPlan().toString())
+    assert sum("stored_month" in f and (">=" in f) for f in scans) >= len(tables), scans
+
+
+def test_lines_lie_beside_their_orders(spark, micro, loaded):
+    m = current(spark, f"{loaded}/lake")
+    assert m.sales_order_items.join(m.sales_orders, ["order_id", "stored_month"]).count() == micro.sales_order_items.count() == m.sales_order_items.count()
+
+
 def test_build_and_export(spark, micro, tmp_path):
     build(micro, f"{tmp_path}/datasets", ["vw_customer_summary", "vw_asof"])
     assert spark.read.parquet(f"{tmp_path}/datasets/vw_customer_summary").count() == 4
