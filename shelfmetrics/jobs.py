@@ -1,13 +1,17 @@
 """Jobs: load the CSV extract, build the datasets, publish the star schema. Each output is one DataFrame write."""
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
 
 from .plans import dataset
 from .plans.datasets import DATASETS, asof_day, first_day
-from .sources import Retail, build_calendar
+from .sources import Retail, build_calendar, read_records
 from .sources.layout import with_month_of_order, write_table
 from .sources.schemas import TABLES
 from .sources.validate import validate, violation_counts
@@ -20,31 +24,75 @@ class RejectedLoad(ValueError):
 
 
 def load(spark: SparkSession, source: str, target: str, version: str, check: bool = True,
-         calendar: tuple[str, str] = ("2021-01-01", "2026-12-31")) -> str:
+         calendar: tuple[str, str] = ("2021-01-01", "2026-12-31"), keep_malformed: bool = False) -> str:
     """CSV extract -> validated Parquet under ``target/version``; parents before children. Files are parsed once, into ``target/_staged``;
     rules and layout read that. A version is written once: an existing one is refused. It is announced by a new file in
-    ``target/_published`` after every table is written, so readers see the old load or the new one."""
-    extract, root, staged = Retail.from_csv(spark, source), f"{target}/{version}", f"{target}/_staged/{version}"
+    ``target/_published`` after every table is written, so readers see the old load or the new one; a load that began before another one was
+    announced is refused.
+
+    Records that do not parse go, with their file and text, to ``target/_rejected/version``. They end the load after all tables are read, or with
+    ``keep_malformed`` the others are loaded without them; ``malformed`` reads them."""
+    place = last_published(spark, target) + 1
+    root, staged = f"{target}/{version}", f"{target}/_staged/{version}"
     for table in LOAD_ORDER:
-        getattr(extract, table).write.mode("overwrite").parquet(f"{staged}/{table}")
-    m = Retail.from_parquet(spark, staged)
+        read_records(spark, f"{source}/{table}.csv", table).write.mode("overwrite").parquet(f"{staged}/{table}")
+    records = {t: spark.read.parquet(f"{staged}/{t}") for t in LOAD_ORDER}
+    bad = [records[t].filter("record IS NOT NULL").select(F.lit(t).alias("table_name"), "file", "record") for t in LOAD_ORDER]
+    reduce(DataFrame.unionByName, bad).write.mode("overwrite").parquet(f"{target}/_rejected/{version}")
+    # One row per table and broken rule; both lists are fixed.
+    broken = malformed(spark, target, version).groupBy("table_name").agg(F.lit("does not parse").alias("rule"), F.count("*").alias("rows"))
+    if keep_malformed:
+        broken = broken.limit(0)
+    m = Retail(spark, {t: df.filter("record IS NULL").drop("record", "file") for t, df in records.items()})
     if check:
-        # One row per broken rule; the rules are a fixed list.
-        broken = violation_counts(m, LOAD_ORDER).orderBy(F.col("rows").desc()).collect()
-        if broken:
-            raise RejectedLoad("; ".join(f"{r.table_name}: {r['rule']} ({r['rows']} rows)" for r in broken))
+        broken = broken.unionByName(violation_counts(m, LOAD_ORDER))
+    broken = broken.orderBy(F.col("rows").desc()).collect()
+    if broken:
+        raise RejectedLoad("; ".join(f"{r.table_name}: {r['rule']} ({r['rows']} rows)" for r in broken))
     for table in LOAD_ORDER:
         rows = getattr(m, table)
         write_table(with_month_of_order(rows, m.sales_orders) if table == "sales_order_items" else rows, f"{root}/{table}", table)
     build_calendar(spark, *calendar).coalesce(1).write.mode("error").parquet(f"{root}/dim_date")
-    at = F.current_timestamp().cast("double")
-    spark.range(1).select(F.lit(version).alias("version"), at.alias("at")).coalesce(1).write.mode("append").json(f"{target}/_published")
+    publish(spark, target, version, place)
     return root
 
 
+def malformed(spark: SparkSession, target: str, version: str) -> DataFrame:
+    """table_name, file, record: what did not parse in a load."""
+    return spark.read.schema("table_name string, file string, record string").parquet(f"{target}/_rejected/{version}")
+
+
+def _log(spark: SparkSession, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_published")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def last_published(spark: SparkSession, target: str) -> int:
+    """The number of the last announced load, 0 before the first."""
+    path, fs = _log(spark, target)
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()), default=0)
+
+
+def publish(spark: SparkSession, target: str, version: str, place: int) -> None:
+    """Announce a version at a place of the numbered log. The file is created only if it is absent, so of two writers that began at the same place one is
+    refused, whatever their clocks say."""
+    path, fs = _log(spark, target)
+    entry = spark._jvm.org.apache.hadoop.fs.Path(path, f"{place:08d}.json")
+    try:
+        out = fs.create(entry, False)
+    except Py4JJavaError as e:
+        if not fs.exists(entry):
+            raise
+        raise RejectedLoad(f"another load was announced since {version} began") from e
+    out.write(bytearray(json.dumps({"version": version}).encode()))
+    out.close()
+
+
 def current(spark: SparkSession, target: str) -> Retail:
-    """The model of the announced load."""
-    version = spark.read.schema("version string, at double").json(f"{target}/_published").agg(F.max_by("version", "at")).first()[0]
+    """The model of the announced load: the greatest number in the log whose file has been written."""
+    log = spark.read.schema("version string").json(f"{target}/_published").filter("version IS NOT NULL")
+    version = log.agg(F.max_by("version", F.col("_metadata.file_name"))).first()[0]
     return Retail.from_parquet(spark, f"{target}/{version}")
 
 

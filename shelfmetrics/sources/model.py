@@ -5,6 +5,7 @@ import functools
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .schemas import TABLES, schema_of
 
@@ -76,3 +77,12 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """CSV with a header; an empty field is NULL; no schema inference."""
     return (spark.read.schema(schema_of(table)).option("header", True).option("nullValue", "")
             .option("mode", "FAILFAST").csv(path))
+
+
+def read_records(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The same, but a record that does not parse (a value of another type, too few or too many fields) comes with its text in ``record`` instead of
+    ending the job; ``file`` is where a record was found."""
+    fields = schema_of(table).add("record", "string")
+    rows = (spark.read.schema(fields).option("header", True).option("nullValue", "").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "record").csv(path))
+    return rows.select("*", F.col("_metadata.file_path").alias("file"))

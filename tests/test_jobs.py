@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from micro import ROWS
-from shelfmetrics.jobs import EXPORTS, LOAD_ORDER, RejectedLoad, build, current, export_all, load, split_rejected
+from shelfmetrics.jobs import EXPORTS, LOAD_ORDER, RejectedLoad, build, current, export_all, last_published, load, malformed, publish, split_rejected
 from shelfmetrics.plans import dataset
 from shelfmetrics.sources import schema_of
 
@@ -73,6 +73,34 @@ def test_days_skip_months(spark, micro, loaded, name, options, tables):
     assert sum("stored_month" in f and (">=" in f) for f in scans) >= len(tables), scans
 
 
+def test_records_that_do_not_parse_are_kept_apart(spark, micro, loaded, tmp_path):
+    write_csvs(micro, f"{tmp_path}/csv")
+    folder = f"{tmp_path}/csv/payments.csv"
+    first = spark.read.text(folder).filter("value LIKE '1,%'").first().value.split(",")
+    with open(f"{folder}/more.csv", "w") as f:
+        header = ",".join(micro.payments.columns)
+        f.write("\n".join([header, ",".join(["x", *first[1:]]), ",".join(first[:2]), ",".join(["77", *first[1:]])]) + "\n")
+    with pytest.raises(RejectedLoad, match="payments: does not parse \\(2 rows\\)"):
+        load(spark, f"{tmp_path}/csv", f"{tmp_path}/lake", "v1", check=False)
+    assert last_published(spark, f"{tmp_path}/lake") == 0
+    load(spark, f"{tmp_path}/csv", f"{tmp_path}/lake", "v2", check=False, calendar=("2023-01-01", "2024-12-31"), keep_malformed=True)
+    bad = malformed(spark, f"{tmp_path}/lake", "v2").collect()
+    assert {(r.table_name, r.file.rsplit("/", 1)[1], r.record) for r in bad} == {("payments", "more.csv", ",".join(["x", *first[1:]])), ("payments", "more.csv", ",".join(first[:2]))}
+    assert current(spark, f"{tmp_path}/lake").payments.count() + len(bad) == micro.payments.count() + 3
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    place = last_published(spark, str(tmp_path)) + 1
+    publish(spark, str(tmp_path), "mine", place)
+    with pytest.raises(RejectedLoad, match="since theirs began"):
+        publish(spark, str(tmp_path), "theirs", place)
+    publish(spark, str(tmp_path), "next", last_published(spark, str(tmp_path)) + 1)
+    log = spark.read.json(f"{tmp_path}/_published").select("version", "_metadata.file_name").collect()
+    assert sorted(map(tuple, log)) == [("mine", "00000001.json"), ("next", "00000002.json")]
+    (tmp_path / "_published" / "00000003.json").touch()  # a writer that has not ended
+    assert spark.read.schema("version string").json(f"{tmp_path}/_published").count() == 2
+
+
 def test_lines_lie_beside_their_orders(spark, micro, loaded):
     m = current(spark, f"{loaded}/lake")
     assert m.sales_order_items.join(m.sales_orders, ["order_id", "stored_month"]).count() == micro.sales_order_items.count() == m.sales_order_items.count()
