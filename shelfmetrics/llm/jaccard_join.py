@@ -373,16 +373,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def drop_near(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, of which links join no text of a smaller hash: one text of each group of near copies stays.
+def drop_near(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, without those whose text links join to the text of a smaller id: one text of each group stays.
 
-    Texts are the nodes, by their 64-bit hash, so ids may be null, repeated or of any type, and a row stays or goes by its own text; rows of equal text
-    stay or go together (`drop_copies` leaves one of them). Null and empty texts and those without words have no shingles and stay, texts of any
-    length are compared whole, an empty table gives no rows, and the names of other columns do not matter.
+    Texts are the nodes, by their 64-bit hash, so ids may be null (after all others), repeated or of any type with an order, and a row stays or goes by
+    its own text; rows of equal text stay or go together (`drop_copies` leaves one of them). Null and empty texts and those without words have no
+    shingles and stay, texts of any length are compared whole, an empty table gives no rows, and the names of other columns do not matter.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    spread = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
     ship(docs.sparkSession)
-    gone = stored(similar_components(spread, width, num, den).filter("node <> component").select(F.col("node").alias("doc_id")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("doc_id"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    node = F.xxhash64(text)
+    found = similar_components(docs.select(node.alias("doc_id"), text.alias("text")), width, num, den)
+    ids = docs.select(node.alias("node"), F.col(f"`{id_col}`").alias("id")).join(_few(found), "node")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node"))["node"].alias("kept"))
+    gone = stored(found.join(first, "component").filter("node <> kept").select(F.col("node").alias("doc_id")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("doc_id"))
     return rows.join(_few(gone), "doc_id", "left_anti").select("row.*")
