@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from shelfmetrics.plans.validation import report, run_checks
 from shelfmetrics.sources import Retail, event_orders, testbed
 from shelfmetrics.sources.validate import violation_counts
 
-try:  # the subpackage may be absent, and then its queries are too
+LLM_QUERIES, LLM_ORACLE = {}, {}
+# The subpackage may be absent, and then its queries are too; a broken import inside it is an error.
+if find_spec("corpus_pipeline") and getattr(find_spec("shelfmetrics.llm"), "origin", None):
     from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
     from corpus_pipeline import run as pipeline
     from shelfmetrics.llm.queries import QUERIES as LLM_QUERIES
@@ -25,8 +28,6 @@ try:  # the subpackage may be absent, and then its queries are too
 
     LLM_QUERIES = LLM_QUERIES | {"pipeline": pipeline}
     LLM_ORACLE = LLM_ORACLE | ({"pipeline": PIPELINE_SQL} if PIPELINE_SQL else {})
-except ImportError:
-    LLM_QUERIES, LLM_ORACLE = {}, {}
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
