@@ -12,7 +12,7 @@ from pyspark.sql.observation import Observation
 from .plans import dataset
 from .plans.datasets import DATASETS, asof_day, first_day
 from .sources import Retail, build_calendar, read_records
-from .sources.layout import with_month_of_order, write_table
+from .sources.layout import BUCKETED, fits_buckets, with_month_of_order, write_buckets, write_table
 from .sources.schemas import TABLES
 from .sources.validate import validate, violation_counts
 
@@ -24,14 +24,18 @@ class RejectedLoad(ValueError):
 
 
 def load(spark: SparkSession, source: str, target: str, version: str, check: bool = True,
-         calendar: tuple[str, str] = ("2021-01-01", "2026-12-31"), keep_malformed: bool = False) -> str:
+         calendar: tuple[str, str] = ("2021-01-01", "2026-12-31"), keep_malformed: bool = False,
+         buckets: int | None = None) -> str:
     """CSV extract -> validated Parquet under ``target/version``; parents before children. Files are parsed once, into ``target/_staged``;
     rules and layout read that. A version is written once: an existing one is refused. It is announced by a new file in
     ``target/_published`` after every table is written, so readers see the old load or the new one; a load that began before another one was
     announced is refused.
 
     Records that do not parse go, with their file and text, to ``target/_rejected/version``. They end the load after all tables are read, or with
-    ``keep_malformed`` the others are loaded without them; ``malformed`` reads them."""
+    ``keep_malformed`` the others are loaded without them; ``malformed`` reads them.
+
+    With ``buckets`` orders and lines are also cut into so many buckets of the order, and joined without an exchange. If one order has more lines
+    than an even bucket would, both are stored by month alone."""
     place = last_published(spark, target) + 1
     root, staged = f"{target}/{version}", f"{target}/_staged/{version}"
     for table in LOAD_ORDER:
@@ -49,11 +53,17 @@ def load(spark: SparkSession, source: str, target: str, version: str, check: boo
     broken = broken.orderBy(F.col("rows").desc()).collect()
     if broken:
         raise RejectedLoad("; ".join(f"{r.table_name}: {r['rule']} ({r['rows']} rows)" for r in broken))
+    if buckets and not all(fits_buckets(getattr(m, t), t, buckets) for t in BUCKETED):
+        buckets = None
     for table in LOAD_ORDER:
         rows = getattr(m, table)
-        write_table(with_month_of_order(rows, m.sales_orders) if table == "sales_order_items" else rows, f"{root}/{table}", table)
+        rows = with_month_of_order(rows, m.sales_orders) if table == "sales_order_items" else rows
+        if buckets and table in BUCKETED:
+            write_buckets(rows, f"{root}/{table}", table, buckets)
+        else:
+            write_table(rows, f"{root}/{table}", table)
     build_calendar(spark, *calendar).coalesce(1).write.mode("error").parquet(f"{root}/dim_date")
-    publish(spark, target, version, place)
+    publish(spark, target, version, place, buckets)
     return root
 
 
@@ -74,7 +84,7 @@ def last_published(spark: SparkSession, target: str) -> int:
     return max((int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()), default=0)
 
 
-def publish(spark: SparkSession, target: str, version: str, place: int) -> None:
+def publish(spark: SparkSession, target: str, version: str, place: int, buckets: int | None = None) -> None:
     """Announce a version at a place of the numbered log. The file is created only if it is absent, so of two writers that began at the same place one is
     refused, whatever their clocks say."""
     path, fs = _log(spark, target)
@@ -85,15 +95,15 @@ def publish(spark: SparkSession, target: str, version: str, place: int) -> None:
         if not fs.exists(entry):
             raise
         raise RejectedLoad(f"another load was announced since {version} began") from e
-    out.write(bytearray(json.dumps({"version": version}).encode()))
+    out.write(bytearray(json.dumps({"version": version, **({"buckets": buckets} if buckets else {})}).encode()))
     out.close()
 
 
 def current(spark: SparkSession, target: str) -> Retail:
     """The model of the announced load: the greatest number in the log whose file has been written."""
-    log = spark.read.schema("version string").json(f"{target}/_published").filter("version IS NOT NULL")
-    version = log.agg(F.max_by("version", F.col("_metadata.file_name"))).first()[0]
-    return Retail.from_parquet(spark, f"{target}/{version}")
+    log = spark.read.schema("version string, buckets int").json(f"{target}/_published").filter("version IS NOT NULL")
+    last = log.agg(F.max_by(F.struct("version", "buckets"), F.col("_metadata.file_name"))).first()[0]
+    return Retail.from_parquet(spark, f"{target}/{last.version}", last.buckets)
 
 
 def split_rejected(m: Retail, table: str, accepted: str, rejected: str) -> None:

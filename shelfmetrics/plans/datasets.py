@@ -26,13 +26,20 @@ ACTIVITY_LABELS = ["Active (last 90 days)", "Inactive (91-365 days)", "Lost (ove
 
 # ---- building blocks -------------------------------------------------------------------------------------------------
 
+@shared
+def order_days(m: Retail) -> DataFrame:
+    """First and last order day over all orders: one row."""
+    return m.sales_orders.agg(F.min("order_date").cast("date").alias("first_order_date"),
+                              F.max("order_date").cast("date").alias("asof_date"))
+
+
 def asof_day(m: Retail) -> Column:
     """Last order day over all orders, as a scalar subquery."""
-    return m.sales_orders.agg(F.max("order_date").cast("date")).scalar()
+    return order_days(m).select("asof_date").scalar()
 
 
 def first_day(m: Retail) -> Column:
-    return m.sales_orders.agg(F.min("order_date").cast("date")).scalar()
+    return order_days(m).select("first_order_date").scalar()
 
 
 def within(day: Column, asof: Column, days: int) -> Column:
@@ -182,8 +189,7 @@ def segment_names(m: Retail) -> DataFrame:
 # ---- the datasets ----------------------------------------------------------------------------------------------------
 
 def asof(m: Retail) -> DataFrame:
-    return m.sales_orders.agg(F.min("order_date").cast("date").alias("first_order_date"),
-                              F.max("order_date").cast("date").alias("asof_date"))
+    return order_days(m)
 
 
 @shared
@@ -220,21 +226,32 @@ def orders(m: Retail) -> DataFrame:
         F.coalesce("segment_name", F.lit(NO_SEGMENT)).alias("customer_segment"))
 
 
-def monthly_sales(m: Retail) -> DataFrame:
-    """Dense months. Orders of every status are read once; distinct buyers are counted from (month, customer)."""
-    first, last = first_day(m), asof_day(m)
-    months = (m.dim_date.filter(F.col("date_key").between(F.trunc(first, "month"), last))
-              .select("year_month", F.trunc("date_key", "month").alias("month")).distinct())
+@shared
+def monthly_orders(m: Retail) -> DataFrame:
+    """Order measures by month; active customers are counted from (month, customer)."""
     done = F.col("order_status") == "COMPLETED"
     per_customer = orders_with_calendar(m).groupBy(F.col("order_month").alias("month"), "customer_id").agg(
         F.count_if(done).alias("n"), F.count_if(F.col("order_status") == "CANCELLED").alias("c"),
         F.sum(F.when(done, F.col("total_amount"))).alias("sales"), F.count_if(done & (F.col("channel") == "ONLINE")).alias("web"))
-    by_month = per_customer.groupBy("month").agg(
+    return per_customer.groupBy("month").agg(
         F.sum("n").alias("orders"), F.sum("c").alias("cancelled_orders"), F.count_if(F.col("n") > 0).alias("active_customers"),
         F.sum("sales").alias("sales"), F.sum("web").alias("online_orders"))
-    lines = sold_lines(m).groupBy(F.col("order_month").alias("month")).agg(
+
+
+@shared
+def monthly_lines(m: Retail) -> DataFrame:
+    """Line measures by month of the order."""
+    return sold_lines(m).groupBy(F.col("order_month").alias("month")).agg(
         F.sum("quantity").alias("units_sold"), F.sum("net_revenue").alias("net"), F.sum("cogs").alias("cost"),
         F.sum("gross_profit").alias("profit"), F.sum("discount_amount").alias("disc"))
+
+
+def monthly_sales(m: Retail) -> DataFrame:
+    """Dense months. Orders of every status are read once; distinct buyers are counted from (month, customer)."""
+    first, last = first_day(m), asof_day(m)
+    months = (m.dim_date.filter(F.col("date_key").between(F.trunc(first, "month"), last))
+              .select("year_month", F.trunc("date_key", "month").alias("month")).distinct())
+    by_month, lines = monthly_orders(m), monthly_lines(m)
     refunds = (returned_lines(m).join(m.keyed("returns").select("return_id", "return_date"), "return_id")
                .groupBy(month_of("return_date").alias("month")).agg(F.sum("refund_net").alias("refunded")))
 
@@ -316,23 +333,30 @@ def product_performance(m: Retail) -> DataFrame:
 
 
 @shared
-def buyers(m: Retail) -> DataFrame:
-    """One row per customer with a completed order."""
-    last = asof_day(m)
-    per = completed(m).groupBy("customer_id").agg(
+def buyer_totals(m: Retail) -> DataFrame:
+    return completed(m).groupBy("customer_id").agg(
         F.count("*").alias("orders"), F.sum("net_amount").alias("net_revenue"), F.sum("total_amount").alias("gross_sales"),
         F.min("order_day").alias("first_order_date"), F.max("order_day").alias("last_order_date"))
-    days = F.datediff(last, F.col("last_order_date"))
-    return per.withColumn("recency_days", days).withColumns({
+
+
+@shared
+def customer_profit(m: Retail) -> DataFrame:
+    return sold_lines(m).groupBy("customer_id").agg(F.sum("gross_profit").alias("gross_profit"))
+
+
+@shared
+def buyers(m: Retail) -> DataFrame:
+    """One row per customer with a completed order."""
+    days = F.datediff(asof_day(m), F.col("last_order_date"))
+    return buyer_totals(m).withColumn("recency_days", days).withColumns({
         "avg_order_value": ratio("gross_sales", "orders"),
         "r_score": recency_score(F.col("recency_days")), "f_score": frequency_score(F.col("orders"))})
 
 
 def customer_summary(m: Retail) -> DataFrame:
     scored = quantile_buckets(buyers(m), 5, [F.col("net_revenue").asc(), F.col("customer_id").asc()], "m_score")
-    profit = sold_lines(m).groupBy("customer_id").agg(F.sum("gross_profit").alias("gross_profit"))
     base = (m.customers.join(segment_names(m), "segment_id", "left").join(scored, "customer_id", "left")
-            .join(profit, "customer_id", "left"))
+            .join(customer_profit(m), "customer_id", "left"))
     days = F.col("recency_days")
     active, idle, lost, never = ACTIVITY_LABELS
     return base.select(

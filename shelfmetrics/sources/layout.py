@@ -5,7 +5,9 @@ the minimum and maximum of its row groups. What an index was for one machine is
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONTH = "stored_month"  # the folder of an order and its lines: yyyy-MM of the order's day
@@ -25,6 +27,9 @@ LAYOUTS: dict[str, tuple[dict[str, str], list[str], list[str]]] = {
 }
 
 
+BUCKETED = {"sales_orders": "order_id", "sales_order_items": "order_id"}  # tables that may also be cut into buckets, and the key
+
+
 def laid_out(df: DataFrame, table: str, files: int | None = None) -> DataFrame:
     """The table with its derived columns, range-partitioned over its keys. Partition columns come first in the order, so
     a month or store is written by a few neighbouring tasks, and a large one by as many as its share of the rows needs."""
@@ -43,6 +48,44 @@ def write_table(df: DataFrame, path: str, table: str, files: int | None = None,
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
 
 
+def fits_buckets(df: DataFrame, table: str, buckets: int) -> bool:
+    """Whether no key has more rows than an even bucket: a bucket is read by one task, so a larger one would undo the even spread."""
+    sizes = df.groupBy(BUCKETED[table]).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    return sizes.n is None or sizes.most * buckets <= sizes.n
+
+
+def _table_name(path: str, table: str) -> str:
+    """A name in the session's catalog that belongs to this path."""
+    return f"{table}_{hashlib.md5(path.encode()).hexdigest()[:12]}"
+
+
+def write_buckets(df: DataFrame, path: str, table: str, buckets: int) -> None:
+    """The table by month and, in every month, by bucket of its key. Rows go to the task of their bucket, so a month has one file a bucket; joins
+    on the key of two tables written so need no exchange, and a range of days still skips folders. The session's catalog gets an external table."""
+    derived, parts, _ = LAYOUTS[table]
+    key = BUCKETED[table]
+    rows = df.withColumns({name: F.expr(e) for name, e in derived.items()}) if derived else df
+    (rows.repartition(buckets, key).sortWithinPartitions(*parts, key).write.partitionBy(*parts).bucketBy(buckets, key).sortBy(key)
+     .option("path", path).format("parquet").saveAsTable(_table_name(path, table)))
+
+
+def open_buckets(spark: SparkSession, path: str, table: str, buckets: int) -> DataFrame:
+    """The table at a path, with its buckets, also in a session that has not written it. Lines meet orders on the order and its month, of which the
+    buckets hold the first; the session is told that such a part of a join's keys is enough (``spark.sql.requireAllClusterKeysForCoPartition``)."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    name = _table_name(path, table)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({', '.join(LAYOUTS[table][1])}) "
+                  f"CLUSTERED BY ({BUCKETED[table]}) SORTED BY ({BUCKETED[table]}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+        try:
+            spark.catalog.recoverPartitions(name)  # the catalog reads no folder that it does not list
+        except Exception:
+            spark.sql(f"DROP TABLE {name}")
+            raise
+    return spark.table(name)
+
+
 def with_month_of_order(lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Lines with the month of their order, so that they are stored beside it; lines without an order get none."""
     return lines.join(orders.select("order_id", F.date_format("order_date", "yyyy-MM").alias(MONTH)), "order_id", "left")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .layout import BUCKETED, open_buckets
 from .schemas import TABLES, schema_of
 
 
@@ -59,14 +60,24 @@ class Retail:
         kept = {t: f for t, f in self._tables.items() if t.removesuffix(KEYED) not in frames}
         return Retail(self.spark, {**kept, **frames})
 
+    def with_plans(self, **frames: DataFrame) -> "Retail":
+        """The same tables with stored results in place of shared plans, by the plan's name."""
+        m = Retail(self.spark, self._tables)
+        m._plans.update(frames)
+        return m
+
     def register_views(self) -> None:
         """Expose every table as a temp view, for ad-hoc SQL."""
         for name in self.names():
             getattr(self, name).createOrReplaceTempView(name)
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str) -> "Retail":
-        return cls(spark, {t: (lambda t=t: spark.read.parquet(f"{root}/{t}")) for t in TABLES})
+    def from_parquet(cls, spark: SparkSession, root: str, buckets: int | None = None) -> "Retail":
+        """Tables in folders of their names; ``buckets`` is the number that orders and lines were written with, if they were."""
+        def opened(t: str) -> DataFrame:
+            return open_buckets(spark, f"{root}/{t}", t, buckets) if buckets and t in BUCKETED else spark.read.parquet(f"{root}/{t}")
+
+        return cls(spark, {t: functools.partial(opened, t) for t in TABLES})
 
     @classmethod
     def from_csv(cls, spark: SparkSession, root: str) -> "Retail":
