@@ -15,14 +15,19 @@ from pyspark.sql.window import Window
 from .lineage import cut_lineage
 
 
+def place(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """df in slices of ``order`` within ``by``, numbered in ``_slice``. The placement is checkpointed, because every reader must see the same slices even
+    after a task is retried. AQE merges neighbouring slices that are small, which keeps their order."""
+    return cut_lineage(df.repartitionByRange(*[F.col(b).asc_nulls_first() for b in by], *order).withColumn("_slice", F.spark_partition_id()))
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """Add ``row_no``/``row_count`` and, for each name in ``sums``, ``run_<name>``/``all_<name>``: the inclusive running
     total and the grand total in ``order`` within ``by``. The order must be total (end with a key); a hot value is then
-    split over slices like any other. The placement is checkpointed, because both sides of the join below must see the
-    same slices even after a task is retried. AQE merges neighbouring slices that are small, which keeps their order."""
+    split over slices like any other. A frame that ``place`` has cut in this order is used as it is, so that one placement
+    can serve further computations."""
     by, sums = list(by), list(sums)
-    placed = cut_lineage(df.repartitionByRange(*[F.col(b).asc_nulls_first() for b in by], *order)
-                         .withColumn("_slice", F.spark_partition_id()))
+    placed = df if "_slice" in df.columns else place(df, order, by)
 
     per_slice = placed.groupBy("_slice", *by).agg(
         F.count("*").alias("_n"), *[F.sum(s).alias(f"_s_{s}") for s in sums])
@@ -47,7 +52,7 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str] =
         return F.when(before.isNull(), F.col(f"_local_{s}")).otherwise(F.coalesce(F.col(f"_local_{s}") + before, before))
 
     return joined.select(
-        *df.columns, (F.col("_before") + F.col("_local")).alias("row_no"), "row_count",
+        *[c for c in df.columns if c != "_slice"], (F.col("_before") + F.col("_local")).alias("row_no"), "row_count",
         *[c for s in sums for c in (total(s).alias(f"run_{s}"), F.col(f"all_{s}"))])
 
 

@@ -6,24 +6,44 @@ from pyspark.sql import functions as F
 
 from ..functions import net_of_tax, one_row
 from ..operators import running_totals
+from ..operators.ordering import place
 from ..sources import Retail
-from .quality import rows_in, stock_against_ledger
+from .quality import rows_in
+
+
+POSITION = ["store_id", "product_id"]
+
+
+def ledger_order() -> list[Column]:
+    return [F.col("transaction_date").asc(), F.col("transaction_id").asc()]
 
 
 def far(a: Column, b: Column, limit: float) -> Column:
     return F.abs((a - b).cast("double")) > limit
 
 
-def sum_by(df: DataFrame, key: str, **sums: Column) -> DataFrame:
-    return df.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+def ledger_slices(m: Retail) -> DataFrame:
+    """The ledger, built once: every rule that reads movements reads these slices."""
+    moves = m.keyed("inventory_transactions").select("store_id", "product_id", "transaction_date", "transaction_id", "transaction_type", "reference_id",
+                                                     "quantity_change")
+    return place(moves, ledger_order(), POSITION)
+
+
+def running_balances(slices: DataFrame) -> DataFrame:
+    """Every movement with the balance of its position after it. The running sum is range-partitioned, so a position with
+    very many movements is still spread over tasks."""
+    return running_totals(slices, ledger_order(), ["quantity_change"], POSITION)
 
 
 def negative_balances(m: Retail) -> DataFrame:
-    """Ledger rows after which the running balance of the position is below zero. The running sum is range-partitioned,
-    so a position with very many movements is still spread over tasks."""
-    moves = m.keyed("inventory_transactions").select("store_id", "product_id", "transaction_date", "transaction_id", "quantity_change")
-    run = running_totals(moves, [F.col("transaction_date").asc(), F.col("transaction_id").asc()], ["quantity_change"], ["store_id", "product_id"])
-    return run.filter(F.col("run_quantity_change") < 0)
+    """Ledger rows after which the running balance of the position is below zero."""
+    return running_balances(ledger_slices(m)).filter(F.col("run_quantity_change") < 0)
+
+
+def moved_by_order(slices: DataFrame) -> DataFrame:
+    """Sale movements and the units they took out, by order."""
+    return slices.filter(F.col("transaction_type") == "SALE").groupBy(F.col("reference_id").alias("order_id")).agg(
+        F.count("*").alias("moved"), F.sum(-F.col("quantity_change")).alias("out"))
 
 
 def _counted(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -37,16 +57,22 @@ def _known(df: DataFrame, keys: str | list[str], flag: str) -> DataFrame:
     return df.select(*names).distinct().withColumn(flag, F.lit(True))
 
 
-def order_rules(m: Retail) -> DataFrame:
-    """Rules of the order header: lines and payments are summed by order first, then everything meets the header once."""
+def order_rules(m: Retail, moved: DataFrame) -> DataFrame:
+    """Rules that compare an order with its lines, payments and sale movements (`moved`): those are summed by order first, then everything meets
+    the header once. Movements of unknown orders are those in the ledger but not at a header."""
     c = F.col
     sums = m.sales_order_items.groupBy("order_id").agg(F.sum(c("quantity") * c("unit_price")).alias("gross"), F.sum("discount_amount").alias("disc"),
-                                                       F.sum("line_total").alias("net"), F.lit(True).alias("has_line"))
-    paid = sum_by(m.payments.filter(c("payment_status") == "SUCCESS"), "order_id", paid=c("amount"))
+                                                       F.sum("line_total").alias("net"), F.sum("quantity").alias("units"), F.lit(True).alias("has_line"))
+    refunded = c("payment_status") == "REFUNDED"
+    paid = m.payments.groupBy("order_id").agg(
+        F.sum(F.when(c("payment_status") == "SUCCESS", c("amount"))).alias("paid"), F.count_if(refunded).alias("refunds"), F.count_if(~refunded).alias("others"),
+        F.count_if(c("payment_method") == "CASH").alias("cash"))
+    cancelled, done = c("order_status") == "CANCELLED", c("order_status") == "COMPLETED"
     people = m.customers.select("customer_id", "registration_date").withColumn("has_customer", F.lit(True))
     staff = m.employees.select("employee_id", c("store_id").alias("home"))
     days = m.dim_date.select(c("date_key").alias("day")).withColumn("has_day", F.lit(True))
-    head = (m.sales_orders.withColumn("day", c("order_date").cast("date")).join(sums, "order_id", "left").join(paid, "order_id", "left").join(people, "customer_id", "left")
+    head = (m.sales_orders.withColumn("day", c("order_date").cast("date")).join(sums, "order_id", "left").join(paid, "order_id", "left")
+            .join(moved.select("order_id", "moved"), "order_id", "left").join(people, "customer_id", "left")
             .join(m.stores.select("store_id", "opened_date", "store_type"), "store_id", "left").join(staff, "employee_id", "left").join(days, "day", "left"))
     return head.agg(*[F.count_if(broken).alias(rule) for rule, broken in {
         "order header = sum of lines": far(c("subtotal"), c("gross"), 0.05) | far(c("discount_amount"), c("disc"), 0.05) | far(c("total_amount"), c("net"), 0.05)
@@ -60,14 +86,18 @@ def order_rules(m: Retail) -> DataFrame:
         "online orders have no employee": (c("channel") == "ONLINE") & c("employee_id").isNotNull(),
         "payments = order total": far(c("total_amount"), c("paid"), 0.01),
         "order refers to a customer": c("has_customer").isNull()}.items()],
+        *[F.sum(F.when(state, rows)).alias(rule) for rule, state, rows in [
+            ("cancelled orders are refunded", cancelled, c("others")), ("completed orders are not refunded", done, c("refunds")),
+            ("cash only in store", c("channel") == "ONLINE", c("cash")), ("cancelled orders move no stock", cancelled, c("moved"))]],
+        F.sum(F.when(done, c("units"))).alias("_sold"), F.sum("moved").alias("_at_orders"),
         F.size(F.collect_set(F.when(c("has_day").isNull(), c("day")))).alias("calendar covers all order days"))  # days, not rows
 
 
 def line_rules(m: Retail) -> DataFrame:
-    """Rules of the line; the order's date and state reach it by one join."""
+    """Rules of the line; the order's date reaches it by one join."""
     c, items = F.col, m.sales_order_items
     goods = m.products.select("product_id", *([] if "gst_rate" in items.columns else ["gst_rate"])).withColumn("has_product", F.lit(True))
-    head = m.sales_orders.select("order_id", "order_date", "order_status")
+    head = m.sales_orders.select("order_id", "order_date")
     windows = m.promotions.select("promotion_id", "start_date", "end_date")
     lines = (items.join(goods, "product_id", "left").join(windows, "promotion_id", "left")
              .join(_known(m.product_promotions, ["promotion_id", "product_id"], "eligible"), ["promotion_id", "product_id"], "left").join(head, "order_id", "left"))
@@ -77,17 +107,7 @@ def line_rules(m: Retail) -> DataFrame:
             "promotion inside its window": ~c("order_date").cast("date").between(c("start_date"), c("end_date")),
             "promotion on an eligible product": c("promotion_id").isNotNull() & c("eligible").isNull(),
             "price without tax above cost": c("has_product") & (net_of_tax("unit_price", "gst_rate") <= c("unit_cost").cast("double")),
-            "line refers to a product": c("has_product").isNull()}.items()],
-        F.sum(F.when(c("order_status") == "COMPLETED", c("quantity"))).alias("_sold"))
-
-
-def payment_rules(m: Retail) -> DataFrame:
-    c = F.col
-    pay = m.payments.join(m.sales_orders.select("order_id", "order_status", "channel"), "order_id")
-    return _counted(pay, {
-        "cancelled orders are refunded": (c("order_status") == "CANCELLED") & (c("payment_status") != "REFUNDED"),
-        "completed orders are not refunded": (c("order_status") == "COMPLETED") & (c("payment_status") == "REFUNDED"),
-        "cash only in store": (c("payment_method") == "CASH") & (c("channel") == "ONLINE")})
+            "line refers to a product": c("has_product").isNull()}.items()])
 
 
 def return_rules(m: Retail) -> list[DataFrame]:
@@ -105,18 +125,19 @@ def return_rules(m: Retail) -> list[DataFrame]:
                 "returns on completed orders, after the order": (c("order_status") != "COMPLETED") | (c("return_date") <= c("order_date"))})]
 
 
-def stock_rules(m: Retail) -> list[DataFrame]:
+def stock_rules(m: Retail, slices: DataFrame, moved: DataFrame) -> list[DataFrame]:
+    """Rules of the ledger and of stock: movements are summed by position, then both meet once."""
     c = F.col
-    orders = m.sales_orders.select(c("order_id").alias("reference_id"), "order_status", F.lit(True).alias("has_order"))
-    places = _known(m.inventory, ["store_id", "product_id"], "placed")
-    moves = m.inventory_transactions.join(orders, "reference_id", "left").join(places, ["store_id", "product_id"], "left")
-    sale = c("transaction_type") == "SALE"
+    positions = running_balances(slices).groupBy(*POSITION).agg(
+        F.count("*").alias("rows"), F.count_if(c("run_quantity_change") < 0).alias("below"), F.max("all_quantity_change").alias("ledger_stock"))
+    held = m.inventory.select(*POSITION, "quantity_on_hand", "reserved_quantity", F.lit(True).alias("placed"))
+    both = positions.join(held, POSITION, "full_outer")
     return [
-        moves.agg(F.count_if(c("placed").isNull()).alias("ledger row has a position"), F.count_if(sale & c("has_order").isNull()).alias("sale movement refers to an order"),
-                  F.count_if(sale & (c("order_status") == "CANCELLED")).alias("cancelled orders move no stock"),
-                  F.sum(F.when(sale, -c("quantity_change"))).alias("_out"), F.sum(F.when(c("transaction_type") == "PURCHASE", c("quantity_change"))).alias("_in")),
-        rows_in(negative_balances(m), "running ledger balance >= 0"), rows_in(stock_against_ledger(m), "ledger = stock on hand"),
-        _counted(m.inventory, {"reserved <= on hand": c("reserved_quantity") > c("quantity_on_hand")})]
+        both.agg(F.sum(F.when(c("placed").isNull(), c("rows"))).alias("ledger row has a position"), F.sum("below").alias("running ledger balance >= 0"),
+                 F.count_if(c("quantity_on_hand") != F.coalesce("ledger_stock", F.lit(0))).alias("ledger = stock on hand"),
+                 F.count_if(c("reserved_quantity") > c("quantity_on_hand")).alias("reserved <= on hand")),
+        moved.agg(F.sum("moved").alias("_moved"), F.sum("out").alias("_out")),
+        slices.agg(F.sum(F.when(c("transaction_type") == "PURCHASE", c("quantity_change"))).alias("_in"))]
 
 
 def purchase_rules(m: Retail) -> list[DataFrame]:
@@ -140,10 +161,13 @@ RULES = [
 
 
 def integrity_report(m: Retail) -> DataFrame:
-    """(rule, violations). A table's rules are counted together in one pass. Sums that must be equal are reported as their absolute difference."""
-    counts = one_row(order_rules(m), line_rules(m), payment_rules(m), *return_rules(m), *stock_rules(m), *purchase_rules(m))
-    both = {"sold units = sale movements": F.abs(F.col("_out") - F.col("_sold")), "received units = purchase movements": F.abs(F.col("_in") - F.col("_got"))}
-    named = {rule: F.col(f"`{rule}`") for rule in RULES} | both
+    """(rule, violations). A table's rules are counted together in one pass and the ledger is built once. Sums that must be equal are reported as their absolute difference."""
+    slices = ledger_slices(m)
+    moved = moved_by_order(slices)
+    counts = one_row(order_rules(m, moved), line_rules(m), *return_rules(m), *stock_rules(m, slices, moved), *purchase_rules(m))
+    derived = {"sale movement refers to an order": F.col("_moved") - F.coalesce("_at_orders", F.lit(0)),
+               "sold units = sale movements": F.abs(F.col("_out") - F.col("_sold")), "received units = purchase movements": F.abs(F.col("_in") - F.col("_got"))}
+    named = {rule: F.col(f"`{rule}`") for rule in RULES if rule not in derived} | derived
     return counts.select(F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.coalesce(value.cast("bigint"), F.lit(0)).alias("violations"))
                                             for rule, value in named.items()])))
 
