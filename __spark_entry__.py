@@ -182,6 +182,8 @@ COUNTED_RULES = [
     "employee works in the store", "online orders use the hub", "promotion on an eligible product", "promotion inside its window",
     "payments = order total", "cancelled orders are refunded", "completed orders are not refunded", "cash only in store",
     "returns on completed orders, after the order", "ledger = stock on hand", "ledger row has a position", "reserved <= on hand",
+    "order header = sum of lines", "online orders have no employee", "price without tax above cost", "sale movement refers to an order",
+    "cancelled orders move no stock", "calendar covers all order days", "line refers to a product", "order refers to a customer",
     "purchase total = sum of items", "received status has a received date", "ordered lines received nothing",
     "received units = purchase movements", "sold units = sale movements"]
 TOTALS = [

@@ -262,6 +262,17 @@ RULES = {
       WHERE abs(CAST(p.total - i.s AS DOUBLE)) > 0.05""",
     "received status has a received date": "SELECT count(*) FROM m_po WHERE (status = 'RECEIVED') <> (got IS NOT NULL)",
     "ordered lines received nothing": "SELECT count(*) FROM m_poi i JOIN m_po p USING (purchase_id) WHERE p.status = 'ORDERED' AND i.received <> 0",
+    "order header = sum of lines": """SELECT count(*) FROM (SELECT *, total - gst + disc AS sub FROM m_so) o
+      JOIN (SELECT order_id, sum(qty * price) AS g, sum(disc) AS d, sum(line_total) AS n FROM m_it GROUP BY 1) i USING (order_id)
+      WHERE abs(CAST(o.sub - i.g AS DOUBLE)) > 0.05 OR abs(CAST(o.disc - i.d AS DOUBLE)) > 0.05 OR abs(CAST(o.total - i.n AS DOUBLE)) > 0.05
+       OR abs(CAST(o.total - (o.sub - o.disc) AS DOUBLE)) > 0.05""",
+    "online orders have no employee": "SELECT count(*) FROM m_so WHERE channel = 'ONLINE' AND employee_id IS NOT NULL",
+    "price without tax above cost": "SELECT count(*) FROM m_it SEMI JOIN m_pr USING (product_id) WHERE CAST(price AS DOUBLE) / (1 + CAST(tax AS DOUBLE) / 100) <= CAST(cost AS DOUBLE)",
+    "sale movement refers to an order": "SELECT count(*) FROM (SELECT ref AS order_id FROM m_ledger WHERE kind = 'SALE') ANTI JOIN m_so USING (order_id)",
+    "cancelled orders move no stock": "SELECT count(*) FROM m_ledger l JOIN m_so o ON o.order_id = l.ref WHERE l.kind = 'SALE' AND o.status = 'CANCELLED'",
+    "calendar covers all order days": "SELECT count(DISTINCT day) FROM m_so WHERE day NOT IN (SELECT d FROM m_cal)",
+    "line refers to a product": "SELECT count(*) FROM m_it ANTI JOIN m_pr USING (product_id)",
+    "order refers to a customer": "SELECT count(*) FROM m_so ANTI JOIN m_cu USING (customer_id)",
     "received units = purchase movements": """SELECT abs((SELECT sum(received) FROM m_poi) - (SELECT sum(change) FROM m_ledger WHERE kind = 'PURCHASE'))""",
     "sold units = sale movements": """SELECT abs((SELECT sum(qty) FROM m_sl) + (SELECT sum(change) FROM m_ledger WHERE kind = 'SALE'))""",
 }

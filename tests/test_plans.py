@@ -42,6 +42,13 @@ def test_measures_join_only_the_dimensions_they_use(spark, sf_dir):
     assert "customer.parquet" not in text and "nation.parquet" not in text and "lineitem.parquet" in text
 
 
+def test_integrity_reads_the_ledger_once(spark, sf_dir):
+    """Orders meet the header, line, purchase and return rules only; movements come from one stored placement."""
+    text = plan(QUERIES["integrity_report"](spark, sf_dir))
+    scans = {t: len(re.findall(rf"FileScan parquet[^\n]*{t}[.]parquet", text)) for t in ("lineitem", "orders", "part")}
+    assert scans["lineitem"] <= 9 and scans["orders"] <= 5 and scans["part"] <= 3
+
+
 def test_reused_features_cover_the_survey():
     """Each construct of the query inventory is used by at least one registered query."""
     numbers = {int(m.group(1)) for m in (re.match(r"q(\d+)_", n) for n in QUERIES) if m}
