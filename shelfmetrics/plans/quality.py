@@ -81,15 +81,17 @@ def stock_against_ledger(m: Retail) -> DataFrame:
 
 
 def order_book(m: Retail) -> DataFrame:
-    """All counts that compare an order with its lines and payments. Lines and payments are summed per order and joined
-    once on the order, which keeps orders without either and either without an order."""
+    """All counts that compare an order with its lines, payments and sale movements. These are summed per order and joined
+    once on the order, which keeps orders without any and any without an order."""
     lines = m.sales_order_items.groupBy("order_id").agg(
         F.count("*").alias("line_rows"), F.sum("line_total").alias("line_sum"), F.count_if(F.col("quantity") <= 0).alias("none"),
         F.count_if(F.col("quantity") >= 25).alias("many"))
     paid = m.payments.groupBy("order_id").agg(
         F.count("*").alias("pay_rows"), F.sum(F.when(F.col("payment_status") == "SUCCESS", F.col("amount"))).alias("paid"))
+    moved = m.inventory_transactions.filter(F.col("transaction_type") == "SALE").groupBy(F.col("reference_id").alias("order_id")).agg(
+        F.count("*").alias("move_rows"))
     head = m.sales_orders.select("order_id", "total_amount", "order_status")
-    book = head.join(lines, "order_id", "full_outer").join(paid, "order_id", "full_outer")
+    book = head.join(lines, "order_id", "full_outer").join(paid, "order_id", "full_outer").join(moved, "order_id", "full_outer")
     known, done = F.col("order_status").isNotNull(), F.col("order_status") == "COMPLETED"
 
     def off(a: str, b: str, limit: float) -> Column:
@@ -106,7 +108,42 @@ def order_book(m: Retail) -> DataFrame:
         F.count_if(known).alias("orders"), F.count_if(done).alias("done"), F.count_if(F.col("order_status") == "CANCELLED").alias("DQ29"),
         F.count_if(off("total_amount", "line_sum", 0.05)).alias("DQ18"), F.count_if(done & F.col("pay_rows").isNull()).alias("DQ21"),
         F.count_if(done & off("total_amount", "paid", 0.01)).alias("DQ22"),
-        orphans("line_rows").alias("orphan_lines"), orphans("pay_rows").alias("orphan_payments"))
+        orphans("line_rows").alias("orphan_lines"), orphans("pay_rows").alias("orphan_payments"), total("move_rows").alias("sale_moves"),
+        F.coalesce(F.sum(F.when(F.col("order_status") == "CANCELLED", F.col("move_rows"))), F.lit(0)).alias("DQ30"))
+
+
+def product_book(m: Retail) -> DataFrame:
+    """All counts that compare a product with its stock and its lines. The three tables are stacked and counted by product, so
+    each task sends one row per product and not its lines."""
+    def part(df: DataFrame, **columns: Column) -> DataFrame:
+        return df.select(F.col("product_id").cast("bigint"), *[c.alias(n) for n, c in columns.items()])
+
+    one, none = F.lit(1), F.lit(0)
+    rows = stacked(
+        part(m.products, product=one, inactive=F.when(~F.col("is_active"), 1).otherwise(0), position=none, empty=none, held=none, sold=none),
+        part(m.inventory, product=none, inactive=none, position=one, empty=F.when(F.col("quantity_on_hand") == 0, 1).otherwise(0),
+             held=F.when(F.col("quantity_on_hand") > 0, 1).otherwise(0), sold=none),
+        part(m.sales_order_items, product=none, inactive=none, position=none, empty=none, held=none, sold=one))
+    book = rows.groupBy("product_id").agg(*[F.sum(c).alias(c) for c in ("product", "inactive", "position", "empty")],
+                                          *[F.max(c).alias(c) for c in ("held", "sold")])
+
+    def total(c: str, where: Column | None = None) -> Column:
+        return F.coalesce(F.sum(c if where is None else F.when(where, F.col(c))), F.lit(0))
+
+    return book.agg(
+        total("position").alias("positions"), total("empty").alias("DQ24"), total("position", F.col("product") == 0).alias("orphan_stock"),
+        total("inactive", F.col("held") == 1).alias("DQ25"), total("product", F.col("sold") == 0).alias("DQ28"))
+
+
+def customer_book(m: Retail) -> DataFrame:
+    """All counts that compare a customer with the dates of the orders, which are reduced to customer and day first."""
+    days = m.sales_orders.groupBy("customer_id", F.col("order_date").cast("date").alias("day")).agg(
+        F.count("*").alias("orders_of_day"), F.max("order_date").alias("latest"))
+    known = days.join(m.customers.select("customer_id", "registration_date", "is_active"), "customer_id")
+    people = known.groupBy("customer_id").agg(
+        F.sum(F.when(F.col("day") < F.col("registration_date"), F.col("orders_of_day"))).alias("early"), F.max(F.when(~F.col("is_active"), F.col("latest"))).alias("latest"))
+    since = m.sales_orders.agg(F.max("order_date")).scalar() - F.expr("INTERVAL 90 DAYS")
+    return people.agg(F.coalesce(F.sum("early"), F.lit(0)).alias("early_orders"), F.count_if(F.col("latest") > since).alias("DQ26"))
 
 
 def scorecard_counts(m: Retail, run_day: Column | None = None) -> DataFrame:
@@ -127,32 +164,19 @@ def scorecard_counts(m: Retail, run_day: Column | None = None) -> DataFrame:
         F.count("*").alias("products"), F.count_if(~F.col("is_active")).alias("inactive_products"),
         F.count_if(F.col("category_id").isNull()).alias("DQ11"), F.count_if(F.col("supplier_id").isNull()).alias("DQ12"),
         F.count_if(F.col("brand").isNull()).alias("DQ13"), F.count_if((F.col("unit_price") <= 0) | (F.col("unit_cost") < 0)).alias("DQ15"))
-    gone = F.col("order_status") == "CANCELLED"
-    stock = m.inventory.agg(F.count("*").alias("positions"), F.count_if(F.col("quantity_on_hand") == 0).alias("DQ24"))
     vendors = m.suppliers.agg(F.count("*").alias("suppliers"), F.count_if(
         F.col("contact_email").isNull() | F.col("contact_phone").isNull() | F.col("gstin").isNull()).alias("DQ27"))
 
-    headers = m.sales_orders.select("order_id", "order_status", "order_date", "customer_id")
-    recent = m.sales_orders.filter(F.col("order_date") > m.sales_orders.agg(F.max("order_date")).scalar() - F.expr("INTERVAL 90 DAYS"))
-    sale_moves = m.inventory_transactions.filter(F.col("transaction_type") == "SALE").select("reference_id")
+    headers = m.sales_orders.select("order_id", "order_date")
     return one_row(
-        people, goods, stock, vendors, order_book(m), rows_in(m.categories, "categories"),
+        people, goods, vendors, order_book(m), product_book(m), customer_book(m), rows_in(m.categories, "categories"),
         surplus_rows(m.customers.filter(F.col("email").isNotNull()), folded("email"), "DQ01"),
         surplus_rows(m.products, folded("product_name"), "DQ10"), surplus_rows(m.categories, F.lower("category_name"), "DQ14"),
-        rows_in(m.inventory.select("product_id").join(m.products.select("product_id"), "product_id", "left_anti"), "orphan_stock"),
-        rows_in(headers.join(m.customers.select("customer_id", "registration_date"), "customer_id")
-                .filter(F.col("order_date").cast("date") < F.col("registration_date")), "early_orders"),
         m.returns.select("order_id", "return_date").join(headers.withColumn("known", F.lit(True)), "order_id", "left").agg(
             F.count("*").alias("returns"), F.count_if(F.col("return_date") < F.col("order_date")).alias("early_returns"),
             F.count_if(F.col("known").isNull()).alias("orphan_returns")),
         m.purchases.agg(F.count("*").alias("purchases"), F.count_if(F.col("received_date") < F.col("order_date")).alias("early_receipts")),
         rows_in(stock_against_ledger(m), "DQ23"),
-        rows_in(m.products.filter(~F.col("is_active")).join(m.inventory.filter(F.col("quantity_on_hand") > 0).select("product_id"), "product_id",
-                                                            "left_semi"), "DQ25"),
-        rows_in(m.customers.filter(~F.col("is_active")).join(recent.select("customer_id"), "customer_id", "left_semi"), "DQ26"),
-        rows_in(m.products.join(m.sales_order_items.select("product_id"), "product_id", "left_anti"), "DQ28"),
-        sale_moves.join(headers.select(F.col("order_id").alias("reference_id"), "order_status"), "reference_id", "left").agg(
-            F.count("*").alias("sale_moves"), F.count_if(gone).alias("DQ30")),
     ).withColumns({
         "DQ19": F.col("orphan_lines") + F.col("orphan_payments") + F.col("orphan_returns") + F.col("orphan_stock"),
         "DQ20": F.col("early_orders") + F.col("early_returns") + F.col("early_receipts"),
