@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from .common import by_bytes, ship, texts
 
 CACHE = 200_000  # pieces between white space a task remembers; when full it starts afresh
-WORD = re.compile(r"\w+")
+# Scripts written without spaces: Thai to Lao, Burmese, Khmer, kana, Han. Each of their characters is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+SHORTEST = 2  # words; one word alone stands in too many clean texts to prove anything
 BASE = 1_000_003
 MASK = (1 << 61) - 1  # modulus of the running hash, a prime
 
@@ -115,6 +118,14 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, np.ndarray]], least: int):
         self.items, self.least = items, least
+        # Items too short for a seed are found as a whole: by length, the seeds in order and their items.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in range(SHORTEST, least):
+            of_size = [k for k, (_, w) in enumerate(items) if len(w) == size]
+            if of_size:
+                whole = np.concatenate([seeds(items[k][1], size) for k in of_size])
+                order = np.argsort(whole, kind="stable")
+                self.short[size] = whole[order], np.array(of_size)[order]
         all_seeds = [seeds(w, least) for _, w in items]
         self.seed = np.concatenate([*all_seeds, np.zeros(0, np.uint64)])
         self.item = np.repeat(np.arange(len(items)), [len(s) for s in all_seeds])
@@ -128,6 +139,18 @@ class Benchmark:
 
     def hits(self, words: np.ndarray, least_share: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
         """(item, coverage, tiles) of the items that the document covers enough."""
+        yield from self._short_hits(words)
+        yield from self._long_hits(words, least_share)
+
+    def _short_hits(self, words: np.ndarray) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
+        for size, (seed, item) in self.short.items():
+            own, at = np.unique(seeds(words, size), return_index=True)
+            left, right = np.searchsorted(seed, own, "left"), np.searchsorted(seed, own, "right")
+            for n in np.flatnonzero(right > left):
+                for k in item[left[n]:right[n]]:
+                    yield self.items[k][0], 1.0, [(int(at[n]), 0, size)]
+
+    def _long_hits(self, words: np.ndarray, least_share: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
         own = seeds(words, self.least)
         at = np.flatnonzero(self.bits[(own & self.size).astype(np.int64)])
         if not len(at):
@@ -190,11 +213,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, share:
                   item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, longest, tiles: the pairs in which tiles of `least` words or more cover `share` of the item.
 
-    Passages count in whatever order they stand. Words are runs of letters, digits and underscores, in lower case. A benchmark whose text is at
+    Passages count in whatever order they stand. Words are runs of letters, digits and underscores, in lower case; in scripts written without
+    spaces each character is one. An item with fewer than `least` words, but two at least, is found where it stands whole. A benchmark whose text is at
     most `most_bytes` (it is measured) goes to every task, and documents need no shuffle. A larger one is joined with the documents on shared
     seeds, first by ids, then with the texts of the pairs found; the result is the same.
 
-    Items with fewer than `least` words, with null or empty text, are never found; null and empty documents neither. Texts are searched whole.
+    Items of one word, with null or empty text, are never found; null and empty documents neither. Texts are searched whole.
     Repeated rows of a document give repeated pairs in the first way; in both, pairs with a null doc_id or item_id are given as they are.
     """
     ids = texts(docs, id_col, text_col)
@@ -226,16 +250,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, share:
 def _by_join(ids: DataFrame, items: DataFrame, least: int, share: float, schema: str) -> DataFrame:
     """For a benchmark too large to send about."""
 
-    def seeded(key: str, text: str):
+    def length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, 2 << 20, "item_text"):
+            yield pa.RecordBatch.from_arrays([pa.array([min(len(w), least) for w in tokens(b.column("item_text").to_pylist())], pa.int32())], names=["size"])
+
+    lengths = items.select("item_text").mapInArrow(length, "size int").filter(F.col("size") >= min(SHORTEST, least)).distinct()
+    sizes = sorted(r.size for r in lengths.collect())  # `least` of them at most
+
+    def seeded(key: str, text: str, whole: bool):
+        """Seeds of the lengths that items have; of an item only those of its own length (`whole`)."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in by_bytes(batches, 2 << 20, text):
-                found = [np.unique(seeds(w, least)).astype("<i8") for w in tokens(b.column(text).to_pylist())]
+                found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *[seeds(w, n) for n in sizes if not whole or n == min(len(w), least)]])).astype("<i8")
+                         for w in tokens(b.column(text).to_pylist())]
                 at = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at)), pa.array(np.concatenate([*found, np.zeros(0, "<i8")]))], names=[key, "seed"])
         return run
 
-    own = ids.mapInArrow(seeded("doc_id", "text"), f"doc_id {dict(ids.dtypes)['doc_id']}, seed bigint")
-    theirs = items.mapInArrow(seeded("item_id", "item_text"), f"item_id {dict(items.dtypes)['item_id']}, seed bigint")
+    own = ids.mapInArrow(seeded("doc_id", "text", False), f"doc_id {dict(ids.dtypes)['doc_id']}, seed bigint")
+    theirs = items.mapInArrow(seeded("item_id", "item_text", True), f"item_id {dict(items.dtypes)['item_id']}, seed bigint")
     pairs = own.join(theirs, "seed").select("doc_id", "item_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

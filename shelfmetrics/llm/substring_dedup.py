@@ -78,13 +78,17 @@ def _anchor_rows(least: int, gram: int):
 
 
 def _cut(least: int):
-    """The bytes of the wanted contexts of each document."""
+    """The bytes of the wanted contexts of each document, once in a task for rows that repeat id and text."""
     names = ["shard", "anchor", "context", "copies", "cut", "count", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
         for b in by_bytes(batches, 4 << 20):
             rows: list[list] = [[] for _ in names]
-            for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist()):
+            for key, print_, text, wanted in zip(*[b.column(c).to_pylist() for c in ("key", "print", "text", "wanted")]):
+                if (key, print_) in done:
+                    continue
+                done.add((key, print_))
                 data = text.encode("utf-8", "replace")
                 for w in wanted:
                     for col, x in zip(rows, (w["shard"], w["anchor"], w["context"], w["copies"], w["cut"], w["count"], data[w["start"]:w["start"] + w["count"] + least - 1])):
@@ -107,6 +111,11 @@ LOOSE = pa.list_(pa.struct([("at", pa.int32()), ("window", pa.binary())]))
 def _sort_shard(least: int):
     """Which windows of a shard's contexts stand in it twice: those whose suffix shares `least` bytes with a neighbour in the suffix array."""
     def run(table: pa.Table) -> pa.Table:
+        first: dict[tuple[int, int], int] = {}
+        for i, context in enumerate(zip(table.column("anchor").to_pylist(), table.column("context").to_pylist())):
+            first.setdefault(context, i)  # cut by two tasks from rows that repeat id and text
+        if len(first) < table.num_rows:
+            table = table.take(pa.array(first.values(), pa.int64()))
         data, count = table.column("data").to_pylist(), table.column("count").to_numpy().astype(np.int64)
         copies, cut = table.column("copies").to_numpy(), table.column("cut").to_pylist()
         size = np.array([len(d) for d in data])

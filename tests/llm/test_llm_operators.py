@@ -287,6 +287,7 @@ def test_tiles_are_valid_and_cover_as_much():
             assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
         want = brute_tiles(doc, item, 3)
         assert max((t[2] for t in found), default=0) == max(want, default=0)
+        assert sum(t[2] for t in found) == sum(want)
 
 
 def test_reordered_passages_are_found_in_both_ways(spark, docs):
@@ -303,6 +304,21 @@ def test_reordered_passages_are_found_in_both_ways(spark, docs):
     assert decontamination.contamination(frame.limit(0), bench).collect() == []
 
 
+def test_short_items_and_unspaced_scripts_are_found(spark):
+    """Items below five words stand whole, in both ways; a script without spaces is cut into characters; one word proves nothing."""
+    bench = spark.createDataFrame([(1, "Purple monkey dishwasher"), (2, "word"), (3, "北京是中国的首都和政治中心"), (4, "กรุงเทพมหานครเป็นเมืองหลวง"), (5, "日本"), (6, None), (7, "Purple monkey dishwasher")],
+                                  "item_id bigint, text string")
+    rows_ = [(10, "a purple MONKEY, dishwasher and a word"), (11, "monkey purple dishwasher word"), (12, "据说北京是中国的首都和政治中心。"), (13, "x กรุงเทพมหานครเป็นเมืองหลวง y"),
+             (14, "日本語と日本"), (15, "日 x 本"), (16, None), (17, ""), (18, "purple monkey"), (19, "北京"), (None, "purple monkey dishwasher")]
+    frame = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    for most in (32 << 20, 1):
+        found = decontamination.contamination(frame, bench, most_bytes=most).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in found), key=str) == [(10, 1), (10, 7), (12, 3), (13, 4), (14, 5), (None, 1), (None, 7)]
+        assert {r.coverage for r in found} == {1.0}
+        kept = decontamination.drop_contaminated(frame, bench, most_bytes=most)
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == [11, 15, 16, 17, 18, 19]
+
+
 def test_contaminated_rows_go_by_their_own_text(spark):
     item = prose(77, 30)
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
@@ -363,6 +379,26 @@ def test_repeats(spark, docs, rows, monkeypatch, group_bytes):
     assert sorted(got) == sorted(want)
 
 
+def test_rows_that_repeat_id_and_text_are_cut_once(spark):
+    """Contexts of a row that stands very often are cut once in a task, and a shard sorts them once."""
+    import pyarrow as pa
+    wanted = [{"shard": 0, "anchor": 5, "context": 6, "copies": 1, "cut": False, "start": 0, "count": 51}]
+    batch = pa.RecordBatch.from_pydict({"key": [1, 1, 2, 1], "print": [9, 9, 9, 9], "text": ["t" * 250] * 4, "wanted": [wanted] * 4})
+    cut = list(substring_dedup._cut(200)(iter([batch, batch])))
+    assert sum(b.num_rows for b in cut) == 2
+    text = " ".join(prose(3, 120).split())
+    one = pa.table({"anchor": [5, 5, 8], "context": [6, 6, 7], "copies": [1, 1, 1], "cut": [False] * 3, "count": [51, 51, 51],
+                    "data": [text[:250].encode(), text[:250].encode(), text[300:550].encode()]})
+    done = substring_dedup._sort_shard(200)(one)
+    assert done.column("context").to_pylist() == [6, 7] and done.column("runs").to_pylist() == [[], []]
+    shared = prose(50, 40)
+    own = [(1, shared + " " + prose(1, 30))] * 60 + [(2, prose(2, 30) + " " + shared), (2, prose(2, 30) + " " + shared), (3, prose(4, 60))]
+    frame = spark.createDataFrame(own, "doc_id bigint, text string").repartition(6)
+    gone = brute_repeats([t for _, t in own], 200)
+    want = sorted((d, bytes(np.frombuffer(t.encode(), np.uint8)[~g])) for (d, t), g in zip(own, gone))
+    assert sorted((r.doc_id, bytes(r.kept)) for r in substring_dedup.remove_repeats(frame).collect()) == want
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
