@@ -143,9 +143,9 @@ def q55_price_bands(m: Retail) -> DataFrame:
 
 @query("Products bought together")
 def q56_bought_together(m: Retail, min_orders: int = 5, n: int = 10) -> DataFrame:
-    lines = (m.sales_order_items.select("order_id", "product_id").join(completed(m).select("order_id"), "order_id")
-             .join(m.products.select("product_id", "product_name"), "product_id"))
-    pairs = pair_counts(lines, "order_id", "product_id", "product_name").filter(F.col("together") >= min_orders)
+    lines = (m.sales_order_items.select("order_id", "product_id").join(m.products.select("product_id", "product_name"), "product_id")
+             .join(completed(m).select("order_id"), "order_id"))  # orders last: the pairs then find the lines by order
+    pairs = pair_counts(lines, "order_id", "product_id", "product_name", sizes=m.sales_order_items.select("order_id")).filter(F.col("together") >= min_orders)
     return top(pairs, n, F.col("together").desc(), F.col("label_a"), F.col("label_b")).select(
         F.col("label_a").alias("product_a"), F.col("label_b").alias("product_b"), F.col("together").alias("orders_together"))
 

@@ -109,6 +109,11 @@ def test_pair_counts_equal_brute_force(spark, block):
     assert got == dict(expected)
 
 
+def test_pairs_of_lines_without_a_basket_are_none(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, 1, "a"), (1, 2, "b"), (1, None, "c")], "b int, i int, n string")
+    assert [tuple(r) for r in pair_counts(df, "b", "i", "n").collect()] == [("a", "b", 1)]
+
+
 def test_not_in_three_valued(spark):
     left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     assert not_in(left, spark.createDataFrame([(1,)], "k int"), "k").collect() == [(2,)]

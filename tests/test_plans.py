@@ -54,3 +54,9 @@ def test_reused_features_cover_the_survey():
     numbers = {int(m.group(1)) for m in (re.match(r"q(\d+)_", n) for n in QUERIES) if m}
     wanted = set(range(1, 116)) | set(range(201, 215)) | set(range(301, 310)) | set(range(401, 405)) | set(range(501, 518))
     assert wanted - numbers == set()
+
+
+def test_pairs_are_counted_where_the_lines_meet(spark, sf_dir):
+    """The lines of a small basket are listed by a window; only large baskets are joined by blocks."""
+    text = plan(QUERIES["q56_bought_together"](spark, sf_dir))
+    assert "collect_list(struct(item" in text and "LeftAnti" in text
