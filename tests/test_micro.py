@@ -193,3 +193,12 @@ def test_registry_rejects_unknown_names(micro):
 def test_ad_hoc_select(micro):
     sql = "SELECT abc_class, count(*) AS n FROM vw_product_performance GROUP BY 1"
     assert sum(r.n for r in analysis.get_query(micro, sql).collect()) == 6
+
+
+def test_row_rules_move_keys_only(spark, micro):
+    """No amount or date leaves its row: the exchanges of the counts hold keys and numbers of rows."""
+    counts = violation_counts(micro, ["sales_orders", "sales_order_items", "payments"])
+    text = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text
+    assert {(r.table_name, r.rule) for r in counts.collect()} == {(t, rule) for t in ("sales_orders", "sales_order_items", "payments")
+                                                                 for (rule,) in validate(micro, t)[1].selectExpr("explode(violations)").distinct().collect()}
