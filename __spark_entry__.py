@@ -211,7 +211,7 @@ def _measures(names: list[str], group_by: tuple[str, ...] = (), filters: dict |
 
 
 def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(integrity_report(_model(spark, sf_dir)).filter(F.col("rule").isin(COUNTED_RULES)))
+    return conform(integrity_report(_model(spark, sf_dir), COUNTED_RULES))
 
 
 ON_MODEL: dict[str, Callable[[Retail], DataFrame]] = {
