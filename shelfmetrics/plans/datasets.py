@@ -504,10 +504,11 @@ def supplier_performance(m: Retail) -> DataFrame:
         (F.col("contact_email").isNull() | F.col("contact_phone").isNull() | F.col("gstin").isNull()).alias("missing_contact_info"))
 
 
-def returned_sales(m: Retail) -> DataFrame:
-    """Returned lines with their return and their sale, without any dimension."""
+def returned_sales(m: Retail, buyers: DataFrame | None = None) -> DataFrame:
+    """Returned lines with their return and their sale, without any dimension; attributes of `buyers` meet the sale, which is narrower and shuffled anyway."""
     header = m.keyed("returns").select("return_id", "order_id", "return_date", "return_reason")
     sale = orders_with_calendar(m).select("order_id", "order_date", "order_day", "customer_id", "store_id", "channel")
+    sale = sale if buyers is None else sale.join(buyers, "customer_id")
     return returned_lines(m).join(header, "return_id").join(sale, "order_id").withColumns({
         "return_day": day_of("return_date"), "return_month": month_of("return_date"), "refund_net_of_gst": rnd("refund_net"), "cost_value": rnd("cost_value")})
 
@@ -515,7 +516,7 @@ def returned_sales(m: Retail) -> DataFrame:
 def return_analysis(m: Retail) -> DataFrame:
     products = canonical_products(m).select("product_id", "product_name", "canonical_name")
     customers = m.customers.select("customer_id", "segment_id").join(segment_names(m), "segment_id", "left")
-    base = returned_sales(m).join(products, "product_id").join(m.stores.select("store_id", "store_name"), "store_id").join(customers, "customer_id")
+    base = returned_sales(m, customers).join(products, "product_id").join(m.stores.select("store_id", "store_name"), "store_id")
     return base.select(
         "return_item_id", "return_id", "return_date", "return_day", "return_month", "order_id", "order_date", "order_day",
         rnd(elapsed_days("order_date", "return_date"), 1).alias("days_to_return"), "return_reason", "store_id", "store_name",
