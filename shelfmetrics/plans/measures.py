@@ -120,7 +120,8 @@ MEASURES: dict[str, Base | Derived] = {
     "stock_out_risk_pct": Derived(("out_of_stock_positions", "low_stock_positions", "stock_positions"), lambda: ratio(
         F.col("out_of_stock_positions") + F.col("low_stock_positions"), "stock_positions")),
     "suggested_order_qty": _sum("stock", "suggested_order_qty", lambda: F.col("health_status").isin("OUT_OF_STOCK", "LOW_STOCK")),
-    "cogs_last_12m": _sum("lines_12m", "cogs"),
+    "cogs_last_12m": _sum("lines_12m", "cogs_12m"),
+    "cogs_last_365d": _sum("lines_12m", "cogs_365d"),
     "inventory_turnover": _ratio("cogs_last_12m", "inventory_value"),
     "days_of_inventory": Derived(("inventory_turnover",), lambda: F.lit(365.0) / F.nullif("inventory_turnover", F.lit(0.0))),
     "class_a_products": _count("products", _is("abc_class", "A")),
@@ -155,7 +156,7 @@ def fact(m: Retail, name: str, used: set[str], summary: DataFrame | None = None)
     if name in ("lines", "lines_12m"):
         df = _reached(m, d.sold_lines(m), used)
         if name == "lines_12m":
-            return since(df, F.date_add(F.add_months(d.asof_day(m), -12), 1), "order_day")
+            return _trailing(m, since(df, _year_start(m), "order_day"))
         return _dated(df, "order_day")
     if name == "orders":
         return _dated(_reached(m, d.flag_returns(m, d.orders_with_calendar(m)), used), "order_day")
@@ -176,6 +177,25 @@ def fact(m: Retail, name: str, used: set[str], summary: DataFrame | None = None)
     raise KeyError(name)
 
 
+def _year_start(m: Retail) -> Column:
+    """The first of the last twelve months' days; the last 365 days lie inside them."""
+    return F.date_add(F.add_months(d.asof_day(m), -12), 1)
+
+
+def _trailing(m: Retail, lines: DataFrame) -> DataFrame:
+    day = F.col("order_day")
+    return lines.withColumns({"cogs_12m": F.when(day >= _year_start(m), F.col("cogs")), "cogs_365d": F.when(day >= F.date_add(d.asof_day(m), -364), F.col("cogs"))})
+
+
+def _share_facts(by_fact: dict[str, list[str]], used: set[str]) -> None:
+    """Without dates among the groups and filters, trailing lines are lines, and returns by either day are the same rows: one fact serves both."""
+    if used & set(DATES):
+        return
+    for name, wider in (("lines_12m", "lines"), ("returns_by_return_day", "returns")):
+        if {name, wider} <= set(by_fact):
+            by_fact[wider] += by_fact.pop(name)
+
+
 def _segments(m: Retail) -> DataFrame:
     return m.customers.select("customer_id", "segment_id").join(d.segment_names(m), "segment_id", "left").select(
         "customer_id", F.coalesce("segment_name", F.lit(d.NO_SEGMENT)).alias("segment"))
@@ -222,11 +242,14 @@ def measures(m: Retail, names: Sequence[str], group_by: Sequence[str] = (), filt
     for n in plain:
         if isinstance(MEASURES[n], Base):
             by_fact.setdefault(MEASURES[n].fact, []).append(n)
+    _share_facts(by_fact, set(keys) | set(filters))
     frames: list[tuple[list[str], DataFrame]] = []
     summary = d.customer_summary(m) if {"customers", "new_customers"} & set(by_fact) else None
     for f, wanted in by_fact.items():
         own = [k for k in keys if k in REACH[f]]
         rows = _filtered(fact(m, f, set(keys) | set(filters), summary), filters, REACH[f])
+        if f == "lines" and any(MEASURES[n].fact == "lines_12m" for n in wanted):
+            rows = _trailing(m, rows)
         frames.append((own, rows.groupBy(*own).agg(*[MEASURES[n].value().alias(n) for n in wanted])))
     if timed:
         frames.append((keys, time_measures(m, keys, filters).select(*keys, *timed)))
@@ -321,8 +344,7 @@ def long_form(df: DataFrame, rows: list[tuple[str, str]], keys: Sequence[str] =
 def all_data(m: Retail) -> DataFrame:
     """Every card's value without slicers; cost of goods of the last 365 days."""
     names = [n for n, _ in ALL_DATA if not n.endswith("365d")]
-    last = since(d.sold_lines(m), F.date_add(d.asof_day(m), -364), "order_day").agg(F.sum("cogs")).scalar()
-    table = measures(m, names).withColumn("cogs_last_365d", last).withColumn("turnover_365d", ratio("cogs_last_365d", "inventory_value"))
+    table = measures(m, [*names, "cogs_last_365d"]).withColumn("turnover_365d", ratio("cogs_last_365d", "inventory_value"))
     return long_form(table.withColumn("days_365d", F.lit(365.0) / F.nullif("turnover_365d", F.lit(0.0))), ALL_DATA)
 
 

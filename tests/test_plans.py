@@ -60,3 +60,18 @@ def test_pairs_are_counted_where_the_lines_meet(spark, sf_dir):
     """The lines of a small basket are listed by a window; only large baskets are joined by blocks."""
     text = plan(QUERIES["q56_bought_together"](spark, sf_dir))
     assert "collect_list(" in text and "LeftAnti" in text
+
+
+def test_trailing_lines_are_read_with_all_lines(spark, model):
+    from shelfmetrics.plans.measures import measures
+    text = plan(measures(model, ["cogs", "cogs_last_12m", "refunded_net_of_gst", "refunded_net_of_gst_by_return_date"]))
+    once = plan(measures(model, ["cogs", "refunded_net_of_gst"]))
+    assert text.count("lineitem.parquet") == once.count("lineitem.parquet")
+
+
+def test_buyers_meet_the_order_before_returned_lines(spark, sf_dir):
+    lines = QUERIES["vw_return_analysis"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(re.match(r"[\s:+-]*", line).group(0)) for line in lines]
+    at = next(i for i, line in enumerate(lines) if re.search(r"Join Inner, \(customer_id", line))
+    under = [line for line, n in zip(lines[at + 1:], depth[at + 1:]) if all(k > depth[at] for k in depth[at + 1:lines.index(line, at + 1) + 1])]
+    assert any("c_custkey" in line for line in under) and not any("l_orderkey" in line for line in under)
