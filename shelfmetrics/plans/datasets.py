@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import (as_double, cover_days, day_of, growth_pct, month_of, net_of_tax, no_zero, pct, ratio, rnd, title_name)
-from ..operators import abc_classes, cut_lineage, previous, quantile_buckets
+from ..operators import abc_classes, cut_lineage, previous, quantile_buckets, stored_columns
 from ..sources import Retail, shared
 from ..sources.layout import MONTH, order_key, since
 
@@ -120,11 +120,15 @@ def stock_value(m: Retail) -> DataFrame:
 def demand(m: Retail, by: list[str], short: int = 90, long: int = 365) -> DataFrame:
     """Units sold in the trailing windows; only lines of the long window are read past the join."""
     asof = asof_day(m)
-    key = order_key(m.sales_orders, m.sales_order_items)
-    orders = since(completed(m), F.date_add(asof, 1 - long), "order_day").select(*key, "store_id", "order_day")
+    start = F.date_add(asof, 1 - long)
+    if "product_orders" in m.given:
+        lines = m.given["product_orders"].filter(F.col("order_day") >= start)
+    else:
+        key = order_key(m.sales_orders, m.sales_order_items)
+        orders = since(completed(m), start, "order_day").select(*key, "store_id", "order_day")
+        lines = m.sales_order_items.select(*key, "product_id", "quantity").join(orders, key)
     recent = within(F.col("order_day"), asof, short)
-    return (m.sales_order_items.select(*key, "product_id", "quantity").join(orders, key).groupBy(*by)
-            .agg(F.sum(F.when(recent, F.col("quantity"))).alias("units_90d"), F.sum("quantity").alias("units_365d")))
+    return lines.groupBy(*by).agg(F.sum(F.when(recent, F.col("quantity"))).alias("units_90d"), F.sum("quantity").alias("units_365d"))
 
 
 @shared
@@ -268,20 +272,31 @@ def monthly_sales(m: Retail) -> DataFrame:
         rnd(zero("refunded")).alias("refunded_net"), zero("online_orders").alias("online_orders")))
 
 
+@shared
+def product_orders(m: Retail) -> DataFrame:
+    """Sold lines summed by product and order. Behind a sort-merge join the lines already lie by order, so this grouping needs no shuffle of its own."""
+    return sold_lines(m).groupBy("product_id", "order_id").agg(
+        *[F.sum(c).alias(c) for c in ("quantity", "net_revenue", "gross_profit", "cogs", "discount_amount")],
+        *[F.min(c).alias(c) for c in ("order_day", "store_id", "customer_id")])
+
+
+def with_stored_sales(m: Retail) -> Retail:
+    """The model whose datasets read sales by product and order from one stored table, instead of each meeting lines with orders on its own."""
+    sales = stored_columns(product_orders(m).drop("gross_profit")).withColumns({
+        "gross_profit": F.col("net_revenue") - as_double("cogs"), "order_month": F.trunc("order_day", "month"), "order_year": F.year("order_day")})
+    return m.with_plans(sold_lines=sales, product_orders=sales)
+
+
 @shared
 def product_sales(m: Retail) -> DataFrame:
-    """One row per sold product; orders are counted from (product, order). Behind a sort-merge join the lines already lie
-    by order, so the finer grouping needs no shuffle of its own."""
+    """One row per sold product; orders are counted from (product, order)."""
     last = asof_day(m)
     recent, year = within(F.col("order_day"), last, 90), within(F.col("order_day"), last, 365)
-    per_order = sold_lines(m).groupBy("product_id", "order_id").agg(
-        F.sum("quantity").alias("q"), F.sum("net_revenue").alias("r"), F.sum("gross_profit").alias("p"),
-        F.sum("cogs").alias("c"), F.min("order_day").alias("order_day"))
-    return per_order.groupBy("product_id").agg(
-        F.count("*").alias("orders"), F.sum("q").alias("units_sold"), F.sum("r").alias("net_revenue"),
-        F.sum("p").alias("gross_profit"), F.min("order_day").alias("first_sale_date"), F.max("order_day").alias("last_sale_date"),
-        F.sum(F.when(recent, F.col("q"))).alias("units_90d"), F.sum(F.when(year, F.col("r"))).alias("revenue_12m"),
-        F.sum(F.when(year, F.col("c"))).alias("cogs_12m"))
+    return product_orders(m).groupBy("product_id").agg(
+        F.count("*").alias("orders"), F.sum("quantity").alias("units_sold"), F.sum("net_revenue").alias("net_revenue"),
+        F.sum("gross_profit").alias("gross_profit"), F.min("order_day").alias("first_sale_date"), F.max("order_day").alias("last_sale_date"),
+        F.sum(F.when(recent, F.col("quantity"))).alias("units_90d"), F.sum(F.when(year, F.col("net_revenue"))).alias("revenue_12m"),
+        F.sum(F.when(year, F.col("cogs"))).alias("cogs_12m"))
 
 
 def product_facts(m: Retail) -> DataFrame:
@@ -438,13 +453,13 @@ def store_performance(m: Retail, year: int = 2025, before: int = 2024) -> DataFr
 
 
 def category_performance(m: Retail) -> DataFrame:
+    """Orders are a distinct count, which is pruned with its shuffle by order where only the sums are read."""
     keys = ["category_id", "order_year"]
     names = canonical_products(m).select("product_id", F.coalesce("canonical_id", F.lit(0)).alias("category_id"),
                                          F.coalesce("canonical_name", F.lit(NO_CATEGORY)).alias("category_name"))
-    per_order = sold_lines(m).join(names, "product_id").groupBy(*keys, "category_name", "order_id").agg(
-        F.sum("quantity").alias("q"), F.sum("net_revenue").alias("r"), F.sum("gross_profit").alias("p"))
-    sold = per_order.groupBy(*keys, "category_name").agg(
-        F.sum("q").alias("units_sold"), F.sum("r").alias("net"), F.sum("p").alias("profit"), F.count("*").alias("orders"))
+    sold = sold_lines(m).join(names, "product_id").groupBy(*keys, "category_name").agg(
+        F.sum("quantity").alias("units_sold"), F.sum("net_revenue").alias("net"), F.sum("gross_profit").alias("profit"),
+        F.count_distinct("order_id").alias("orders"))
     back = (returned_lines(m).groupBy(F.col("line_order_id").alias("order_id"), "product_id").agg(F.sum("units_returned").alias("u"))
             .join(completed(m).select("order_id", "order_year"), "order_id").groupBy("product_id", "order_year").agg(F.sum("u").alias("u"))
             .join(names.select("product_id", "category_id"), "product_id").groupBy(*keys).agg(F.sum("u").alias("units_returned")))

@@ -34,6 +34,7 @@ class Retail:
         self.spark = spark
         self._tables = dict(tables)
         self._plans: dict[str, DataFrame] = {}
+        self.given: dict[str, DataFrame] = {}
 
     def keyed(self, name: str) -> DataFrame:
         """The table with its own key. A source that has to work for the key (a place in a file) offers the table twice;
@@ -61,9 +62,10 @@ class Retail:
         return Retail(self.spark, {**kept, **frames})
 
     def with_plans(self, **frames: DataFrame) -> "Retail":
-        """The same tables with stored results in place of shared plans, by the plan's name."""
+        """The same tables with stored results in place of shared plans, by the plan's name; those given before are kept."""
         m = Retail(self.spark, self._tables)
-        m._plans.update(frames)
+        m.given = {**self.given, **frames}
+        m._plans.update(m.given)
         return m
 
     def register_views(self) -> None:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from micro import M
 from shelfmetrics.plans import QUERIES, analysis, dataset
+from shelfmetrics.plans.datasets import with_stored_sales
 from shelfmetrics.plans.integrity import integrity_report, load_report, negative_balances, running_balances, stored_ledger
 from shelfmetrics.plans.measures import measures
 from shelfmetrics.plans.quality import null_profile
@@ -183,6 +184,14 @@ def test_validation_gate(micro):
     assert set(report(checks).columns) == {"status", "check", "detail"}
 
 
+def test_datasets_on_stored_sales_are_those_of_the_tables(micro):
+    """The checks read sales by product and order from one table: no further line meets an order, and no dataset changes."""
+    m = with_stored_sales(micro)
+    for name in analysis.CORE_DATASETS:
+        assert sorted(map(str, dataset(m, name).collect())) == sorted(map(str, dataset(micro, name).collect())), name
+    assert m.with_plans().given == m.given
+
+
 def test_registry_rejects_unknown_names(micro):
     with pytest.raises(KeyError):
         dataset(micro, "vw_nothing")

@@ -75,3 +75,9 @@ def test_buyers_meet_the_order_before_returned_lines(spark, sf_dir):
     at = next(i for i, line in enumerate(lines) if re.search(r"Join Inner, \(customer_id", line))
     under = [line for line, n in zip(lines[at + 1:], depth[at + 1:]) if all(k > depth[at] for k in depth[at + 1:lines.index(line, at + 1) + 1])]
     assert any("c_custkey" in line for line in under) and not any("l_orderkey" in line for line in under)
+
+
+def test_checks_meet_lines_with_orders_once(spark, sf_dir):
+    """The lines left in the plan are those of returns: the return, its item and the sold line; sales come from the stored table."""
+    text = plan(QUERIES["validation_checks"](spark, sf_dir))
+    assert len(re.findall(r"FileScan parquet[^\n]*lineitem[.]parquet", text)) <= 5
