@@ -139,10 +139,14 @@ def _dated(df: DataFrame, day: str) -> DataFrame:
     return df.withColumns({"year": F.year(day), "month": F.trunc(day, "month")})
 
 
+def _goods(m: Retail) -> DataFrame:
+    return d.canonical_products(m).select("product_id", "product_name", F.coalesce("canonical_name", F.lit(d.NO_CATEGORY)).alias("category"))
+
+
 def _reached(m: Retail, df: DataFrame, used: set[str], segment: str = "segment") -> DataFrame:
     """The dimensions of the attributes that are used, and no others."""
     if used & set(GOODS):
-        df = df.join(d.canonical_products(m).select("product_id", "product_name", F.coalesce("canonical_name", F.lit(d.NO_CATEGORY)).alias("category")), "product_id")
+        df = df.join(_goods(m), "product_id")
     if used & set(PLACE):
         df = df.join(m.stores.select("store_id", "region", "store_name"), "store_id")
     if segment in used:
@@ -150,11 +154,12 @@ def _reached(m: Retail, df: DataFrame, used: set[str], segment: str = "segment")
     return df
 
 
-def fact(m: Retail, name: str, used: set[str], summary: DataFrame | None = None) -> DataFrame:
-    """A fact with the attributes that are used. The customer summary is passed in, as two facts read it."""
+def fact(m: Retail, name: str, used: set[str], summary: DataFrame | None = None, by_order: bool = False) -> DataFrame:
+    """A fact with the attributes that are used. The customer summary is passed in, as two facts read it; lines whose orders are counted meet goods first."""
     used = used & set(REACH[name])
     if name in ("lines", "lines_12m"):
-        df = _reached(m, d.sold_lines(m), used)
+        early = by_order and bool(used & set(GOODS))
+        df = _reached(m, d.sold_lines_of(m, _goods(m)) if early else d.sold_lines(m), used - set(GOODS) if early else used)
         if name == "lines_12m":
             return _trailing(m, since(df, _year_start(m), "order_day"))
         return _dated(df, "order_day")
@@ -247,7 +252,7 @@ def measures(m: Retail, names: Sequence[str], group_by: Sequence[str] = (), filt
     summary = d.customer_summary(m) if {"customers", "new_customers"} & set(by_fact) else None
     for f, wanted in by_fact.items():
         own = [k for k in keys if k in REACH[f]]
-        rows = _filtered(fact(m, f, set(keys) | set(filters), summary), filters, REACH[f])
+        rows = _filtered(fact(m, f, set(keys) | set(filters), summary, "orders_line_basis" in wanted), filters, REACH[f])
         if f == "lines" and any(MEASURES[n].fact == "lines_12m" for n in wanted):
             rows = _trailing(m, rows)
         frames.append((own, rows.groupBy(*own).agg(*[MEASURES[n].value().alias(n) for n in wanted])))

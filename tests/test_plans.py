@@ -81,3 +81,15 @@ def test_checks_meet_lines_with_orders_once(spark, sf_dir):
     """The lines left in the plan are those of returns: the return, its item and the sold line; sales come from the stored table."""
     text = plan(QUERIES["validation_checks"](spark, sf_dir))
     assert len(re.findall(r"FileScan parquet[^\n]*lineitem[.]parquet", text)) <= 5
+
+
+def test_orders_are_counted_where_lines_lie_by_order(spark, model):
+    """Goods meet the line before its order, so that the distinct orders of a category need no shuffle of their own."""
+    from shelfmetrics.plans.measures import measures
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(measures(model, ["net_revenue", "orders_line_basis"], ["category"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "hashpartitioning(order_id#" in text and not re.search(r"hashpartitioning[(]category#\d+, order_id#", text)
