@@ -526,11 +526,12 @@ def supplier_performance(m: Retail) -> DataFrame:
 
 
 def returned_sales(m: Retail, buyers: DataFrame | None = None) -> DataFrame:
-    """Returned lines with their return and their sale, without any dimension; attributes of `buyers` meet the sale, which is narrower and shuffled anyway."""
+    """Returned lines with their return and their sale, without any dimension; attributes of `buyers` meet the sale, which is narrower and shuffled anyway.
+    The return meets its sale first, so that the lines' amounts are not shuffled by order too."""
     header = m.keyed("returns").select("return_id", "order_id", "return_date", "return_reason")
     sale = orders_with_calendar(m).select("order_id", "order_date", "order_day", "customer_id", "store_id", "channel")
     sale = sale if buyers is None else sale.join(buyers, "customer_id")
-    return returned_lines(m).join(header, "return_id").join(sale, "order_id").withColumns({
+    return returned_lines(m).join(header.join(sale, "order_id"), "return_id").withColumns({
         "return_day": day_of("return_date"), "return_month": month_of("return_date"), "refund_net_of_gst": rnd("refund_net"), "cost_value": rnd("cost_value")})
 
 

@@ -93,3 +93,10 @@ def test_orders_are_counted_where_lines_lie_by_order(spark, model):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "hashpartitioning(order_id#" in text and not re.search(r"hashpartitioning[(]category#\d+, order_id#", text)
+
+
+def test_returns_meet_the_sale_before_returned_lines(spark, model):
+    from shelfmetrics.plans.measures import measures
+    text = measures(model, ["units_returned", "refunded_net_of_gst"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [m.group(1) for m in re.finditer(r"Join Inner, \((\w+)#", text)]
+    assert joins.index("return_id") < joins.index("order_id")
