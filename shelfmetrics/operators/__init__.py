@@ -1,4 +1,5 @@
 from .baskets import pair_counts
+from .groupings import Grouping, sums_together
 from .hierarchy import descend
 from .lineage import cut_lineage, stored_columns
 from .ordering import abc_classes, percent_ranks, percentiles, quantile_buckets, running_totals

@@ -137,6 +137,11 @@ def demand(m: Retail, by: list[str], short: int = 90, long: int = 365) -> DataFr
     return lines.groupBy(*by).agg(F.sum(F.when(recent, F.col("quantity"))).alias("units_90d"), F.sum("quantity").alias("units_365d"))
 
 
+@shared
+def position_demand(m: Retail) -> DataFrame:
+    return demand(m, ["store_id", "product_id"])
+
+
 @shared
 def open_inbound(m: Retail) -> DataFrame:
     open_pos = m.purchases.filter(F.col("status") == "ORDERED").select("purchase_id", "store_id")
@@ -157,7 +162,7 @@ def health_status(on_hand: Column, reorder: Column, ceiling: Column, units_90d:
 @shared
 def positions(m: Retail) -> DataFrame:
     """Stock positions with value, demand and health."""
-    stock = stock_value(m).join(demand(m, ["store_id", "product_id"]), ["store_id", "product_id"], "left")
+    stock = stock_value(m).join(position_demand(m), ["store_id", "product_id"], "left")
     return stock.withColumn("status", health_status(
         F.col("quantity_on_hand"), F.col("reorder_level"), F.col("max_stock_level"), F.col("units_90d"), F.col("units_365d")))
 
@@ -316,10 +321,14 @@ def product_facts(m: Retail) -> DataFrame:
         "units_in_stock", "inventory_value")])
 
 
+@shared
+def product_net(m: Retail) -> DataFrame:
+    return sold_lines(m).groupBy("product_id").agg(F.sum("net_revenue").alias("net"))
+
+
 def product_classes(m: Retail) -> DataFrame:
     """Every product with its category, revenue and ABC class only: the part of the product dataset that measures need."""
-    net = sold_lines(m).groupBy("product_id").agg(F.sum("net_revenue").alias("net"))
-    every = m.products.select("product_id").join(net, "product_id", "left").select("product_id", F.coalesce("net", F.lit(0.0)).alias("net"))
+    every = m.products.select("product_id").join(product_net(m), "product_id", "left").select("product_id", F.coalesce("net", F.lit(0.0)).alias("net"))
     names = canonical_products(m).select("product_id", "product_name", F.coalesce("canonical_name", F.lit(NO_CATEGORY)).alias("category"))
     return abc_classes(every, "net", "product_id").join(names, "product_id").select(
         "product_id", "product_name", "category", rnd("net").alias("net_revenue"),
@@ -375,7 +384,15 @@ def buyers(m: Retail) -> DataFrame:
 
 
 def customer_summary(m: Retail) -> DataFrame:
-    scored = quantile_buckets(buyers(m), 5, [F.col("net_revenue").asc(), F.col("customer_id").asc()], "m_score")
+    return _summarised(m, quantile_buckets(buyers(m), 5, [F.col("net_revenue").asc(), F.col("customer_id").asc()], "m_score"))
+
+
+def customer_values(m: Retail) -> DataFrame:
+    """The customer summary without the score that needs an ordering of all buyers."""
+    return _summarised(m, buyers(m))
+
+
+def _summarised(m: Retail, scored: DataFrame) -> DataFrame:
     base = (m.customers.join(segment_names(m), "segment_id", "left").join(scored, "customer_id", "left")
             .join(customer_profit(m), "customer_id", "left"))
     days = F.col("recency_days")
@@ -386,7 +403,7 @@ def customer_summary(m: Retail) -> DataFrame:
         F.coalesce("orders", F.lit(0)).alias("orders"), rnd(F.coalesce("net_revenue", F.lit(0))).alias("net_revenue"),
         rnd(F.coalesce("gross_profit", F.lit(0.0))).alias("gross_profit"), rnd("avg_order_value").alias("avg_order_value"),
         "first_order_date", "last_order_date", F.trunc("first_order_date", "month").alias("cohort_month"), "recency_days",
-        "r_score", "f_score", "m_score", (F.coalesce("orders", F.lit(0)) >= 2).alias("is_repeat_customer"),
+        "r_score", "f_score", *[c for c in ("m_score",) if c in scored.columns], (F.coalesce("orders", F.lit(0)) >= 2).alias("is_repeat_customer"),
         F.datediff("last_order_date", "first_order_date").alias("active_span_days"),
         F.when(F.col("orders").isNull(), never).when(days <= 90, active).when(days <= 365, idle).otherwise(lost).alias("activity_status"),
         F.when(F.col("orders").isNotNull(), rfm_label(F.col("r_score"), F.col("f_score"))).alias("rfm_segment"))

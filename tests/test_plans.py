@@ -100,3 +100,24 @@ def test_returns_meet_the_sale_before_returned_lines(spark, model):
     text = measures(model, ["units_returned", "refunded_net_of_gst"])._jdf.queryExecution().optimizedPlan().toString()
     joins = [m.group(1) for m in re.finditer(r"Join Inner, \((\w+)#", text)]
     assert joins.index("return_id") < joins.index("order_id")
+
+
+def test_sales_meet_orders_once_for_all_sums(spark, model, micro):
+    """Groups of lines, classes of products and demand of positions come from one pass over the lines, with the results that each has alone."""
+    from shelfmetrics.plans.measures import measures
+    names = ["net_revenue", "units_sold", "orders_line_basis", "cogs_last_12m", "class_a_products", "product_revenue", "dead_stock_positions", "low_stock_positions"]
+    assert "lineitem.parquet" not in plan(measures(model, names)) and "lineitem.parquet" not in plan(measures(model, names, ["category"]))
+    for m in (model, micro, micro.with_tables(sales_order_items=micro.sales_order_items.filter("false"))):
+        for keys in ([], ["category"]):
+            together = {tuple(r[k] for k in keys): r for r in measures(m, names, keys).collect()}
+            for n in names:
+                for r in measures(m, [n], keys).collect():
+                    assert together[tuple(r[k] for k in keys)][n] == (pytest.approx(float(r[n])) if isinstance(r[n], float) else r[n]), (n, keys)
+
+
+def test_customer_measures_need_no_ordering(spark, model):
+    """Only the summary's spending score orders all buyers, and no measure reads it."""
+    from shelfmetrics.plans.measures import measures
+    names = ["total_customers", "orders_with_returns", "completed_orders", "new_customers", "buying_customers"]
+    assert "_slice" not in plan(measures(model, names))
+    assert measures(model, names).first() == tuple(measures(model, [n]).first()[0] for n in names)
