@@ -1,7 +1,7 @@
 """The twelve canonical datasets. Each is a function of the model and the only definition of its metrics.
 
 Facts are aggregated at their own grain before they are joined, dimensions are joined after the aggregation wherever the
-measure allows it, and no join is forced to broadcast: small dimensions are picked by size, by Catalyst or by AQE.
+measure allows it, and no join is forced to broadcast but bits of keys, which are measured: small dimensions are picked by size, by Catalyst or by AQE.
 """
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import (as_double, cover_days, day_of, growth_pct, month_of, net_of_tax, no_zero, pct, ratio, rnd, title_name)
-from ..operators import abc_classes, cut_lineage, previous, quantile_buckets, stored_columns
+from ..operators import KNOWN, KeyBits, abc_classes, cut_lineage, flagged, previous, quantile_buckets, stored_columns
 from ..sources import Retail, shared
 from ..sources.layout import MONTH, order_key, since
 
@@ -79,10 +79,19 @@ def sold_lines_of(m: Retail, goods: DataFrame) -> DataFrame:
     return _sold(m, m.sales_order_items.join(goods, "product_id"))
 
 
+def sold_lines_flagged(m: Retail, bits: KeyBits, *flags: str, goods: DataFrame | None = None) -> DataFrame:
+    """Sold lines with flags of their order in place of its attributes; no table of orders is met. Money is made of its parts only where goods have been met."""
+    lines = flagged(_rated(m, m.sales_order_items), "order_id", bits, "completed", *flags).withColumn("net_revenue", net_of_tax("line_total", "gst_rate"))
+    lines = (lines if goods is None else lines.join(goods, "product_id")).withColumn("cogs", F.col("quantity") * F.col("unit_cost"))
+    return lines.withColumn("gross_profit", F.col("net_revenue") - as_double("cogs"))
+
+
+def _rated(m: Retail, items: DataFrame) -> DataFrame:
+    return items if "gst_rate" in items.columns else items.join(m.products.select("product_id", "gst_rate"), "product_id")
+
+
 def _sold(m: Retail, items: DataFrame) -> DataFrame:
-    items = items.withColumnRenamed("discount_amount", "line_discount")
-    if "gst_rate" not in items.columns:
-        items = items.join(m.products.select("product_id", "gst_rate"), "product_id")
+    items = _rated(m, items.withColumnRenamed("discount_amount", "line_discount"))
     orders = completed(m).select("order_id", "order_date", "order_day", "order_month", "order_year", "store_id", "customer_id",
                                  "channel", *[c for c in ("employee_id", MONTH) if c in m.sales_orders.columns])
     lines = items.join(orders, order_key(items, orders))
@@ -95,12 +104,23 @@ def _sold(m: Retail, items: DataFrame) -> DataFrame:
 @shared
 def returned_lines(m: Retail) -> DataFrame:
     """Return lines with the sold line they refer to: product, cost and refund without GST."""
-    items = m.keyed("sales_order_items")
-    if "gst_rate" not in items.columns:
-        items = items.join(m.products.select("product_id", "gst_rate"), "product_id")
-    sold = items.select("order_item_id", F.col("order_id").alias("line_order_id"), "product_id", "unit_cost", "gst_rate",
-                        F.col("quantity").alias("units_in_line"))
-    back = m.keyed("return_items").withColumnRenamed("quantity", "units_returned").join(sold, "order_item_id")
+    return _returned(m, m.keyed("return_items"))
+
+
+def returned_lines_flagged(m: Retail, bits: KeyBits) -> DataFrame:
+    """Return lines whose return and its order are known, without the attributes of either: the lines that ``returned_sales`` gives."""
+    header = flagged(m.keyed("returns").select("return_id", "order_id"), "order_id", bits, KNOWN).select("return_id")
+    return _rounded(_returned(m, m.keyed("return_items").join(header, "return_id")))
+
+
+def _rounded(back: DataFrame) -> DataFrame:
+    return back.withColumns({"refund_net_of_gst": rnd("refund_net"), "cost_value": rnd("cost_value")})
+
+
+def _returned(m: Retail, items: DataFrame) -> DataFrame:
+    sold = _rated(m, m.keyed("sales_order_items")).select(
+        "order_item_id", F.col("order_id").alias("line_order_id"), "product_id", "unit_cost", "gst_rate", F.col("quantity").alias("units_in_line"))
+    back = items.withColumnRenamed("quantity", "units_returned").join(sold, "order_item_id")
     return back.withColumns({"refund_net": net_of_tax("refund_amount", "gst_rate"),
                              "cost_value": F.col("units_returned") * F.col("unit_cost")})
 
@@ -123,8 +143,8 @@ def stock_value(m: Retail) -> DataFrame:
     return m.inventory.join(cost, "product_id").withColumn("value", F.col("quantity_on_hand") * F.col("unit_cost"))
 
 
-def demand(m: Retail, by: list[str], short: int = 90, long: int = 365) -> DataFrame:
-    """Units sold in the trailing windows; only lines of the long window are read past the join."""
+def demand(m: Retail, by: list[str], short: int = 90, long: int = 365, bits: KeyBits | None = None) -> DataFrame:
+    """Units sold in the trailing windows; only lines of the long window are read past the join. ``bits`` has them as ``recent``: then no others meet it."""
     asof = asof_day(m)
     start = F.date_add(asof, 1 - long)
     if "product_orders" in m.given:
@@ -132,7 +152,8 @@ def demand(m: Retail, by: list[str], short: int = 90, long: int = 365) -> DataFr
     else:
         key = order_key(m.sales_orders, m.sales_order_items)
         orders = since(completed(m), start, "order_day").select(*key, "store_id", "order_day")
-        lines = m.sales_order_items.select(*key, "product_id", "quantity").join(orders, key)
+        lines = m.sales_order_items.select(*key, "product_id", "quantity")
+        lines = (lines if bits is None else flagged(lines, "order_id", bits, "recent")).join(orders, key)
     recent = within(F.col("order_day"), asof, short)
     return lines.groupBy(*by).agg(F.sum(F.when(recent, F.col("quantity"))).alias("units_90d"), F.sum("quantity").alias("units_365d"))
 
@@ -144,9 +165,14 @@ def position_demand(m: Retail) -> DataFrame:
 
 @shared
 def open_inbound(m: Retail) -> DataFrame:
+    return inbound(m)
+
+
+def inbound(m: Retail, bits: KeyBits | None = None) -> DataFrame:
+    """Units on order by position; with ``bits`` of purchases only the items of open ones are shuffled."""
     open_pos = m.purchases.filter(F.col("status") == "ORDERED").select("purchase_id", "store_id")
-    return (m.purchase_items.join(open_pos, "purchase_id").groupBy("store_id", "product_id")
-            .agg(F.sum("quantity_ordered").alias("inbound_qty")))
+    items = m.purchase_items if bits is None else flagged(m.purchase_items, "purchase_id", bits, "open")
+    return items.join(open_pos, "purchase_id").groupBy("store_id", "product_id").agg(F.sum("quantity_ordered").alias("inbound_qty"))
 
 
 def health_status(on_hand: Column, reorder: Column, ceiling: Column, units_90d: Column, units_365d: Column) -> Column:
@@ -548,8 +574,8 @@ def returned_sales(m: Retail, buyers: DataFrame | None = None) -> DataFrame:
     header = m.keyed("returns").select("return_id", "order_id", "return_date", "return_reason")
     sale = orders_with_calendar(m).select("order_id", "order_date", "order_day", "customer_id", "store_id", "channel")
     sale = sale if buyers is None else sale.join(buyers, "customer_id")
-    return returned_lines(m).join(header.join(sale, "order_id"), "return_id").withColumns({
-        "return_day": day_of("return_date"), "return_month": month_of("return_date"), "refund_net_of_gst": rnd("refund_net"), "cost_value": rnd("cost_value")})
+    return _rounded(returned_lines(m).join(header.join(sale, "order_id"), "return_id").withColumns({
+        "return_day": day_of("return_date"), "return_month": month_of("return_date")}))
 
 
 def return_analysis(m: Retail) -> DataFrame:
