@@ -47,7 +47,7 @@ def odd_models(micro):
         ("sales_order_items", lines), ("returns", returns))})
 
 
-@pytest.mark.parametrize("keys", [[]])
+@pytest.mark.parametrize("keys", [[], ["category"]])
 def test_measures_by_bits_are_those_by_joins(micro, monkeypatch, keys):
     kept = measure_layer._order_bits
     for m in odd_models(micro):
@@ -61,7 +61,20 @@ def test_measures_by_bits_are_those_by_joins(micro, monkeypatch, keys):
                 pytest.approx(float(x), rel=1e-9) if isinstance(x, (int, float)) else x for x in b]
 
 
-@pytest.mark.parametrize("keys", [[]])
+@pytest.mark.parametrize("keys", [[], ["category"]])
 def test_sums_and_returns_meet_no_orders(model, keys):
     text = measures(model, ["net_revenue", "orders_line_basis", "class_a_products", "units_returned"], keys)._jdf.queryExecution().executedPlan().toString()
     assert "orders.parquet" not in text
+
+
+def test_lines_are_not_shuffled_by_order(spark, model, monkeypatch):
+    """What is stored for the sums of a category: lines lie by product, only what counts orders by order."""
+    stored, keep = [], measure_layer.stored_columns
+    monkeypatch.setattr(measure_layer, "stored_columns", lambda df: (stored.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        measures(model, ["net_revenue", "orders_line_basis", "class_a_products"], ["category"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert stored and "hashpartitioning(product_id#" in stored[0] and not any("hashpartitioning(order_id#" in text for text in stored)
