@@ -1,5 +1,5 @@
 from .baskets import pair_counts
-from .bits import KNOWN, KeyBits, flagged, key_bits, whole
+from .bits import KNOWN, KeyBits, flagged, key_bits, marked, whole
 from .groupings import Grouping, sums_together
 from .hierarchy import descend
 from .lineage import cut_lineage, stored_columns

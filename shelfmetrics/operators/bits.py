@@ -1,6 +1,7 @@
 """Whole-number keys of a table as bits: a larger table is filtered by flags of its keys without meeting the table."""
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,10 +65,20 @@ def key_bits(df: DataFrame, key: str, flags: dict[str, Column], limit_mb: float
 
 def flagged(df: DataFrame, key: str, bits: KeyBits, only: str, *more: str) -> DataFrame:
     """Rows of df whose key has the flag ``only``, as an inner join with the keys' table would give them; further flags become columns."""
-    rows = bits.rows.select("_block", *[F.col(n).alias(f"_bits_{n}") for n in dict.fromkeys((only, *more))])
-    met = df.join(F.broadcast(rows), F.shiftright(_long(key), BLOCK) == F.col("_block"))
+    met = _met(df, key, bits, (only, *more), "inner")
+    return met.filter(_has(key, only)).select(*df.columns, *[_has(key, n).alias(n) for n in more])
 
-    def has(n: str) -> Column:
-        return F.getbit(F.get(F.col(f"_bits_{n}"), _word(key)), _bit(key)) == 1
 
-    return met.filter(has(only)).select(*df.columns, *[has(n).alias(n) for n in more])
+def marked(df: DataFrame, key: str, bits: KeyBits, flags: dict[str, str]) -> DataFrame:
+    """All rows of df with the flags of their keys as columns of the names given; false for keys that the table lacks."""
+    met = _met(df, key, bits, flags.values(), "left")
+    return met.select(*df.columns, *[F.coalesce(_has(key, n), F.lit(False)).alias(out) for out, n in flags.items()])
+
+
+def _met(df: DataFrame, key: str, bits: KeyBits, flags: Iterable[str], how: str) -> DataFrame:
+    rows = bits.rows.select("_block", *[F.col(n).alias(f"_bits_{n}") for n in dict.fromkeys(flags)])
+    return df.join(F.broadcast(rows), F.shiftright(_long(key), BLOCK) == F.col("_block"), how)
+
+
+def _has(key: str, flag: str) -> Column:
+    return F.getbit(F.get(F.col(f"_bits_{flag}"), _word(key)), _bit(key)) == 1

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import inline_rows
+from ..functions import inline_rows, stacked
 from .model import KEYED, Retail
 
 # Fixed values of the adapter.
@@ -166,11 +166,11 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
 
     online = F.col("o_orderpriority") == "1-URGENT"
 
-    def sales_orders() -> DataFrame:
+    def order_columns() -> list[Column]:
         k, total = F.col("o_orderkey"), _fix("o_totalprice", 12)
         gst = total * F.lit("0.15").cast("decimal(2,2)")
         discount = F.when(k % 4 == 0, total * F.lit("0.05").cast("decimal(2,2)")).otherwise(F.lit(0).cast("decimal(14,4)"))
-        return raw("orders").select(
+        return [
             k.alias("order_id"), F.concat(F.lit("SO-"), k).alias("order_number"), F.col("o_custkey").alias("customer_id"),
             F.when(online, 0).otherwise(_hashed_store("o_orderkey")).alias("store_id"),
             F.when(~online, k % 24 + 1 + F.floor(k / 24) % 3 * STORES).alias("employee_id"),
@@ -178,7 +178,10 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
             F.when(online, "ONLINE").otherwise("IN_STORE").alias("channel"),
             F.when(F.col("o_orderstatus") == "P", "CANCELLED").otherwise("COMPLETED").alias("order_status"),
             (total - gst + discount).alias("subtotal"), discount.alias("discount_amount"),
-            gst.alias("gst_amount"), total.alias("total_amount"))
+            gst.alias("gst_amount"), total.alias("total_amount")]
+
+    def sales_orders() -> DataFrame:
+        return raw("orders").select(*order_columns())
 
     # A line has no key in the data: its place in its file is one, and needs no shuffle to be known. A scan that knows
     # places builds them for every row, so tables are offered without the key and, under KEYED, with it.
@@ -236,55 +239,76 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
             F.when(k % 29 != 0, F.date_sub(F.lit("2001-08-01").cast("date"), ((k * 11 + s * 17) % 500).cast("int")))
              .alias("last_restocked_date"))
 
-    def purchases() -> DataFrame:
+    def purchase_columns() -> list[Column]:
         k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
         supplier = k % supplier_count()
         lead = (supplier % 12 + 8).cast("int")
         received = F.col("o_orderstatus") != "P"
-        return raw("orders").select(
+        return [
             k.alias("purchase_id"), F.concat(F.lit("PO-"), k).alias("po_number"), supplier.alias("supplier_id"),
             (k % STORES).cast("int").alias("store_id"), day.alias("order_date"), F.date_add(day, lead).alias("expected_date"),
             F.when(received, F.date_add(day, lead - 4 + (F.col("o_custkey") % 9).cast("int"))).alias("received_date"),
-            F.when(received, "RECEIVED").otherwise("ORDERED").alias("status"), _fix("o_totalprice", 12).alias("total_amount"))
+            F.when(received, "RECEIVED").otherwise("ORDERED").alias("status"), _fix("o_totalprice", 12).alias("total_amount")]
+
+    def purchases() -> DataFrame:
+        return raw("orders").select(*purchase_columns())
+
+    units_received = F.when(F.col("l_linenumber") == 1, units - 1).otherwise(units)
 
     def purchase_items(*key: Column) -> DataFrame:
         return raw("lineitem").select(
             *key, F.col("l_orderkey").alias("purchase_id"), F.col("l_partkey").alias("product_id"),
-            units.alias("quantity_ordered"),
-            F.when(F.col("l_linenumber") == 1, units - 1).otherwise(units).alias("quantity_received"),
+            units.alias("quantity_ordered"), units_received.alias("quantity_received"),
             _money(cost_cents).alias("unit_cost"))
 
     item_key, return_key, po_key = line_id.alias("order_item_id"), line_id.alias("return_id"), line_id.alias("purchase_item_id")
     return_keys = (line_id.alias("return_item_id"), return_key, item_key)
 
-    def inventory_transactions(with_key: bool = False) -> DataFrame:
-        def entry(df: DataFrame, kind: str, change: Column, when: Column, ref_type: str | None, ref: Column, key: Column) -> DataFrame:
-            return df.select(
-                *([F.concat(F.lit(kind[:3]), key).alias("transaction_id")] if with_key else []), "store_id", "product_id",
-                F.lit(kind).alias("transaction_type"), change.cast("bigint").alias("quantity_change"),
-                when.cast("timestamp_ntz").alias("transaction_date"), F.lit(ref_type).alias("reference_type"),
-                ref.cast("bigint").alias("reference_id"))
+    def entry(kind: str, change: Column, when: Column, ref_type: str | None, ref: Column, key: Column | None = None) -> list[Column]:
+        return [
+            *([F.concat(F.lit(kind[:3]), key).alias("transaction_id")] if key is not None else []), F.lit(kind).alias("transaction_type"),
+            change.cast("bigint").alias("quantity_change"), when.cast("timestamp_ntz").alias("transaction_date"),
+            F.lit(ref_type).alias("reference_type"), ref.cast("bigint").alias("reference_id")]
+
+    def stock_entries(with_key: bool) -> list[DataFrame]:
+        stock, none, key = inventory(), F.lit(None), F.col("inventory_id") if with_key else None
+        return [
+            stock.select("store_id", "product_id", *entry("OPENING", F.lit(500), F.lit("1995-01-01").cast("date"), None, none, key)),
+            stock.filter("quantity_on_hand % 10 = 3").select(
+                "store_id", "product_id", *entry("ADJUSTMENT", F.lit(-2), F.lit("2001-06-30").cast("date"), None, none, key))]
 
+    def inventory_transactions() -> DataFrame:
         orders = sales_orders().select("order_id", "store_id", "order_date", "order_status")
-        sold = sales_order_items(*([item_key] if with_key else [])).join(orders.filter(F.col("order_status") == "COMPLETED"), "order_id")
+        sold = sales_order_items().join(orders.filter(F.col("order_status") == "COMPLETED"), "order_id")
         back = returned_lines().filter(F.col("l_linestatus") == "O").select(
-            *([return_keys[0]] if with_key else []), F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
             units.alias("quantity"), F.col("l_shipdate").alias("return_date")).join(orders, "order_id")
-        bought = purchase_items(*([po_key] if with_key else [])).join(purchases().filter(F.col("status") == "RECEIVED"), "purchase_id")
-        stock, none = inventory(), F.lit(None)
-        parts = [
-            entry(stock, "OPENING", F.lit(500), F.lit("1995-01-01").cast("date"), None, none, F.col("inventory_id")),
-            entry(stock.filter("quantity_on_hand % 10 = 3"), "ADJUSTMENT", F.lit(-2), F.lit("2001-06-30").cast("date"),
-                  None, none, F.col("inventory_id")),
-            entry(sold, "SALE", -F.col("quantity"), F.col("order_date"), "ORDER", F.col("order_id"), F.col("order_item_id")),
-            entry(back, "RETURN", F.col("quantity"), F.col("return_date"), "RETURN", F.col("order_id"), F.col("return_item_id")),
-            entry(bought, "PURCHASE", F.col("quantity_received"), F.col("received_date"), "PURCHASE", F.col("purchase_id"),
-                  F.col("purchase_item_id")),
-        ]
-        ledger = parts[0]
-        for p in parts[1:]:
-            ledger = ledger.unionByName(p)
-        return ledger
+        bought = purchase_items().join(purchases().filter(F.col("status") == "RECEIVED"), "purchase_id")
+        return stacked(*stock_entries(False), *[df.select("store_id", "product_id", *columns) for df, columns in (
+            (sold, entry("SALE", -F.col("quantity"), F.col("order_date"), "ORDER", F.col("order_id"))),
+            (back, entry("RETURN", F.col("quantity"), F.col("return_date"), "RETURN", F.col("order_id"))),
+            (bought, entry("PURCHASE", F.col("quantity_received"), F.col("received_date"), "PURCHASE", F.col("purchase_id"))))])
+
+    def keyed_transactions() -> DataFrame:
+        """The same with the key. Who asks for it reads whole movements, so a line meets its order once for its sale, return and purchase."""
+        order, purchase = F.struct(*order_columns()).alias("o"), F.struct(*purchase_columns()).alias("p")
+        heads = raw("orders").select(order, purchase).select(
+            "o.order_id", F.col("o.store_id").alias("sold_by"), "o.order_date", (F.col("o.order_status") == "COMPLETED").alias("completed"),
+            F.col("p.store_id").alias("bought_by"), "p.received_date", (F.col("p.status") == "RECEIVED").alias("received"))
+        back = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
+        lines = raw("lineitem").select(
+            item_key, F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), units.alias("quantity"),
+            units_received.alias("quantity_received"), back.alias("back"), F.when(back, F.col("l_shipdate")).alias("return_date"))
+
+        def when(happened: str, store: str, *rest) -> Column:
+            return F.when(F.col(happened), F.struct(F.col(store).alias("store_id"), *entry(*rest, F.col("order_id"), F.col("order_item_id"))))
+
+        moved = F.array(
+            when("completed", "sold_by", "SALE", -F.col("quantity"), F.col("order_date"), "ORDER"),
+            when("back", "sold_by", "RETURN", F.col("quantity"), F.col("return_date"), "RETURN"),
+            when("received", "bought_by", "PURCHASE", F.col("quantity_received"), F.col("received_date"), "PURCHASE"))
+        of_lines = lines.join(heads, "order_id").select("product_id", F.inline(moved)).filter(F.col("transaction_type").isNotNull())
+        return stacked(*stock_entries(True), of_lines)
 
     def calendar() -> DataFrame:
         from .calendar import build_calendar
@@ -298,7 +322,7 @@ def testbed(spark: SparkSession, sf_dir: str) -> Retail:
         "inventory_transactions": inventory_transactions, "purchases": purchases, "purchase_items": purchase_items,
         "sales_order_items" + KEYED: lambda: sales_order_items(item_key), "returns" + KEYED: lambda: returns(return_key),
         "return_items" + KEYED: lambda: return_items(*return_keys), "purchase_items" + KEYED: lambda: purchase_items(po_key),
-        "inventory_transactions" + KEYED: lambda: inventory_transactions(True)})
+        "inventory_transactions" + KEYED: keyed_transactions})
 
 
 def event_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
